@@ -71,7 +71,7 @@ def vocabulary(docs: DataFrame, shards: int) -> tuple[int, int]:
     return int(row[0] or 0), int(row[1] or 0)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, held_out: Column, order: int = 2, strength: float = 4.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, held_out: Column, order: int = 2, strength: float = 200.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """log10 probabilities of all texts under a model of those for which `held_out` is not true.
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score and score per row.

@@ -119,7 +119,7 @@ p AS (
   LEFT JOIN c2 b ON b.w IS NOT DISTINCT FROM k.w AND b.h IS NOT DISTINCT FROM k.h
 )
 SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE a > 0) AS n_known, max(n)::BIGINT AS train_tokens,
-  round(sum(log10(p1)), 6) AS base_score, round(sum(log10((b + 4.0::DOUBLE * p1) / (f + 4.0::DOUBLE))), 6) AS score
+  round(sum(log10(p1)), 6) AS base_score, round(sum(log10((b + 200.0::DOUBLE * p1) / (f + 200.0::DOUBLE))), 6) AS score
 FROM p GROUP BY doc_id, held_out""",
     "op5_line_dedup": r"""
 WITH l AS (
