@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -51,33 +50,39 @@ def said(name: Column, description: Column) -> Column:
     return F.concat(F.coalesce(name, F.lit("")), F.lit(" "), F.coalesce(description, F.lit("")))
 
 
-def detect_ingredients(items: DataFrame, keys: list[str], aliases: DataFrame | None = None) -> DataFrame:
+def detect_ingredients(items: DataFrame, keys: list[str], aliases: DataFrame | None = None, nutrition: DataFrame | None = None, active: Column | None = None) -> DataFrame:
     """Add `matches`, the ingredients that the name and description mention, in order, and phrase counts.
 
     Runs of one to three words are joined to the aliases, a small table that is broadcast; of
     overlapping ones the longest stays, then the earlier alias; an ingredient counts
-    once. `keys` identify an item. Items without a match have an empty array.
+    once. Each match carries its food's nutrition. `keys` identify an item; its rows meet
+    again in one aggregation, which each task has nearly done before the shuffle. Items
+    without a match, and those that aren't `active`, have an empty array.
     """
-    aliases = dims.aliases(items.sparkSession) if aliases is None else aliases
+    spark = items.sparkSession
+    aliases = dims.aliases(spark) if aliases is None else aliases
+    nutrition = dims.nutrition(spark) if nutrition is None else nutrition
     # the hyphen of an alias is never in the text that is searched
-    aliases = aliases.where(~F.col("alias").contains("-"))
-    t = items.select(*keys, F.split(match_text(said(F.col("dish_name"), F.col("description"))), " ").alias("w"))
-    t = t.select(*keys, "w", F.posexplode("w").alias("at", "__x"))
-    t = t.select(*keys, "w", "at", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n")).where("at + n <= size(w)")
-    t = t.select(*keys, "at", "n", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("alias"))
-    hit = F.struct("alias_ord", "at", "n", "alias", "normalized_name", "category", "slot", "nutrition_key")
-    t = t.join(F.broadcast(aliases), "alias").groupBy(*keys).agg(F.array_sort(F.collect_list(hit)).alias("h"))
+    food = aliases.where(~F.col("alias").contains("-")).join(F.broadcast(nutrition.withColumnRenamed("key", "nutrition_key")), "nutrition_key")
+    fields = ["normalized_name", "category", "slot", "nutrition_key", "label", "serving_amount", "serving_unit", "condiment", *MACROS]
+    food = food.select("alias", F.struct("alias_ord", "alias", *fields).alias("food"))
+
+    words = F.split(match_text(said(F.col("dish_name"), F.col("description"))), " ")
+    t = items.select(F.struct(*items.columns).alias("item"), (words if active is None else F.when(active, words).otherwise(F.array(F.lit("")))).alias("w"))
+    t = t.select("item", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("at"))
+    t = t.select("item", "w", "at", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n")).where("at + n <= size(w)")
+    t = t.select("item", "at", "n", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("alias"))
+    t = t.join(F.broadcast(food), "alias", "left").where("food IS NOT NULL OR (at = 0 AND n = 1)")
+    hit = F.when(F.col("food").isNotNull(), F.struct(F.col("food.alias_ord").alias("ord"), "at", "n", "food"))
+    t = t.groupBy(*[F.col(f"item.{k}").alias(f"__{k}") for k in keys]).agg(F.first("item").alias("item"), F.array_sort(F.collect_list(hit)).alias("h"))
     none = F.slice(F.col("h"), 1, 0)
     free = F.aggregate("h", none, lambda acc, x: F.when(F.exists(acc, lambda y: (y["at"] < x["at"] + x["n"]) & (x["at"] < y["at"] + y["n"])), acc).otherwise(F.concat(acc, F.array(x))))
-    once = F.aggregate(free, none, lambda acc, x: F.when(F.exists(acc, lambda y: y["normalized_name"] == x["normalized_name"]), acc).otherwise(F.concat(acc, F.array(x))))
+    t = t.select("item", free.alias("h"))
+    once = F.aggregate("h", none, lambda acc, x: F.when(F.exists(acc, lambda y: y["food"]["normalized_name"] == x["food"]["normalized_name"]), acc).otherwise(F.concat(acc, F.array(x))))
     shape = lambda x: F.struct(
-        x["at"].alias("at"), x["alias"].alias("raw_text"), x["normalized_name"].alias("normalized_name"), x["category"].alias("category"), x["slot"].alias("slot"),
-        x["nutrition_key"].alias("nutrition_key"), F.when(F.instr(x["alias"], " ") > 0, 0.9).otherwise(0.75).alias("confidence"),
-    )
-    found = t.select(*keys, F.array_sort(F.transform(once, shape)).alias("matches"))
-    out = items.join(found, keys, "left")
-    empty = F.array().cast("array<struct<at:int,raw_text:string,normalized_name:string,category:string,slot:string,nutrition_key:string,confidence:double>>")
-    out = out.withColumn("matches", F.coalesce("matches", empty))
+        x["at"].alias("at"), x["food"]["alias"].alias("raw_text"), F.when(F.instr(x["food"]["alias"], " ") > 0, 0.9).otherwise(0.75).alias("confidence"), *[x["food"][f].alias(f) for f in fields]
+    )
+    out = t.select("item.*", F.array_sort(F.transform(once, shape)).alias("matches"))
     phrases = F.filter(F.transform(F.split(F.coalesce("description", F.lit("")), PHRASES), match_text), lambda p: F.length(p) >= 3)
     out = out.withColumn("__p", phrases)
     known = F.filter("__p", lambda p: F.exists("matches", lambda m: F.instr(p, m["raw_text"]) > 0))
@@ -110,84 +115,91 @@ def article(word: Column) -> Column:
     return F.when(word.rlike("(?i)^[aeiou]"), "an").otherwise("a")
 
 
-def portions(items: DataFrame, keys: list[str], templates: DataFrame | None = None) -> DataFrame:
-    """One row per item and slot of its dish type's template, after the adjustments that its words ask for."""
-    templates = dims.templates(items.sparkSession) if templates is None else templates
+def with_portions(items: DataFrame, templates: DataFrame, nutrition: DataFrame) -> DataFrame:
+    """Add `slots`, the portions of the dish type's template after the adjustments that the words ask for, and `removed`."""
     kind = F.when(F.col("dish_type") == "unknown", dims.FALLBACK_DISH_TYPE).otherwise(F.col("dish_type"))
-    known = {r[0] for r in templates.select("dish_type").distinct().collect()}
-    t = items.withColumn("__type", F.when(kind.isin(sorted(known)), kind).otherwise(dims.FALLBACK_DISH_TYPE))
-    t = t.join(F.broadcast(templates.withColumnRenamed("dish_type", "__type")), "__type")
-    amount = F.col("amount") * F.when((F.col("slot") == "protein") & F.col("double_protein"), 2.0).otherwise(1.0)
-    amount = F.when((F.col("slot") == "protein") & F.col("stated_ounces").isNotNull(), F.col("stated_ounces")).otherwise(amount)
-    more = (F.col("slot") == "cheese") & F.col("extra_cheese")
-    t = t.withColumns({"amount": F.when(more, amount * 2).otherwise(amount), "assume_when_absent": F.col("assume_when_absent") | more})
-    gone = ((F.col("slot") == "bread") & (F.col("no_bread") | F.col("no_carb"))) | ((F.col("slot") == "carb") & F.col("no_carb"))
-    return t.withColumn("removed", gone).select(*keys, "slot", "slot_ord", "amount", "unit", "default_key", "assume_when_absent", "removed")
-
-
-def estimate_macros(items: DataFrame, keys: list[str], nutrition: DataFrame | None = None, templates: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    food = nutrition.select(F.col("key").alias("default_key"), "label", "serving_amount", "serving_unit", "condiment", *MACROS)
+    slot = F.struct("slot_ord", "slot", "amount", "unit", "assume_when_absent", "default_key", "label", "serving_amount", "serving_unit", "condiment", *MACROS)
+    by_type = templates.join(F.broadcast(food), "default_key", "left").groupBy(F.col("dish_type").alias("__type")).agg(F.array_sort(F.collect_list(slot)).alias("__slots"))
+    t = items.join(F.broadcast(by_type), kind == F.col("__type"), "left")
+    protein, cheese = (lambda s: s["slot"] == "protein"), (lambda s: s["slot"] == "cheese")
+    amount = lambda s: F.when(protein(s) & F.col("stated_ounces").isNotNull(), F.col("stated_ounces")).otherwise(s["amount"] * F.when((protein(s) & F.col("double_protein")) | (cheese(s) & F.col("extra_cheese")), 2.0).otherwise(1.0))
+    gone = lambda s: ((s["slot"] == "bread") & (F.col("no_bread") | F.col("no_carb"))) | ((s["slot"] == "carb") & F.col("no_carb"))
+    change = lambda s: s.withField("amount", amount(s)).withField("assume_when_absent", s["assume_when_absent"] | (cheese(s) & F.col("extra_cheese")))
+    kept = F.transform(F.filter("__slots", lambda s: ~gone(s)), change)
+    return t.withColumns({"slots": kept, "removed": F.transform(F.filter("__slots", gone), lambda s: s["slot"])}).drop("__slots", "__type")
+
+
+def with_costs(t: DataFrame) -> DataFrame:
+    """Add `costs` of the matches and `assumed` of the slots that stay empty, each with factor, whether it counts and fills, and a note."""
+    one = F.concat(article(F.col("__label")), F.lit(" "), F.col("__label"))
+    same = lambda m: F.filter("matches", lambda x: x["slot"] == m["slot"])
+    placed = F.transform(
+        "matches",
+        lambda m: m.withField("portion", F.get(F.filter("slots", lambda s: s["slot"] == m["slot"]), F.lit(0)))
+        .withField("bulk", F.size(F.filter(same(m), lambda x: ~x["condiment"])))
+        .withField("group", F.array_min(F.transform(same(m), lambda x: x["at"]))),
+    )
+    t = t.withColumn("__placed", placed)
+
+    def cost(m: Column) -> Column:
+        slotted, scales = m["portion"].isNotNull(), F.coalesce(m["portion"]["unit"] == m["serving_unit"], F.lit(False))
+        counted = m["condiment"] | slotted | m["slot"].isin(COSTED_WITHOUT_SLOT)
+        share = m["portion"]["amount"] / m["bulk"]
+        note = (
+            F.when(m["condiment"], F.concat(F.lit("Assumed 1 standard serving of "), m["label"], F.lit(".")))
+            .when(~slotted & ~counted, F.concat(F.lit("Did not count "), m["label"], F.lit(" — likely a side or garnish rather than part of "), one, F.lit(".")))
+            .when(~slotted, F.concat(F.lit("Counted 1 standard serving of "), m["label"], F.lit(" ("), one, F.lit(" has no set "), m["slot"], F.lit(" portion).")))
+            .when(scales, F.concat(F.lit("Assumed "), portion_text(half_up(share, 1), m["portion"]["unit"]), F.lit(" of "), m["label"], F.lit(".")))
+            .otherwise(F.concat(F.lit("Assumed 1 standard serving of "), m["label"], F.lit(" (portion units differ).")))
+        )
+        factor = F.when(~counted, 0.0).when(~m["condiment"] & slotted & scales, share / m["serving_amount"]).otherwise(1.0)
+        return F.struct(
+            m["group"].alias("group"), F.when(m["condiment"], 0).otherwise(1).alias("second"), m["at"].alias("at"), counted.alias("counted"), (counted & (m["condiment"] | slotted)).alias("fills"), m["slot"].alias("slot"),
+            m["nutrition_key"].alias("key"), m["normalized_name"].alias("name"), note.alias("say"), *[(m[x] * factor).alias(x) for x in MACROS],
+        )
+
+    t = t.withColumn("costs", F.array_sort(F.transform("__placed", cost)))
+    t = t.withColumn("__by_match", F.transform(F.filter("costs", lambda c: c["fills"]), lambda c: c["slot"]))
+
+    def assumption(s: Column) -> Column:
+        factor = F.when(s["condiment"] | (s["unit"] != s["serving_unit"]), 1.0).otherwise(s["amount"] / s["serving_amount"])
+        note = F.concat(F.lit("Assumed "), portion_text(s["amount"], s["unit"]), F.lit(" of "), s["label"], F.lit(" — typical for "), one, F.lit("."))
+        return F.struct(s["slot"].alias("slot"), s["default_key"].alias("key"), note.alias("say"), *[(s[x] * factor).alias(x) for x in MACROS])
+
+    empty = F.filter("slots", lambda s: s["assume_when_absent"] & s["label"].isNotNull() & ~F.array_contains("__by_match", s["slot"]))
+    return t.withColumn("assumed", F.transform(empty, assumption)).drop("__placed")
+
+
+def estimate_macros(items: DataFrame, keys: list[str], nutrition: DataFrame | None = None, templates: DataFrame | None = None, aliases: DataFrame | None = None, active: Column | None = None) -> DataFrame:
     """Add dish_type, estimated macros, macro_confidence, detected ingredients and assumptions to dishes.
 
     `items` has `keys` (which identify it), dish_name, description, section and, where a menu
     states some macros, partial_calories .. partial_fat_g, which take the estimate's place.
-    The tables of nutrition, templates and aliases are small and broadcast; shuffles are
-    by the keys only.
+    The tables of nutrition, templates and aliases are small and broadcast. Apart from the
+    one aggregation that gathers an item's matches, all is per row. Items that aren't
+    `active` pass through without being searched.
     """
     spark = items.sparkSession
     nutrition = dims.nutrition(spark) if nutrition is None else nutrition
+    templates = dims.templates(spark) if templates is None else templates
     given = items.columns
-    t = items
-    for c in [f"partial_{m}" for m in MACROS]:
-        if c not in t.columns:
-            t = t.withColumn(c, F.lit(None).cast("double"))
+    t = items.withColumns({c: F.lit(None).cast("double") for c in [f"partial_{m}" for m in MACROS] if c not in given})
+    t = detect_ingredients(t, keys, aliases, nutrition, active)
     t = t.withColumn("__kind", dish_type(F.col("dish_name"), F.col("description"), F.col("section")))
-    t = t.withColumns({"dish_type": F.col("__kind.dish_type"), "__supports": F.col("__kind.section_supports")})
-    t = detect_ingredients(t, keys, aliases).withColumns(preparation(F.col("dish_name"), F.col("description")))
+    t = t.withColumns({"dish_type": F.col("__kind.dish_type"), "__supports": F.col("__kind.section_supports")} | preparation(F.col("dish_name"), F.col("description")))
     t = t.withColumn("__label", F.regexp_replace(F.when(F.col("dish_type") == "unknown", dims.FALLBACK_DISH_TYPE).otherwise(F.col("dish_type")), "_", " "))
-
-    slots = portions(t, keys, templates)
-    own = slots.where("NOT removed").drop("removed")
-    m = t.select(*keys, "__label", F.posexplode("matches").alias("m_ord", "m")).select(*keys, "__label", "m_ord", "m.*").withColumnRenamed("nutrition_key", "key")
-    m = m.join(F.broadcast(nutrition), "key").join(own.withColumnRenamed("slot_ord", "__so"), [*keys, "slot"], "left")
-    group = W.partitionBy(*keys, "slot")
-    m = m.withColumns({"__n": F.sum(F.when(~F.col("condiment"), 1).otherwise(0)).over(group), "__group": F.min("m_ord").over(group)})
-    share = F.col("amount") / F.col("__n")
-    slotted, scales = F.col("amount").isNotNull(), F.col("unit") == F.col("serving_unit")
-    counted = F.col("condiment") | slotted | F.col("slot").isin(COSTED_WITHOUT_SLOT)
-    factor = F.when(~counted, 0.0).when(~F.col("condiment") & slotted & scales, share / F.col("serving_amount")).otherwise(1.0)
-    one = F.concat(article(F.col("__label")), F.lit(" "), F.col("__label"))
-    note = (
-        F.when(F.col("condiment"), F.concat(F.lit("Assumed 1 standard serving of "), F.col("label"), F.lit(".")))
-        .when(~slotted & ~counted, F.concat(F.lit("Did not count "), F.col("label"), F.lit(" — likely a side or garnish rather than part of "), one, F.lit(".")))
-        .when(~slotted, F.concat(F.lit("Counted 1 standard serving of "), F.col("label"), F.lit(" ("), one, F.lit(" has no set "), F.col("slot"), F.lit(" portion).")))
-        .when(scales, F.concat(F.lit("Assumed "), portion_text(half_up(share, 1), F.col("unit")), F.lit(" of "), F.col("label"), F.lit(".")))
-        .otherwise(F.concat(F.lit("Assumed 1 standard serving of "), F.col("label"), F.lit(" (portion units differ).")))
-    )
-    order = F.struct(F.lit(2).alias("phase"), F.col("__group").alias("a"), F.when(F.col("condiment"), 0).otherwise(1).alias("b"), F.col("m_ord").alias("c"), note.alias("say"))
-    cost = m.select(*keys, "slot", "key", counted.alias("counted"), (counted & (F.col("condiment") | slotted)).alias("fills"), "normalized_name", order.alias("note"), *[(F.col(x) * factor).alias(x) for x in MACROS])
-
-    filled = cost.where("fills").select(*keys, "slot").distinct()
-    d = own.where("assume_when_absent AND default_key IS NOT NULL").join(filled, [*keys, "slot"], "left_anti")
-    d = d.join(t.select(*keys, "__label"), keys).join(F.broadcast(nutrition.withColumnRenamed("key", "default_key")), "default_key")
-    factor = F.when(F.col("condiment") | (F.col("unit") != F.col("serving_unit")), 1.0).otherwise(F.col("amount") / F.col("serving_amount"))
-    note = F.concat(F.lit("Assumed "), portion_text(F.col("amount"), F.col("unit")), F.lit(" of "), F.col("label"), F.lit(" — typical for "), one, F.lit("."))
-    order = F.struct(F.lit(3).alias("phase"), F.col("slot_ord").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"), note.alias("say"))
-    assumed = d.select(*keys, "slot", F.col("default_key").alias("key"), F.lit(True).alias("counted"), F.lit(True).alias("fills"), F.lit(None).cast("string").alias("normalized_name"), order.alias("note"), *[(F.col(x) * factor).alias(x) for x in MACROS])
-
-    rows = cost.unionByName(assumed)
-    sums = rows.groupBy(*keys).agg(
-        *[F.sum(x).alias(f"__{x}") for x in MACROS],
-        F.collect_set(F.when(F.col("counted"), F.col("key"))).alias("__keys"),
-        F.collect_set(F.when(F.col("fills"), F.col("slot"))).alias("__filled"),
-        F.collect_set(F.when(F.col("counted"), F.col("normalized_name"))).alias("__counted"),
-        F.array_sort(F.collect_list("note")).alias("__notes"),
-    )
-    removed = slots.where("removed").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("slot_ord", "slot"))).alias("__removed"))
-    t = t.join(sums, keys, "left").join(removed, keys, "left")
-    t = t.withColumns({f"__{x}": F.coalesce(f"__{x}", F.lit(0.0)) for x in MACROS})
-    none = F.array().cast("array<string>")
-    t = t.withColumns({c: F.coalesce(c, none) for c in ("__keys", "__filled", "__counted")})
-    return finish(t).select(*[c for c in given if c not in ("dish_type",)], "dish_type", *MACROS, "macro_confidence", "detected_ingredients", "assumptions")
+    t = with_costs(with_portions(t, templates, nutrition))
+    total = lambda c, m: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x[m])
+    t = t.withColumns({f"__{m}": total("costs", m) + total("assumed", m) for m in MACROS})
+    paid = lambda f: F.transform(F.filter("costs", lambda c: c["counted"]), lambda c: c[f])
+    t = t.withColumns({
+        "__keys": F.concat(paid("key"), F.transform("assumed", lambda c: c["key"])),
+        "__filled": F.concat("__by_match", F.transform("assumed", lambda c: c["slot"])),
+        "__counted": paid("name"),
+        "__notes": F.concat(F.transform("costs", lambda c: c["say"]), F.transform("assumed", lambda c: c["say"])),
+    })
+    return finish(t).select(*[c for c in given if c != "dish_type"], "dish_type", *MACROS, "macro_confidence", "detected_ingredients", "assumptions")
 
 
 def finish(t: DataFrame) -> DataFrame:
@@ -210,14 +222,14 @@ def finish(t: DataFrame) -> DataFrame:
     core = filled("protein") & (filled("carb") | filled("bread") | filled("vegetable"))
     protein = F.exists("matches", lambda m: m["slot"] == "protein")
     confidence = macro_confidence(F.col("dish_name"), F.col("dish_type"), F.col("description"), protein, F.size("matches"), core, F.col("__supports"), F.col("phrases_known"), F.col("phrases"))
-    gone = F.array_join(F.transform("__removed", lambda x: x["slot"]), " and ")
+    gone = F.array_join("removed", " and ")
     unit = {"calories": ("calorie count", ""), "protein_g": ("protein", "g"), "carbs_g": ("carb count", "g"), "fat_g": ("fat count", "g")}
     before = [
         F.when(F.col("dish_type") == "unknown", f"Dish type not recognized; used generic {dims.FALLBACK_DISH_TYPE} portions."),
         F.when(F.col("double_protein"), "Doubled the protein portion for a double/extra protein item."),
         F.when(F.col("stated_ounces").isNotNull(), F.concat(F.lit("Used the "), number_text(F.col("stated_ounces")), F.lit(" oz protein portion stated on the menu."))),
         F.when(F.col("extra_cheese"), "Doubled the cheese portion for an extra-cheese item."),
-        F.when(F.col("__removed").isNotNull(), F.concat(F.lit("Removed the "), gone, F.lit(" portion — the item is described as low-carb or served without it."))),
+        F.when(F.size("removed") > 0, F.concat(F.lit("Removed the "), gone, F.lit(" portion — the item is described as low-carb or served without it."))),
     ]
     after = [F.when(fires[k], F.when(has(v[1]), v[3]).otherwise(v[2])) for k, v in DELTAS.items()]
     after += [
@@ -225,7 +237,6 @@ def finish(t: DataFrame) -> DataFrame:
         F.when(F.col("half_portion"), "Halved the estimate — the name marks this as a half portion."),
         *[F.when(F.col(f"partial_{m}").isNotNull(), F.concat(F.lit(f"Used the {unit[m][0]} printed on the menu ("), number_text(F.col(f"partial_{m}")), F.lit(f"{unit[m][1]}) instead of estimating it."))) for m in MACROS],
     ]
-    notes = F.coalesce(F.transform("__notes", lambda x: x["say"]), F.array().cast("array<string>"))
-    assumptions = F.concat(F.array_compact(F.array(*before)), notes, F.array_compact(F.array(*after)))
+    assumptions = F.concat(F.array_compact(F.array(*before)), F.col("__notes"), F.array_compact(F.array(*after)))
     detected = F.transform("matches", lambda m: F.struct(m["raw_text"].alias("raw_text"), m["normalized_name"].alias("normalized_name"), m["category"].alias("category"), m["confidence"].alias("confidence"), F.array_contains("__counted", m["normalized_name"]).alias("counted_in_macros")))
     return t.withColumns(whole | {"macro_confidence": confidence, "assumptions": assumptions, "detected_ingredients": detected})

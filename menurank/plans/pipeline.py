@@ -39,27 +39,34 @@ def decide(dishes: DataFrame) -> DataFrame:
     return d.withColumns({"is_side": is_side(F.col("section"), F.col("dish_type")), "exclusion_reason": why})
 
 
-def with_macros(dishes: DataFrame, text: Column, least: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
-    """(items, excluded) of dishes; `text` is where macros may be published.
+def with_macros(dishes: DataFrame, text: Column, least: float = MIN_CONFIDENCE) -> DataFrame:
+    """All dishes with their macros or, in exclusion_reason, why they are out; `text` is where macros may be published.
 
-    Dishes that are out by rule never reach the costing, nor do those with published macros; of the
-    others, those that are estimated with less confidence than `least` are out too.
+    One pass: dishes that are out by rule, and those with published macros, go along without
+    being searched for ingredients. Of the others, those that are estimated with less
+    confidence than `least` are out too.
     """
-    d = decide(dishes).withColumn("__text", text)
-    kept = read_macros(d.where("exclusion_reason IS NULL"), F.col("__text")).drop("__text")
-    stated = kept.where("published_calories IS NOT NULL")
-    stated = stated.select(*DISH, "dish_type", "is_side", *[F.col(f"published_{m}").alias(m) for m in MACROS], F.lit("published").alias("macro_source"), F.lit(PUBLISHED_CONFIDENCE).alias("macro_confidence"), F.array().cast("array<string>").alias("assumptions"))
-    guessed = estimate_macros(kept.where("published_calories IS NULL"), KEYS)
-    guessed = guessed.select(*DISH, "dish_type", "is_side", *MACROS, F.lit("estimated").alias("macro_source"), "macro_confidence", "assumptions", "detected_ingredients")
-    sure = F.col("macro_confidence") >= least
-    items = guessed.where(sure).unionByName(stated, allowMissingColumns=True)
-    unsure = F.format_string(f"Not enough information to estimate macros (confidence %.2f, minimum {least:g})", F.col("macro_confidence"))
-    out = d.where("exclusion_reason IS NOT NULL").select(*DISH, "dish_type", "exclusion_reason", F.lit("rule").alias("excluded_by"))
-    return items, out.unionByName(guessed.where(~sure).select(*DISH, "dish_type", unsure.alias("exclusion_reason"), F.lit("confidence").alias("excluded_by")))
+    d = decide(dishes).withColumn("__text", F.when(F.col("exclusion_reason").isNull(), text))
+    d = read_macros(d, F.col("__text")).withColumn("__why", F.col("exclusion_reason"))
+    guess = F.col("__why").isNull() & F.col("published_calories").isNull()
+    d = estimate_macros(d.drop("dish_type"), KEYS, active=guess)
+    unsure = guess & (F.col("macro_confidence") < least)
+    say = F.format_string(f"Not enough information to estimate macros (confidence %.2f, minimum {least:g})", F.col("macro_confidence"))
+    stated = F.col("published_calories").isNotNull()
+    none = F.array().cast("array<string>")
+    return d.select(
+        *DISH, "dish_type", "is_side", F.coalesce("__why", F.when(unsure, say)).alias("exclusion_reason"), F.when(F.col("__why").isNotNull(), "rule").when(unsure, "confidence").alias("excluded_by"),
+        *[F.when(F.col("__why").isNull(), F.coalesce(f"published_{m}", m)).alias(m) for m in MACROS], F.when(F.col("__why").isNull(), F.when(stated, "published").otherwise("estimated")).alias("macro_source"),
+        F.when(F.col("__why").isNull(), F.when(stated, PUBLISHED_CONFIDENCE).otherwise(F.col("macro_confidence"))).alias("macro_confidence"), F.when(guess, F.col("assumptions")).otherwise(none).alias("assumptions"), F.when(guess, F.col("detected_ingredients")).alias("detected_ingredients"),
+    )
 
 
 def extract(pages: DataFrame, least: float = MIN_CONFIDENCE) -> Extraction:
-    """Kept dishes, excluded dishes with reasons, a report per page, and PDF links of pages without dishes."""
+    """Kept dishes, excluded dishes with reasons, a report per page, and PDF links of pages without dishes.
+
+    All four come from one table of judged dishes, which is persisted: Spark spills it and
+    computes lost parts again.
+    """
     p = resolve_source(pages)
     from_html = html_text(p.where("source_type = 'html' AND html IS NOT NULL"))
     names = from_html.select("page_id", restaurant_name(F.col("title")).alias("restaurant_name"))
@@ -68,8 +75,9 @@ def extract(pages: DataFrame, least: float = MIN_CONFIDENCE) -> Extraction:
     by_line = by_line.select(*DISH, F.concat_ws(" ", "dish_name", "description").alias("read"))
     by_block = block_items(exploded_blocks(p.where("source_type = 'dom'"))).withColumn("source_type", F.lit("dom")).select(*DISH, F.col("text").alias("read"))
     dishes = by_line.unionByName(by_block)
-    items, excluded = with_macros(dishes, F.col("read"), least)
-    items, excluded = items.drop("read"), excluded
+    judged = with_macros(dishes, F.col("read"), least).persist()
+    items = judged.where("exclusion_reason IS NULL").drop("exclusion_reason", "excluded_by")
+    excluded = judged.where("exclusion_reason IS NOT NULL").select(*DISH, "dish_type", "exclusion_reason", "excluded_by")
 
     counts = items.groupBy("page_id").agg(F.count(F.lit(1)).alias("items"), F.max(F.col("macro_source") == "estimated").alias("estimated"))
     out = excluded.groupBy("page_id").agg(F.count(F.lit(1)).alias("excluded"), F.count_if(F.col("excluded_by") == "confidence").alias("suppressed"))

@@ -127,7 +127,7 @@ PAGE = """<html><head><title>The Corner Kitchen | Menu</title><style>x</style></
 
 def test_extract(spark):
     pages = spark.createDataFrame(
-        [(1, "http://a.b/c", PAGE, None), (2, None, None, MENU), (3, None, None, None), (4, "http://a.b/", "<p>Nothing to eat here <a href='x/menu.pdf'>Menu</a></p>", None), (5, None, None, "Entrees\nSkate Grenobloise\nChef's Special\nBaja Chicken Bowl 15.95\nchicken, rice, beans and more\n")],
+        [(1, "http://a.b/c", PAGE, None), (2, None, None, MENU), (3, None, None, None), (4, "http://a.b/", "<p>nothing to eat here <a href='x/menu.pdf'>Menu</a></p>", None), (5, None, None, "Entrees\nSkate Grenobloise\nChef's Special\nBaja Chicken Bowl 15.95\nchicken, rice, beans and more\n")],
         "page_id long, url string, html string, text string",
     )
     found = extract(pages)
