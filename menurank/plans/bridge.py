@@ -85,7 +85,8 @@ LISTINGS = """listings AS (
 
 def meal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_meals(each_goal(listings(spark, sf_dir)))
-    parts = [F.round(f"components.{c}", 6).alias(c) for c in ("protein_efficiency", "goal_fit", "total_protein", "balance")]
+    # halves of the last place go up on both sides, whatever the last bits of a sum are
+    parts = [(F.floor(F.col(f"components.{c}") * 1e6 + 0.5001) / 1e6).alias(c) for c in ("protein_efficiency", "goal_fit", "total_protein", "balance")]
     return scored.select("page_id", *LINE_KEYS, "goal", "score", *parts, F.array_join("penalties", ",").alias("penalties"), F.array_join("caps", ",").alias("caps"))
 
 
@@ -341,7 +342,7 @@ WHITE_SQL = r"[\t\n\x0B\f\r    -     　﻿]".replace(r"\x0B", r"\x{0B}")
 QUERIES = {f.__name__: f for f in (meal_scores, meal_weights, meal_badges, meal_ranks, meal_top5, dish_types, dish_inclusion, dish_confidence, dish_costs, published_macros, menu_segments, menu_line_counts, event_blocks, text_quality, text_lines, page_text, page_links, page_sources, page_card_blocks, menu_extraction, menu_report, menu_recommendations)}
 
 SQL = {
-    "meal_scores": f"""WITH {LISTINGS} SELECT {KEY_SQL}, goal, score, round(efficiency, 6) AS protein_efficiency, round(goal_fit, 6) AS goal_fit, round(total_p, 6) AS total_protein, round(balance, 6) AS balance,
+    "meal_scores": f"""WITH {LISTINGS} SELECT {KEY_SQL}, goal, score, floor(efficiency * 1e6::DOUBLE + 0.5001::DOUBLE) / 1e6::DOUBLE AS protein_efficiency, floor(goal_fit * 1e6::DOUBLE + 0.5001::DOUBLE) / 1e6::DOUBLE AS goal_fit, floor(total_p * 1e6::DOUBLE + 0.5001::DOUBLE) / 1e6::DOUBLE AS total_protein, floor(balance * 1e6::DOUBLE + 0.5001::DOUBLE) / 1e6::DOUBLE AS balance,
   array_to_string(list_filter([CASE WHEN calories >= 800 AND ratio < 0.05 THEN 'highCalorieWeakProtein' END, CASE WHEN ratio < 0.04 THEN 'poorProteinRatio' END, CASE WHEN fr > extreme THEN 'extremeFatToProtein' END], lambda x: x IS NOT NULL), ',') AS penalties,
   array_to_string(list_filter([CASE WHEN protein_g < 15 THEN 'veryLowProtein' WHEN protein_g < 20 THEN 'lowProtein' END, CASE WHEN calories < 300 AND protein_g < 30 THEN 'lowCalorieForEntree' END], lambda x: x IS NOT NULL), ',') AS caps FROM scored""",
     "meal_weights": "WITH " + LISTINGS.replace("0.5::DOUBLE * efficiency + 0.25::DOUBLE * goal_fit + 0.125::DOUBLE * total_p + 0.125::DOUBLE * balance", "0.25::DOUBLE * efficiency + 0.25::DOUBLE * goal_fit + 0.25::DOUBLE * total_p + 0.25::DOUBLE * balance") + " SELECT goal, category, count(*) AS meals, sum(score)::BIGINT AS score_sum, min(score) AS score_min, max(score) AS score_max FROM scored GROUP BY goal, category",
@@ -369,5 +370,5 @@ SELECT doc_id, CASE WHEN text IS NULL OR n < 200 THEN 'only ' || coalesce(n, 0)
   WHEN n - w > 0 AND a / (n - w) < 0.5 THEN 'text is mostly unreadable characters' WHEN NOT regexp_matches(text, '\$?\d{{1,3}}\.\d{{2}}\b') AND short < 3 THEN 'no price or dish-like patterns found' END AS reason,
   len(regexp_extract_all(text, '\$\d{{1,3}}(?:\.\d{{2}})?')) >= 3 AND regexp_matches(text, '\b(menu|entrees?|appetizers?|bowls?|sandwiches|burgers?|salads?)\b', 'i') AS likely_menu FROM t""",
     "page_sources": """SELECT page_id, CASE WHEN page_id % 7 = 0 AND page_id % 3 = 0 THEN 'pdf_text' WHEN page_id % 7 = 0 THEN 'raw_text' WHEN page_id % 3 = 0 THEN 'pdf_ocr_needed' ELSE 'html' END AS source_type,
-  CASE WHEN page_id % 5 = 0 AND page_id % 7 <> 0 AND page_id % 3 <> 0 THEN 'Could not download ' || url || '.' END AS source_warning, 'url' AS url_kind, true AS pdf_url FROM pages""",
+  CASE WHEN page_id % 5 = 0 AND page_id % 7 <> 0 AND page_id % 3 <> 0 THEN 'Could not download ' || url || '.' END AS source_warning, 'url' AS url_kind, NOT contains(url, '#') AS pdf_url FROM pages""",
 }
