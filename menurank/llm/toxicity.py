@@ -51,8 +51,11 @@ def char_grams(data: np.ndarray, offsets: np.ndarray, bits: int = BITS, grams: t
     return (keys & ((1 << bits) - 1)).astype(np.int32), np.searchsorted(keys, np.arange(n + 1, dtype=np.int64) << bits)
 
 
-def log_count_ratios(rows: DataFrame, bits: int = BITS, alpha: float = 1.0) -> np.ndarray:
-    """log of the features' smoothed shares in toxic and in other texts of `rows` (y, t), counted in the tasks."""
+def log_count_ratios(rows: DataFrame, bits: int = BITS, alpha: float = 1.0, informative: float = 4.0) -> np.ndarray:
+    """log of the features' smoothed shares in toxic and in other texts of `rows` (y, t), counted in the tasks.
+
+    A ratio of fewer than `informative` standard deviations is 0: chance, not a sign.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, (1 << bits) + 1))
@@ -72,7 +75,7 @@ def log_count_ratios(rows: DataFrame, bits: int = BITS, alpha: float = 1.0) -> n
     sums = sums.reshape(2, -1) if np.ndim(sums) else np.zeros((2, (1 << bits) + 1))
     p, q = sums[1, :-1] + alpha, sums[0, :-1] + alpha
     ratios = np.log(p / (sums[1, -1] + 2 * alpha)) - np.log(q / (sums[0, -1] + 2 * alpha))
-    return np.where(sums[0, :-1] + sums[1, :-1] >= 3, ratios, 0.0).astype(np.float32)
+    return np.where(np.abs(ratios) >= informative * np.sqrt(1 / p + 1 / q), ratios, 0.0).astype(np.float32)
 
 
 def logistic(scores: np.ndarray, y: np.ndarray, extra: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -81,13 +84,13 @@ def logistic(scores: np.ndarray, y: np.ndarray, extra: np.ndarray) -> tuple[floa
     return float(np.sum(np.logaddexp(0, z) - y * z)), p - y, np.array([np.sum(p - y)])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, most_rows: int = 24_000, informative: float = 0.7, steps: int = 40) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, most_rows: int = 24_000, informative: float = 4.0, steps: int = 40) -> tuple[np.ndarray, float]:
     """(weights, intercept) of the classifier from the labelled rows of `docs`.
 
     Fitted on at most about `most_rows` labels, picked per class by a hash of the id; so
     few ids that they are sent to the scan of `docs`, whose texts aren't shuffled.
-    Features whose log-count ratio is under `informative` are left out; the others have
-    it as their value. Without both classes the weights are 0 and the intercept is the
+    Features whose log-count ratio is within `informative` standard deviations of 0 are left
+    out; the others have it as their value. Without both classes the weights are 0 and the intercept is the
     log odds of what there is.
     """
     gold = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("double").alias("y"))
@@ -98,8 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     prior = float(np.log((seen.get(1.0, 0) + 0.5) / (seen.get(0.0, 0) + 0.5)))
     if len(seen) < 2:
         return np.zeros(1 << BITS, dtype=np.float32), prior
-    ratios = log_count_ratios(rows)
-    ratios = np.where(np.abs(ratios) >= informative, ratios, 0.0).astype(np.float32)
+    ratios = log_count_ratios(rows, informative=informative)
     sent = rows.sparkSession.sparkContext.broadcast(ratios)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.ListArray.from_arrays(pa.array(bounds), pa.array(index)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(r[index]))], ["y", "index", "value"])
 
     sample = durable(rows.select("y", "t").mapInArrow(features, "y double, index array<int>, value array<float>"))
-    weights, extra = fit(sample, 1 << BITS, np.array([prior]), logistic, steps=steps, rate=0.02, l2=1e-4)
+    weights, extra = fit(sample, 1 << BITS, np.array([prior]), logistic, steps=steps, rate=0.1, l2=1e-4)
     return (weights * ratios).astype(np.float32), float(extra[0])
 
 
