@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text
@@ -15,6 +14,8 @@ from .components import components
 from .jobs import durable
 
 SEED = 20240611
+#: Most rows and shingles, about, of a part of a family.
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 150_000
 
 
 def permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,34 +57,8 @@ def band_keys(signatures: np.ndarray, count: int, rows: int) -> np.ndarray:
     return np.stack(bands, axis=1).view(np.int64)
 
 
-def sketches(signatures: np.ndarray) -> np.ndarray:
-    """The low four bits of each signature value, sixteen to a long."""
-    width = -(-signatures.shape[1] // 16) * 16
-    low = np.zeros((len(signatures), width), dtype=np.uint64)
-    low[:, : signatures.shape[1]] = (signatures >> np.uint64(7)) & np.uint64(15)
-    low = low.reshape(len(signatures), -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
-    return np.bitwise_or.reduce(low, axis=2).view(np.int64)
-
-
-def most_differing(values: int, percent: int, deviations: float = 4.5) -> int:
-    """How many of a sketch's values may differ between two sets at the threshold, but for a chance of that many deviations."""
-    differ = (1 - percent / 100) * 15 / 16
-    return math.ceil(values * differ + deviations * math.sqrt(values * differ * (1 - differ)))
-
-
-def differing(a: str, b: str, longs: int) -> Column:
-    """In how many values two sketches differ: the longs' nibbles, folded to one bit each and counted."""
-    out = F.lit(0)
-    for i in range(longs):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        out = out + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return out
-
-
 def features(docs: DataFrame, id_col: str, text_col: str, shingle: int, count: int, rows: int) -> DataFrame:
-    """(id, n, k1, k2, bands, sketch) per row: size of the shingle set, its fingerprint in 128 bits, band keys, sketch."""
+    """(id, n, k1, k2, bands) per row: size of the shingle set, its fingerprint in 128 bits, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,11 +74,11 @@ def features(docs: DataFrame, id_col: str, text_col: str, shingle: int, count: i
                 bounds = np.concatenate(([0], np.cumsum(n)))
                 prints = [np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(text.mix(grams ^ np.uint64(salt)), dtype=np.uint64))) for salt in (0x51ED270B, 0xA24BAED4963EE407)]
                 prints = [(s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in prints]
-                signatures = min_max_signatures(grams, bounds, count)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1))) for x in (band_keys(signatures, count, rows), sketches(signatures))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(n.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), *lists], ["id", "n", "k1", "k2", "bands", "sketch"])
+                keys = band_keys(min_max_signatures(grams, bounds, count), count, rows)
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(n.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), bands], ["id", "n", "k1", "k2", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -127,7 +102,58 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80, permutations: int = 60, band_rows: int = 5, leader_rounds: int = 4, few_pairs: int = 200) -> DataFrame:
+def link_families(members: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) between rows of different `comp` in the same `family`, by full comparison in blocks.
+
+    `members`: (family, comp, node, n, t). A family's rows are dealt into parts of about
+    BLOCK_ROWS rows and BLOCK_SHINGLES shingles, those of its largest component apart from the
+    others; two parts of the largest aren't compared. Each row returns one link per component
+    that it links with, not its pairs.
+    """
+    sizes = members.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    sizes = sizes.groupBy("family").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max(F.struct("c", "comp", "s")).alias("m"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    parts = lambda c, s: F.ceil(F.greatest(c / BLOCK_ROWS, s / BLOCK_SHINGLES, F.lit(1.0))).cast("int")
+    sizes = sizes.select("family", "main", parts(F.col("m.c"), F.col("m.s")).alias("km"), parts(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s")).alias("ks"))
+    t = members.join(sizes, "family")
+    main = F.col("comp") == F.col("main")
+    own = F.when(main, F.pmod(F.xxhash64("node"), F.col("km"))).otherwise(F.col("km") + F.pmod(F.xxhash64("node"), F.col("ks"))).cast("int")
+    t = t.withColumn("part", own).withColumn("other", F.explode(F.sequence(F.when(main, F.col("km")).otherwise(F.lit(0)), F.col("km") + F.col("ks") - 1)))
+    t = t.select("family", "comp", "node", "t", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        p, q = key[1].as_py(), key[2].as_py()
+        node, comp, part = (group[c].to_numpy() for c in ("node", "comp", "part"))
+        sets, at = [], [0]
+        data, offsets = text.raw(group["t"])
+        for begin, end in text.slices(offsets):
+            grams, bounds = text.shingles(text.split(data, offsets[begin : end + 1]), shingle)
+            sets += [np.unique(grams[bounds[i] : bounds[i + 1]]) for i in range(end - begin)]
+        at = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        n = np.diff(at)
+        there = np.flatnonzero(part == q)
+        columns = np.concatenate([ids[at[j] : at[j + 1]] for j in there]) if len(there) else ids[:0]
+        starts = np.concatenate(([0], np.cumsum(n[there])))
+        has = np.zeros(len(ids), dtype=np.int32)
+        a, b = [], []
+        for i in np.flatnonzero(part == p):
+            mine = ids[at[i] : at[i + 1]]
+            has[mine] = 1
+            both = np.concatenate(([0], np.cumsum(has[columns])))
+            both = both[starts[1:]] - both[starts[:-1]]
+            has[mine] = 0
+            good = (100 * both >= percent * (n[i] + n[there] - both)) & (both > 0) & (comp[there] != comp[i])
+            if good.any():
+                linked = there[good]
+                linked = linked[np.unique(comp[linked], return_index=True)[1]]
+                a += [node[i]] * len(linked)
+                b += node[linked].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return t.groupBy("family", "p", "q").applyInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80, permutations: int = 60, band_rows: int = 5) -> DataFrame:
     """Groups of documents whose word-shingle sets have a Jaccard similarity of at least percent/100.
 
     Returns a row for each row of `docs`: id, n_shingles, component_id (smallest id
@@ -137,61 +163,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
       size costs one grouped minimum.
     * Each node gets minima and maxima of `permutations` hash functions, banded by
       `band_rows`: 24 bands of 5 miss a pair at similarity 0.85 once in a million.
-    * In a bucket, members are compared with one leader, confirmed on full sets;
-      confirmed links are contracted, and only buckets that still hold several
-      components go on. When the pairs across components are at most `few_pairs` times
-      the members of such buckets, or after `leader_rounds`, all of them are compared;
-      before that, the members are compared with another leader. Sketches of four bits per
-      minimum or maximum leave out those of these pairs whose estimate is more than 4.5
-      deviations under the threshold. Within a component no pair is needed, so no link between components is lost and a bucket of near copies
-      isn't expanded into its pairs.
+    * In a bucket, members are compared with its smallest node, confirmed on full sets,
+      and confirmed links are contracted.
+    * Nodes that buckets tie together are a family. Where a family still has several
+      components, all that isn't in the largest is compared in full with all of the family, in
+      blocks of bounded size; blocks return links, never pairs. So no link between
+      components is lost, and within a component none is looked for.
 
     Empty, null and blank texts have n_shingles 0 and link with nothing. A null id
     makes its row a component of its own (component_id null, kept true). Rows that
-    share an id are grouped each by its own text. An empty table gives an empty result; other
-    columns are ignored.
+    share an id are grouped each by its own text. An empty table gives an empty result;
+    other columns are ignored.
     """
     feats = durable(features(docs, id_col, text_col, shingle, permutations, band_rows))
     real = feats.where("n > 0 AND id IS NOT NULL")
-    nodes = real.groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "bands", "sketch")).alias("s"))
-    nodes = durable(nodes.select("k1", "k2", "n", F.col("s.id").alias("node"), F.col("s.bands").alias("bands"), F.col("s.sketch").alias("sketch")))
-    entries = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    nodes = real.groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "bands")).alias("s"))
+    nodes = durable(nodes.select("k1", "k2", "n", F.col("s.id").alias("node"), F.col("s.bands").alias("bands")))
+    entries = nodes.select("node", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader != other").select("key", "leader")
-    buckets = durable(entries.join(shared, "key"))
-    pairs = durable(buckets.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    wanted = buckets.select(F.col("node").alias("id")).distinct()
-    texts = durable(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).join(wanted, "id", "left_semi"))
-
-    links = confirm(pairs, texts, shingle, percent)
-    groups, known, tried, everything = None, None, None, False
-    for turn in range(1, leader_rounds + 2):
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = durable(links)
-        if groups is None or not found.isEmpty():
-            known = found if groups is None else known.unionByName(found)
-            groups = components(known)
-        if turn == leader_rounds + 1 or everything:
-            break
-        members = buckets.join(groups, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("comp"))
-        parts = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("pick"))
-        pick = F.min(F.struct("pick", "comp")).alias("pick")
-        still = parts.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("within"), pick).where("n * n > within")
-        still = durable(still.select("key", "n", ((F.col("n") * F.col("n") - F.col("within")) / 2).alias("across"), F.col("pick.pick.node").alias("leader"), F.col("pick.comp").alias("leads")))
-        size = still.agg(F.sum("n"), F.sum("across")).first()
-        if not size[0]:
-            break
-        everything = turn == leader_rounds or size[1] <= few_pairs * size[0]
-        if everything:
-            # once per pair, in the first band that both share, and only if their sketches may be near
-            left = members.join(still.select("key"), "key", "left_semi").join(nodes.select("node", "bands", "sketch"), "node")
-            near = (F.col("x.comp") < F.col("y.comp")) & (differing("x.sketch", "y.sketch", -(-permutations // 8)) <= most_differing(2 * permutations, percent))
-            for i in range(2 * (permutations // band_rows)):
-                near = near & ((F.col("x.band") <= i) | (F.col("x.bands")[i] != F.col("y.bands")[i]))
-            pairs = left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        else:
-            pairs = members.join(still, "key").where("comp != leads").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
-        pairs = durable(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        links = confirm(pairs, texts, shingle, percent)
+    pairs = durable(entries.join(shared, "key").where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
+    families = components(pairs)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    texts = durable(texts.join(families.select(F.col("node").alias("id")), "id", "left_semi").dropDuplicates())
+
+    links = durable(confirm(pairs, texts, shingle, percent))
+    groups = components(links)
+    members = families.withColumnRenamed("component", "family").join(groups, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    several = members.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("family")
+    members = members.join(several, "family").join(nodes.groupBy("node").agg(F.max("n").alias("n")), "node").join(texts.withColumnRenamed("id", "node"), "node")
+    more = durable(link_families(members, shingle, percent))
+    if not more.isEmpty():
+        groups = components(links.unionByName(more))
 
     named = nodes.select("k1", "k2", "n", "node")
     named = named.join(groups, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component_id"))
