@@ -43,6 +43,24 @@ def gram_ends(symbols: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarra
     return ends[inside], runs[inside] if len(runs) else runs
 
 
+def pack(x: np.ndarray) -> bytes:
+    """The bytes of x by place, first bytes first: the empty high bytes of small numbers stand together and compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
+
+
 def spread(hashes: np.ndarray, shards: int) -> np.ndarray:
     """Bounds of the shards in sorted hashes; shards are even ranges of the hash."""
     edges = [(i << 64) // shards for i in range(shards)]
@@ -58,13 +76,13 @@ def vocabulary(docs: DataFrame, shards: int) -> tuple[int, int]:
             symbols = symbols[place > 0]
             found = np.unique(symbols)
             edges = spread(found, shards)
-            payload = [found[edges[i] : edges[i + 1]].tobytes() for i in range(shards)]
+            payload = [pack_sorted(found[edges[i] : edges[i + 1]]) for i in range(shards)]
             total = np.zeros(shards, dtype=np.int64)
             total[0] = len(symbols)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(shards)), pa.array(total), pa.array(payload, pa.binary())], ["shard", "n", "h"])
 
     def merge(group: pa.Table) -> pa.Table:
-        found = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in group["h"]]))
+        found = np.unique(np.concatenate([unpack_sorted(x.as_buffer()) for x in group["h"]]))
         return pa.table({"n": [int(np.sum(group["n"].to_numpy()))], "v": [len(found)]}, schema=pa.schema([("n", pa.int64()), ("v", pa.int64())]))
 
     row = docs.select("t").mapInArrow(distinct, "shard long, n long, h binary").groupBy("shard").applyInArrow(merge, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
@@ -111,19 +129,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, he
             counts[np.searchsorted(found, some)] = times
             edges = spread(found, blocks)
             part = pa.RecordBatch.from_arrays(
-                [pa.array(np.full(blocks, key[0].as_py())), pa.array(np.arange(blocks)), pa.array(np.full(blocks, k, dtype=np.int32)), pa.array([found[edges[i] : edges[i + 1]].tobytes() for i in range(blocks)], pa.binary()), pa.array([counts[edges[i] : edges[i + 1]].tobytes() for i in range(blocks)], pa.binary())],
+                [pa.array(np.full(blocks, key[0].as_py())), pa.array(np.arange(blocks)), pa.array(np.full(blocks, k, dtype=np.int32)), pa.array([pack_sorted(found[edges[i] : edges[i + 1]]) for i in range(blocks)], pa.binary()), pa.array([pack(counts[edges[i] : edges[i + 1]]) for i in range(blocks)], pa.binary())],
                 ["block", "shard", "k", "h", "c"],
             )
             out.append(part)
         return pa.Table.from_batches(out)
 
     def answer(group: pa.Table) -> pa.Table:
-        hashes = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in group["h"]]
-        counts = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in group["c"]])
+        hashes = [unpack_sorted(x.as_buffer()) for x in group["h"]]
+        counts = np.concatenate([unpack(x.as_buffer(), np.uint32) for x in group["c"]])
         _, which = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.bincount(which, weights=counts).astype(np.uint32)[which] if len(which) else counts
         cuts = np.concatenate(([0], np.cumsum([len(x) for x in hashes])))
-        return pa.table([group["block"], group["shard"], group["k"], pa.array([total[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(hashes))], pa.binary())], names=["block", "shard", "k", "c"])
+        return pa.table([group["block"], group["shard"], group["k"], pa.array([pack(total[cuts[i] : cuts[i + 1]]) for i in range(len(hashes))], pa.binary())], names=["block", "shard", "k", "c"])
 
     def walk(group: pa.Table, answers: pa.Table) -> pa.Table:
         symbols, bounds, place = sequences(group["t"].combine_chunks())
@@ -132,7 +150,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, he
         for k in range(1, order + 1):
             ends, grams = gram_ends(symbols, place, k)
             mine = answers.filter(pa.compute.equal(answers["k"], k))
-            counts = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in mine["c"]]).astype(np.float64)
+            counts = np.concatenate([unpack(x.as_buffer(), np.uint32) for x in mine["c"]]).astype(np.float64)
             _, which = np.unique(grams, return_inverse=True)
             c = np.zeros(len(symbols))
             c[ends] = counts[which]
