@@ -47,7 +47,7 @@ def fit(sample: DataFrame, size: int, extra: np.ndarray, loss: Loss, *, steps: i
     task; the driver takes an Adam step on their sum.
     """
     spark = sample.sparkSession
-    w, total = np.zeros(size + len(extra)), None
+    w = np.zeros(size + len(extra))
     w[size:] = extra
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
@@ -64,14 +64,13 @@ def fit(sample: DataFrame, size: int, extra: np.ndarray, loss: Loss, *, steps: i
                 out[size:] += more
                 n += len(y)
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([out.astype(np.float64).tobytes()], pa.binary())], ["n", "g"])
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([out.astype(np.float32).tobytes()], pa.binary())], ["n", "g"])
 
         parts = sample.mapInArrow(gradient, "n long, g binary").collect()
-        sent.unpersist()
+        sent.destroy()
         if not parts:
             break
-        total = sum(r["n"] for r in parts)
-        g = sum(np.frombuffer(r["g"]) for r in sorted(parts, key=lambda r: (r["n"], bytes(r["g"][:64])))) / total
+        g = sum(np.frombuffer(r["g"], dtype=np.float32).astype(np.float64) for r in parts) / sum(r["n"] for r in parts)
         g[:size] += l2 * w[:size]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)

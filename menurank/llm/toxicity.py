@@ -102,10 +102,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(seen) < 2:
         return np.zeros(1 << BITS, dtype=np.float32), prior
     ratios = log_count_ratios(rows, informative=informative)
-    sent = rows.sparkSession.sparkContext.broadcast(ratios)
+    used = np.flatnonzero(ratios)
+    place = np.zeros(1 << BITS, dtype=np.int32)
+    place[used] = np.arange(len(used))
+    sent = rows.sparkSession.sparkContext.broadcast((ratios, place))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = sent.value
+        r, to = sent.value
         for batch in batches:
             data, offsets = text.raw(batch.column(1))
             for begin, end in text.slices(offsets):
@@ -113,11 +116,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 use = r[index] != 0
                 bounds = np.concatenate(([0], np.cumsum(use)))[bounds].astype(np.int32)
                 index = index[use]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.ListArray.from_arrays(pa.array(bounds), pa.array(index)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(r[index]))], ["y", "index", "value"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.ListArray.from_arrays(pa.array(bounds), pa.array(to[index])), pa.ListArray.from_arrays(pa.array(bounds), pa.array(r[index]))], ["y", "index", "value"])
 
     sample = durable(rows.select("y", "t").mapInArrow(features, "y double, index array<int>, value array<float>"))
-    weights, extra = fit(sample, 1 << BITS, np.array([prior]), logistic, steps=steps, rate=0.1, l2=1e-4)
-    return (weights * ratios).astype(np.float32), float(extra[0])
+    weights, extra = fit(sample, len(used), np.array([prior]), logistic, steps=steps, rate=0.1, l2=1e-4)
+    out = np.zeros(1 << BITS, dtype=np.float32)
+    out[used] = weights * ratios[used]
+    return out, float(extra[0])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", score_col: str = "score") -> DataFrame:
