@@ -91,11 +91,13 @@ def grade_column(quality: Column, toxic: Column) -> Column:
 def train(docs: DataFrame, graded: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "text", *, most_rows: int = 24_000, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) from at most about `most_rows` rows of `graded` (id, grade), picked per grade by a hash of the id.
 
-    All grades share the weights; with no rows they are 0 and the thresholds even.
+    An id counts once, however many rows or ratings share it: with its greatest grade and
+    text. All grades share the weights; with no rows they are 0 and the thresholds even.
     """
     gold = graded.where(F.col("grade").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col("grade").cast("double").alias("y"))
-    gold = bounded_sample(gold, "y", "id", most_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).join(F.broadcast(gold), "id").select("y", "t").repartition(12)
+    gold = bounded_sample(gold.groupBy("id").agg(F.max("y").alias("y")), "y", "id", most_rows)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).join(F.broadcast(gold), "id")
+    rows = rows.groupBy("id").agg(F.first("y").alias("y"), F.max("t").alias("t")).select("y", "t").repartition(12)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -88,14 +88,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(weights, intercept) of the classifier from the labelled rows of `docs`.
 
     Fitted on at most about `most_rows` labels, picked per class by a hash of the id; so
-    few ids that they are sent to the scan of `docs`, whose texts aren't shuffled.
+    few ids that they are sent to the scan of `docs`, whose other texts aren't shuffled. An id
+    counts once, however many rows or labels share it: with its greatest label and text.
     Features whose log-count ratio is within `informative` standard deviations of 0 are left
     out; the others have it as their value. Without both classes the weights are 0 and the intercept is the
     log odds of what there is.
     """
     gold = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("double").alias("y"))
-    gold = bounded_sample(gold, "y", "id", most_rows)
+    gold = bounded_sample(gold.groupBy("id").agg(F.max("y").alias("y")), "y", "id", most_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).join(F.broadcast(gold), "id")
+    rows = rows.groupBy("id").agg(F.first("y").alias("y"), F.max("t").alias("t"))
     rows = durable(rows.select("y", "t").repartition(12))
     seen = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     prior = float(np.log((seen.get(1.0, 0) + 0.5) / (seen.get(0.0, 0) + 0.5)))
@@ -155,8 +157,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """Score `docs` with a classifier trained on their labelled rows for which `held_out` is not true.
 
     Adds held_out, score (0 to 1) and predicted (score >= 0.5) to id and text columns.
-    `held_out` is a condition on the id. Only the text enters a score. Ids that are
-    labelled twice count twice; labels that are null or of unknown ids are ignored;
+    `held_out` is a condition on the id. Only the text enters a score. Labels that
+    are null or of unknown ids are ignored; an id is learned from once;
     null texts count as empty. Without labels every score is the same. An empty table
     gives an empty result.
     """
