@@ -40,7 +40,7 @@ BOILERPLATE = [
 NAME_STOPWORDS = "and or of with the a an in on for to de la el our your my at by w".split()
 MOST_NAME_WORDS, MOST_SECTION_WORDS, LEAST_DESCRIPTION_WORDS = 10, 5, 5
 #: White space as menus have it, beyond ASCII too.
-WHITE = r"[\t\n\x0B\f\r    -     　﻿]"
+WHITE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 
 @F.pandas_udf(T.StringType())
@@ -56,8 +56,8 @@ def normalize_text(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     text = F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
     text = F.regexp_replace(text, r"\r\n?", "\n")
-    text = F.regexp_replace(text, r"[  -   　]", " ")
-    text = F.regexp_replace(text, r"[​‌‍﻿]", "")
+    text = F.regexp_replace(text, r"[\u00A0\u2000-\u200A\u202F\u205F\u3000]", " ")
+    text = F.regexp_replace(text, r"[\u200B\u200C\u200D\uFEFF]", "")
     return F.translate(text, "“”‘’", "\"\"''")
 
 

@@ -30,7 +30,7 @@ ATTEMPTS = [("before", "first"), ("after", "first"), ("before", "last"), ("after
 
 def plain_text(text: Column) -> Column:
     """Single spaces, and lines of a nutrient's parts blanked."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s ]+", " ")
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\u00A0]+", " ")
     for p in SUBLINES:
         text = F.regexp_replace(text, java(p), " ")
     return text

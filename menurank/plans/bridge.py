@@ -337,7 +337,6 @@ WITH b AS (
 SELECT page_id, pos AS item_pos, section, dish_name, nullif(say, '') AS description, price,
   floor((0.3::DOUBLE + 0.16::DOUBLE * 1.0 + CASE WHEN say <> '' THEN 0.15::DOUBLE ELSE 0 END + 0.15::DOUBLE + 0.1::DOUBLE) * 100 + 0.5) / 100 AS parse_confidence
 FROM f WHERE n = 1"""
-WHITE_SQL = r"[\t\n\x0B\f\r    -     　﻿]".replace(r"\x0B", r"\x{0B}")
 
 QUERIES = {f.__name__: f for f in (meal_scores, meal_weights, meal_badges, meal_ranks, meal_top5, dish_types, dish_inclusion, dish_confidence, dish_costs, published_macros, menu_segments, menu_line_counts, event_blocks, text_quality, text_lines, page_text, page_links, page_sources, page_card_blocks, menu_extraction, menu_report, menu_recommendations)}
 

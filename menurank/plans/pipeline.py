@@ -86,7 +86,8 @@ def extract(pages: DataFrame, least: float = MIN_CONFIDENCE) -> Extraction:
     few = F.concat(F.col("suppressed").cast("string"), F.lit(" item(s) were left out because there was too little information to estimate their macros."))
     nothing = (F.col("items") == 0) & (F.col("source_type") != "pdf_ocr_needed")
     warnings = F.array_compact(F.array(F.when(F.col("estimated"), ESTIMATED), F.col("source_warning"), F.when(F.col("suppressed") > 0, few), F.when(nothing, "No entree-like menu items were found in this source.")))
-    empty = F.when((F.col("items") == 0) & (F.col("excluded") > 0), "I found items on this page, but none look like meals.").when(F.col("items") == 0, "No menu items were found on this page.")
+    some = F.when(nothing, "No entree-like menu items were found in this source.").otherwise("I found items on this page, but none look like meals.")
+    empty = F.when((F.col("items") == 0) & (F.col("excluded") > 0), some).when(F.col("items") == 0, "No menu items were found on this page.")
     report = report.select("page_id", "url", "source_type", "restaurant_name", "items", "excluded", "suppressed", warnings.alias("warnings"), empty.alias("empty_reason"))
     work = linked_pdfs(menu_links(from_html), items)
     return Extraction(items, excluded, report, work)

@@ -188,7 +188,7 @@ def html_nodes(pages: DataFrame, key: str = "page_id", html: str = "html", most_
                 depth: dict[int, int] = {-1: -1}
                 for n in read_page(x or "").nodes:
                     depth[n["pre"]] = depth[n["parent"]] + 1
-                    flat = " ".join(re.sub("[​‌‍﻿]", "", "".join(n["text"])).split())
+                    flat = " ".join(re.sub("[\u200b\u200c\u200d\ufeff]", "", "".join(n["text"])).split())
                     rows.append((k, n["pre"], n["last"], n["parent"], depth[n["pre"]], n["tag"], n["class"], n["testid"], n["role"], n["alt"], flat[: most_text + 1], len(flat)))
             if rows:
                 yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]), schema=pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.split()[1]]) for c in schema.split(", ")]))
