@@ -28,6 +28,8 @@ FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|subscri\w+|signup|login|menus?|nav\w*|breadcrumbs?|sidebars?|side|widgets?|footers?|foot|masthead|toolbar|search\w*|share|sharing|social\w*|related|recommend\w*|comments?|commentlist|respond|replies|reply|disqus|discussion|reviews?|pagination|pager|copyright|legal|disclaimer|complementary|contentinfo|navigation|skip|hidden|tags?)(?:$|[\s_-])",
     re.I,
 )
+#: Factors of a path's score in an article, else in main.
+IN_ARTICLE, IN_MAIN = 1.5, 1.25
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 
 
@@ -122,38 +124,48 @@ def path_scores(paths: list[tuple[str, ...]], texts: list[str], radius: int = 2)
     return np.log1p(smooth[:, 0]) * np.log1p(1 + smooth[:, 1])
 
 
+def factor(path: tuple[str, ...]) -> float:
+    tags = {x.partition(".")[0] for x in path}
+    return IN_ARTICLE if "article" in tags else IN_MAIN if "main" in tags else 1.0
+
+
 def main_text(source: str) -> str:
     """The article of one page.
 
     Nodes in furniture (menus, footers, adverts, forms, comments, by tag or class) are
     out. Of the others, paths whose mean fused score reaches the mean less the deviation
     of the page's best container are content; what stands in the same section of the
-    page as content, such as headings, comes with it. A page that marks its article
-    (article, main) has its content there.
+    page as content, such as headings, comes with it. A path's score is raised in an
+    article or main; an article (or else main)
+    comes as a whole only if it holds the best container and most of its text is content.
     """
     page = Page(source)
     keep = [i for i, t in enumerate(page.texts) if t.strip()]
     if not keep:
         return ""
     paths, texts = [page.paths[i] for i in keep], [page.texts[i] for i in keep]
-    marked = [any(x.partition(".")[0] == "article" for x in p) for p in paths]
-    if not any(marked):
-        marked = [any(x.partition(".")[0] == "main" for x in p) for p in paths]
-    if any(marked):
-        chosen = {i for i, m in zip(keep, marked, strict=True) if m}
-    else:
-        scores = path_scores(paths, texts)
-        by_path = defaultdict(list)
-        for p, s, t in zip(paths, scores, texts, strict=True):
-            by_path[p].append((s, len(t)))
-        fused = {p: sum(s for s, _ in v) / len(v) for p, v in by_path.items()}
-        mass = defaultdict(float)
-        for p, v in by_path.items():
-            mass[section(p)] += fused[p] * sum(n for _, n in v)
-        best = max(mass, key=lambda s: (mass[s], len(s)))
-        level = max(0.0, max(fused[p] for p in fused if section(p) == best) - 1.5 * float(np.std(scores)))
-        content = {section(p) for p, s in fused.items() if s >= level and mass[section(p)] >= 0.1 * mass[best]} | {best}
-        chosen = {i for i, p in zip(keep, paths, strict=True) if any(p[: len(c)] == c for c in content)}
+    scores = path_scores(paths, texts) * np.array([factor(p) for p in paths])
+    by_path = defaultdict(list)
+    for p, s, t in zip(paths, scores, texts, strict=True):
+        by_path[p].append((s, len(t)))
+    fused = {p: sum(s for s, _ in v) / len(v) for p, v in by_path.items()}
+    mass = defaultdict(float)
+    for p, v in by_path.items():
+        mass[section(p)] += fused[p] * sum(n for _, n in v)
+    best = max(mass, key=lambda s: (mass[s], len(s)))
+    level = max(0.0, max(fused[p] for p in fused if section(p) == best) - 1.5 * float(np.std(scores)))
+    content = {section(p) for p, s in fused.items() if s >= level and mass[section(p)] >= 0.1 * mass[best]} | {best}
+    # body is no section of the page: what has a section of its own in it is judged by that
+    inside = lambda p, c: section(p) == c if c[-1:] and c[-1].partition(".")[0] in ("body", "html") else p[: len(c)] == c
+    taken = {p: any(inside(p, c) for c in content) for p in fused}
+    for tag in ("article", "main"):
+        at = next((i for i, x in enumerate(best) if x.partition(".")[0] == tag), None)
+        if at is not None:
+            size = {p: sum(n for _, n in by_path[p]) for p in fused if p[: at + 1] == best[: at + 1]}
+            if 2 * sum(n for p, n in size.items() if taken[p]) > sum(size.values()):
+                taken.update(dict.fromkeys(size, True))
+            break
+    chosen = {i for i, p in zip(keep, paths, strict=True) if taken[p]}
     blocks: dict[int, list[str]] = {}
     for i in sorted(chosen):
         blocks.setdefault(page.blocks[i], []).append(i)

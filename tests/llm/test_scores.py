@@ -151,6 +151,18 @@ def test_main_text(spark):
     assert got == {**{i: (t, len(t)) for i, t in enumerate(PAGES.values())}, 50: ("", 0)}
 
 
+LONG = "<h2>Title</h2><p>Long text, with words. And more of it, so that it counts.</p><p>Again, a text of some length, yes.</p>"
+PLAIN = "Title Long text, with words. And more of it, so that it counts. Again, a text of some length, yes."
+
+
+def test_main_text_beside_teasers_in_articles():
+    long = LONG + "<p>A third text, longer than the cards, with words. It also counts, as the first does.</p>" * 3
+    teasers = "<article class=card><h3>Teaser</h3><p>Short.</p></article>" * 3
+    got = html_main.main_text(f"<body><div id=c>{long}</div><div id=more>{teasers}</div></body>")
+    assert got.startswith(PLAIN) and "Teaser" not in got
+    assert html_main.main_text(f"<body><article>{LONG}</article><p>x</p></body>") == PLAIN
+
+
 def labelled(seed=4, n=500):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefghik") for _ in range(rng.randint(2, 7)))
