@@ -23,23 +23,45 @@ CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
 KEEP_P = frozenset("article aside blockquote body button caption dd details div dl dt fieldset figure footer form header html li main nav ol section table tbody td tfoot th thead tr ul".split())
-#: Words in a class, id or role that mark furniture around an article.
+#: Names that mark furniture around an article when they are a whole class, id or role.
 FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|subscri\w+|signup|login|menus?|nav\w*|breadcrumbs?|sidebars?|side|widgets?|footers?|foot|masthead|toolbar|search\w*|share|sharing|social\w*|related|recommend\w*|comments?|commentlist|respond|replies|reply|disqus|discussion|reviews?|pagination|pager|copyright|legal|disclaimer|complementary|contentinfo|navigation|skip|hidden|tags?)(?:$|[\s_-])",
+    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|subscri\w+|signup|login|menus?|nav\w*|breadcrumbs?|sidebars?|side|widgets?|footers?|foot|masthead|toolbar|search\w*|share|sharing|social\w*|related|recommend\w*|comments?|commentlist|respond|replies|reply|disqus|discussion|reviews?|pagination|pager|copyright|legal|disclaimer|complementary|contentinfo|navigation|skip|hidden|tags?)",
     re.I,
 )
-#: Factors of a path's score in an article, else in main.
-IN_ARTICLE, IN_MAIN = 1.5, 1.25
+#: A name that says what the page has or is filed under, not what the element is.
+ABOUT = re.compile(r"(?:has|no|not|non|with|without|is|tag|type|category|cat|format|status|postid)[_-]", re.I)
+#: Factors of a path's score: in an article, else in main; in a doubtful element.
+IN_ARTICLE, IN_MAIN, DOUBTFUL = 1.5, 1.25, 0.5
+DOUBT = "?"
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 
 
+def furniture(names: str) -> str:
+    """"whole" if a class, id or role is a name of furniture, "part" if only a part of one is, "" if none."""
+    found = ""
+    for name in names.split():
+        if FURNITURE.fullmatch(name):
+            return "whole"
+        if not ABOUT.match(name) and any(FURNITURE.fullmatch(x) for x in re.split(r"[_-]", name)):
+            found = "part"
+    return found
+
+
 class Page:
-    """Text nodes of a page in order, with the tag path of each and the block it is in."""
+    """Text nodes of a page in order, with the tag path of each, the block it is in, and the named elements around it.
+
+    Names: elements whose class, id or role is, or has, a name of furniture, numbered in `kinds`; `holders` are
+    those that are, or hold, an article or main.
+    """
 
     def __init__(self, source: str) -> None:
         self.paths: list[tuple[str, ...]] = []
         self.texts: list[str] = []
         self.blocks: list[int] = []
+        self.named: list[tuple[int, ...]] = []
+        self.kinds: list[str] = []
+        self.holders: set[int] = set()
+        self.around: list[int] = []
         self.stack: list[str] = []
         self.tags: list[str] = []
         self.dropped = 0
@@ -53,12 +75,14 @@ class Page:
             if self.tags.pop() not in INLINE:
                 self.block += 1
             self.dropped -= self.marks.pop()
+            self.around.pop()
 
     def text(self, found: str) -> None:
         if found and not self.dropped:
             self.paths.append(tuple(self.stack))
             self.texts.append(entities.unescape(found))
             self.blocks.append(self.block)
+            self.named.append(tuple(x for x in self.around if x >= 0))
 
     def open(self, tag: str, rest: str) -> None:
         if tag not in INLINE:
@@ -75,11 +99,17 @@ class Page:
         names = " ".join(next((x for x in m if x), "") for m in NAMES.findall(rest)) if rest else ""
         inner = bool({"article", "main", "body"} & {*self.tags, tag})
         hidden = bool(rest) and re.search(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", rest, re.I)
-        mark = tag in DROPPED or bool(hidden) or (tag not in ("html", "body", "main") and bool(names) and FURNITURE.search(names) is not None) or (tag == "header" and not ({"article", "main"} & {*self.tags}) and inner)
+        mark = tag in DROPPED or bool(hidden) or (tag == "header" and not ({"article", "main"} & {*self.tags}) and inner)
         self.stack.append(tag + ("." + names.split()[0] if names.split() else ""))
         self.tags.append(tag)
         self.marks.append(mark)
         self.dropped += mark
+        kind = furniture(names) if tag not in ("html", "body") else ""
+        self.around.append(len(self.kinds) if kind else -1)
+        if kind:
+            self.kinds.append(kind)
+        if tag in ("article", "main") and not self.dropped:
+            self.holders.update(x for x in self.around if x >= 0)
 
     def close(self, tag: str) -> None:
         for i in range(len(self.tags) - 1, -1, -1):
@@ -124,7 +154,29 @@ def path_scores(paths: list[tuple[str, ...]], texts: list[str], radius: int = 2)
     return np.log1p(smooth[:, 0]) * np.log1p(1 + smooth[:, 1])
 
 
+def shown(page: Page) -> tuple[list[int], list[tuple[str, ...]]]:
+    """The nodes with text that aren't in furniture, and their paths; those of doubtful nodes start with DOUBT.
+
+    A whole name makes furniture, unless the element is or holds an article or main or has most
+    of the page's text and nodes; then it is doubtful, as one is that has the name as a part.
+    """
+    full = [i for i, t in enumerate(page.texts) if t.strip()]
+    size, nodes = [0] * len(page.kinds), [0] * len(page.kinds)
+    for i in full:
+        for x in page.named[i]:
+            size[x] += len(page.texts[i])
+            nodes[x] += 1
+    total = sum(len(page.texts[i]) for i in full)
+    wraps = {x for x in range(len(page.kinds)) if 2 * size[x] > total and 2 * nodes[x] > len(full)} | page.holders
+    out = {x for x, kind in enumerate(page.kinds) if kind == "whole" and x not in wraps}
+    doubtful = {x for x, kind in enumerate(page.kinds) if x not in out and (kind == "whole" or x not in page.holders)}
+    keep = [i for i in full if out.isdisjoint(page.named[i])]
+    return keep, [page.paths[i] if doubtful.isdisjoint(page.named[i]) else (DOUBT, *page.paths[i]) for i in keep]
+
+
 def factor(path: tuple[str, ...]) -> float:
+    if path[:1] == (DOUBT,):
+        return DOUBTFUL
     tags = {x.partition(".")[0] for x in path}
     return IN_ARTICLE if "article" in tags else IN_MAIN if "main" in tags else 1.0
 
@@ -136,14 +188,14 @@ def main_text(source: str) -> str:
     out. Of the others, paths whose mean fused score reaches the mean less the deviation
     of the page's best container are content; what stands in the same section of the
     page as content, such as headings, comes with it. A path's score is raised in an
-    article or main; an article (or else main)
+    article or main and lowered in what may be furniture; an article (or else main)
     comes as a whole only if it holds the best container and most of its text is content.
     """
     page = Page(source)
-    keep = [i for i, t in enumerate(page.texts) if t.strip()]
+    keep, paths = shown(page)
     if not keep:
         return ""
-    paths, texts = [page.paths[i] for i in keep], [page.texts[i] for i in keep]
+    texts = [page.texts[i] for i in keep]
     scores = path_scores(paths, texts) * np.array([factor(p) for p in paths])
     by_path = defaultdict(list)
     for p, s, t in zip(paths, scores, texts, strict=True):
@@ -182,7 +234,7 @@ def section(path: tuple[str, ...]) -> tuple[str, ...]:
     for i in range(len(path) - 1, -1, -1):
         if path[i].partition(".")[0] in ("div", "section", "article", "main", "body", "td", "html"):
             return path[: i + 1]
-    return path[:0]
+    return path[: path[:1] == (DOUBT,)]
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

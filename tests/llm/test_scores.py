@@ -163,6 +163,12 @@ def test_main_text_beside_teasers_in_articles():
     assert html_main.main_text(f"<body><article>{LONG}</article><p>x</p></body>") == PLAIN
 
 
+@pytest.mark.parametrize("names", ["post type-post tag-politics hentry", "post comments-open", "layout has-sidebar", "content no-sidebar", "post alert"])
+@pytest.mark.parametrize("page", ["<body><article class='{}'>{}</article>{}</body>", "<body><div class='{}'><article>{}</article></div>{}</body>", "<body><div class='{}'>{}</div>{}</body>"])
+def test_main_text_in_elements_named_like_furniture(names, page):
+    assert html_main.main_text(page.format(names, LONG, "<div class=sidebar><p>Aside, yes.</p></div>")) == PLAIN
+
+
 def labelled(seed=4, n=500):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefghik") for _ in range(rng.randint(2, 7)))
