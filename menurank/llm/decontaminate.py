@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment on words."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment on words."""
 
 from __future__ import annotations
 
@@ -68,67 +68,22 @@ def hits(runs: np.ndarray, known: np.ndarray, few: np.ndarray) -> tuple[np.ndarr
     return at[same], which[same]
 
 
-def frequencies(docs: DataFrame, block: Block) -> dict[int, np.ndarray]:
-    """In how many texts each distinct n-gram of the block occurs, over all of `docs`; per n-gram length, in sorted order."""
-    known = {k: np.unique(v[0]) for k, v in block.grams.items()}
-    sent = docs.sparkSession.sparkContext.broadcast({k: (v, bitmap(v)) for k, v in known.items()})
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {k: np.zeros(len(v[0]), dtype=np.int64) for k, v in sent.value.items()}
-        for batch in batches:
-            data, offsets = text.raw(batch.column(0))
-            for begin, end in text.slices(offsets):
-                words = text.split(data, offsets[begin : end + 1])
-                for k, (grams, few) in sent.value.items():
-                    at, which = hits(text.chain(words.hashes, k), grams, few)
-                    owner = np.searchsorted(words.first[1:], at, side="right")
-                    inside = at + k <= words.first[owner + 1]
-                    pairs = np.unique(owner[inside] * np.int64(len(grams)) + which[inside])
-                    sums[k] += np.bincount(pairs % len(grams), minlength=len(grams))
-        for k, v in sums.items():
-            some = np.flatnonzero(v)
-            if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k)), pa.array(some), pa.array(v[some])], ["k", "i", "n"])
-
-    found = docs.select(F.col("t")).mapInArrow(count, "k long, i long, n long").groupBy("k", "i").agg(F.sum("n").alias("n")).toPandas()
-    out = {}
-    for k, v in known.items():
-        out[k] = np.zeros(len(v), dtype=np.int64)
-        mine = found[found.k == k]
-        out[k][mine["i"].to_numpy(dtype=np.int64)] = mine["n"].to_numpy(dtype=np.int64)
-    return out
-
-
-def rare_seeds(block: Block, seen: dict[int, np.ndarray], window: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of every `window` consecutive n-grams of an item, the one in the fewest texts (but in some), leftmost of equals.
-
-    However common an item's n-grams are, each stretch of it keeps a seed.
-    """
+def seeds(block: Block) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Every n-gram of every item, in sorted order: an edited copy may share any of them, and no others."""
     out = {}
     for k, (grams, item, pos) in block.grams.items():
-        known = np.unique(grams)
-        n = seen[k][np.searchsorted(known, grams)]
-        keep = np.zeros(len(grams), dtype=bool)
-        for i in np.unique(item):
-            at = np.flatnonzero(item == i)
-            for j in range(max(1, len(at) - window + 1)):
-                some = [x for x in at[j : j + window] if n[x] > 0]
-                if some:
-                    keep[min(some, key=lambda x: (n[x], pos[x]))] = True
-        order = np.flatnonzero(keep)
-        order = order[np.argsort(grams[order], kind="stable")]
-        if len(order):
-            out[k] = (grams[order], item[order], pos[order])
+        order = np.argsort(grams, kind="stable")
+        out[k] = (grams[order], item[order], pos[order])
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, n: int = 3, window: int = 3, least: float = 0.6, block_bytes: int = 4_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, n: int = 3, least: float = 0.6, block_bytes: int = 4_000_000) -> DataFrame:
     """(id, item, score, at): every text that holds a copy, possibly edited, of a benchmark item.
 
-    * Seeds are n-grams of words of an item that are rare over all of `docs`, chosen per
-      stretch of `window` n-grams, so that none is too common to have any.
+    * Seeds are all n-grams of words of an item, however common.
     * Where a text shares a seed, the passage around it (as long as the item, and half as
-      much on both sides) is aligned with the item; score is the alignment's score over
+      much on both sides; passages that meet are one) is aligned with the item, unless it
+      has so few of the item's words that no alignment could reach `least`; score is the alignment's score over
       that of the item with itself, and pairs from `least` on are returned; `at` is the
       number of words up to the end of the best alignment.
 
@@ -151,10 +106,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         block = block_of(part.toPandas(), n)
         if not block.grams:
             continue
-        seeds = rare_seeds(block, frequencies(rows, block), window)
-        if not seeds:
-            continue
-        sent = spark.sparkContext.broadcast((block, {k: (*v, np.unique(v[0]), bitmap(v[0])) for k, v in seeds.items()}))
+        sent = spark.sparkContext.broadcast((block, {k: (*v, np.unique(v[0]), bitmap(v[0])) for k, v in seeds(block).items()}))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             held, by_length = sent.value
@@ -179,20 +131,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     length = np.array([len(w) for w in held.words])[found[:, 1]]
                     lo = np.maximum(found[:, 2] - length // 2 - 2, words.first[found[:, 0]])
                     hi = np.minimum(found[:, 2] + length + length // 2 + 2, words.first[found[:, 0] + 1])
-                    i = 0
-                    while i < len(found):
-                        j, stop = i + 1, hi[i]
-                        while j < len(found) and (found[j, :2] == found[i, :2]).all() and lo[j] <= stop:
-                            stop = max(stop, hi[j])
-                            j += 1
-                        own = held.words[found[i, 1]]
-                        got, where = align(own, words.hashes[lo[i] : stop])
-                        if got >= least * MATCH * len(own):
+                    # lo and hi rise with the place, so a passage ends where the next starts behind it
+                    parts = np.flatnonzero(np.append(True, (found[1:, :2] != found[:-1, :2]).any(axis=1) | (lo[1:] > hi[:-1])))
+                    for i, last in zip(parts, np.append(parts[1:], len(found)) - 1, strict=True):
+                        own, passage = held.words[found[i, 1]], words.hashes[lo[i] : hi[last]]
+                        need = least * MATCH * len(own)
+                        if MATCH * np.isin(own, passage).sum() < need:
+                            continue
+                        got, where = align(own, passage)
+                        if got >= need:
                             doc.append(begin + int(found[i, 0]))
                             item.append(int(found[i, 1]))
                             score.append(got / (MATCH * len(own)))
                             place.append(int(lo[i] - words.first[found[i, 0]] + where))
-                        i = j
                 if doc:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(held.items[item]).cast(pa.from_numpy_dtype(held.items.dtype) if held.items.dtype != object else pa.string()), pa.array(score), pa.array(place, pa.int64())], [id_col, item_col, "score", "at"])
 

@@ -105,6 +105,16 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 == decontaminate.contaminated(df.limit(0), bench).count()
 
 
+def test_decontamination_of_edited_beside_exact_copies(spark):
+    words = [f"w{i}" for i in range(30)]
+    edited = [f"x{i}" if i % 5 == 4 else w for i, w in enumerate(words)]
+    docs = [(0, " ".join(words)), (1, "a b " + " ".join(words)), (2, "c " + " ".join(edited) + " d")]
+    docs += [(3, " ".join(words[:17])), (4, " ".join(words[:3] * 20))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontaminate.contaminated(df, spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")).collect()}
+    assert got == {0: 1.0, 1: 1.0, 2: pytest.approx(43 / 60)}
+
+
 def test_alignment_against_the_full_table():
     import numpy as np
 
