@@ -9,49 +9,56 @@ from .jobs import durable
 
 NO_SITE = "\x00no site"
 SPACE, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+#: A character of a script without spaces is a word, as far as a line's length goes.
+OWN_WORD = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
-def exploded(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_words: int) -> DataFrame:
-    """(id, h, site, pos, k1, k2): each line of at least min_words words by two hashes of its trimmed text.
+def exploded(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_words: int, short: bool) -> DataFrame:
+    """(id, h, site, pos, k1, k2, is_short): each line that isn't blank by two hashes of its trimmed text.
 
-    h tells apart texts that share an id.
+    is_short: of fewer than min_words words; such lines only if `short`. h tells apart texts that share an id.
     """
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.coalesce(F.col(site_col).cast("string"), F.lit(NO_SITE)).alias("site"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
-    d = d.where(F.col("id").isNotNull() & F.col("line").rlike(rf"^{SPACE}*({WORD}+{SPACE}+){{{min_words - 1}}}{WORD}"))
+    long = F.col("line").rlike(rf"^{SPACE}*({WORD}+{SPACE}+){{{min_words - 1}}}{WORD}")
+    if short:
+        long |= F.col("line").rlike(rf"({OWN_WORD}.*?){{{min_words}}}")
+    d = d.where(F.col("id").isNotNull() & (F.col("line").rlike(WORD) if short else long))
     line = F.regexp_replace("line", rf"^{SPACE}+|{SPACE}+$", "")
-    return d.select("id", "h", "site", "pos", F.xxhash64(line).alias("k1"), F.xxhash64(line, F.lit(1)).alias("k2"))
+    return d.select("id", "h", "site", "pos", F.xxhash64(line).alias("k1"), F.xxhash64(line, F.lit(1)).alias("k2"), (~long).alias("is_short"))
 
 
-def line_spread(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", *, min_sites: int = 3, min_words: int = 4, lg_k: int = 12) -> DataFrame:
+def line_spread(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", *, min_sites: int = 3, min_words: int = 4, short_sites: int | None = 6, lg_k: int = 12) -> DataFrame:
     """(k1, k2, first): the lines that occur on at least `min_sites` distinct sites, and their first (id, pos).
 
-    One HyperLogLog sketch of sites per line, merged by aggregation. A line whose
-    estimate is within three standard errors (and at least 1) of the threshold is
-    counted exactly; the others are decided by the estimate.
+    Lines of fewer than `min_words` words need `short_sites`; None leaves them out. One
+    HyperLogLog sketch of sites per line, merged by aggregation. A line whose estimate
+    is within three standard errors (and at least 1) of its threshold is counted
+    exactly; the others are decided by the estimate.
     """
-    lines = exploded(docs, id_col, text_col, site_col, min_words)
+    lines = exploded(docs, id_col, text_col, site_col, min_words, short_sites is not None)
     estimate = F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k)))
-    margin = max(1.0, 3 * 1.04 / 2 ** (lg_k / 2) * min_sites)
-    seen = lines.groupBy("k1", "k2").agg(estimate.alias("sites"), F.min(F.struct("id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
-    seen = durable(seen.where((F.col("sites") >= min_sites - margin) & (F.col("n") >= min_sites)))
-    near = seen.where(F.col("sites") <= min_sites + margin)
-    exact = lines.join(near.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.count_distinct("site").alias("exact")).where(F.col("exact") >= min_sites)
-    sure = seen.where(F.col("sites") > min_sites + margin)
-    return durable(near.join(exact, ["k1", "k2"]).select("k1", "k2", "first").unionByName(sure.select("k1", "k2", "first")))
+    least = F.when(F.col("is_short"), F.lit(short_sites)).otherwise(F.lit(min_sites)) if short_sites is not None else F.lit(min_sites)
+    margin = F.greatest(F.lit(1.0), 3 * 1.04 / 2 ** (lg_k / 2) * least)
+    seen = lines.groupBy("k1", "k2").agg(estimate.alias("sites"), F.min(F.struct("id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("is_short").alias("is_short"))
+    seen = durable(seen.where((F.col("sites") >= least - margin) & (F.col("n") >= least)))
+    near = seen.where(F.col("sites") <= least + margin)
+    exact = lines.join(near.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.count_distinct("site").alias("exact"))
+    sure = seen.where(F.col("sites") > least + margin)
+    return durable(near.join(exact, ["k1", "k2"]).where(F.col("exact") >= least).select("k1", "k2", "first").unionByName(sure.select("k1", "k2", "first")))
 
 
-def drop_boilerplate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", *, min_sites: int = 3, min_words: int = 4, lg_k: int = 12) -> DataFrame:
+def drop_boilerplate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", *, min_sites: int = 3, min_words: int = 4, short_sites: int | None = 6, lg_k: int = 12) -> DataFrame:
     """`docs` with cross-site lines removed from the text, and a count lines_removed.
 
-    A line (trimmed, of at least `min_words` words) that occurs on `min_sites` or more
-    distinct sites stays at its first place, by id and position, and goes from all
+    A line (trimmed) that occurs on `min_sites` or more distinct sites, or on `short_sites`
+    if it has fewer than `min_words` words, stays at its first place, by id and position, and goes from all
     others; so copies lose their text but one of them keeps it. All rows stay, an
     emptied text is ''. Null sites are one site of their own. Null and empty texts
     and rows with a null id are returned as they are. Repeated rows are edited alike.
     An empty table gives an empty result.
     """
-    spread = line_spread(docs, id_col, text_col, site_col, min_sites=min_sites, min_words=min_words, lg_k=lg_k)
-    hits = exploded(docs, id_col, text_col, site_col, min_words).join(spread, ["k1", "k2"]).where((F.col("id") != F.col("first.id")) | (F.col("pos") != F.col("first.pos")))
+    spread = line_spread(docs, id_col, text_col, site_col, min_sites=min_sites, min_words=min_words, short_sites=short_sites, lg_k=lg_k)
+    hits = exploded(docs, id_col, text_col, site_col, min_words, short_sites is not None).join(spread, ["k1", "k2"]).where((F.col("id") != F.col("first.id")) | (F.col("pos") != F.col("first.pos")))
     gone = hits.groupBy("id", "h").agg(F.collect_set("pos").alias("__gone")).withColumnsRenamed({"id": "__id", "h": "__h"})
     out = docs.withColumn("__key", F.xxhash64(text_col)).join(gone, (F.col(id_col) == F.col("__id")) & (F.col("__key") == F.col("__h")), "left")
     kept = F.array_join(F.filter(F.transform(F.split(F.col(text_col), "\n", -1), lambda x, i: F.when(~F.array_contains(F.col("__gone"), i), x)), lambda x: x.isNotNull()), "\n")

@@ -43,7 +43,8 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.drop_boilerplate_lines(read(spark, sf_dir, "documents"))
+    # its SQL leaves lines of fewer than four words alone; the pipeline's stage decides them too
+    out = lines.drop_boilerplate_lines(read(spark, sf_dir, "documents"), short_sites=None)
     return out.select("doc_id", "lines_removed", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 

@@ -134,3 +134,12 @@ def test_lines(spark):
     assert got[3] == (f"Own text 3 is here today\n{local}", 2) and got[5] == ("Own text 5 is here today\nx", 2)
     assert got[20] == (None, 0) and got[21] == ("", 0) and got[None] == (common, 0) and got[23] == ("", 1)
     assert lines.drop_boilerplate_lines(df.limit(0)).count() == 0
+
+
+def test_short_lines_by_sites(spark):
+    long = "版权所有。保留所有权利。"
+    rows = [(i, f"All rights reserved.\n{long if i < 4 else 'own'}\n\n{'few sites' if i < 5 else f'line {i}'}", f"s{i}") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in lines.drop_boilerplate_lines(df).collect()}
+    assert got[0] == (rows[0][1], 0) and got[1] == ("\nfew sites", 2) and got[6] == ("own\n\nline 6", 1)
+    assert all(r["lines_removed"] == 0 for r in lines.drop_boilerplate_lines(df, short_sites=None).collect())
