@@ -108,20 +108,21 @@ FROM node n JOIN comp c ON c.id = n.id""",
     "op4_lm_scores": rf"""
 WITH d AS (
   SELECT doc_id, {CRC32.format(x="doc_id::VARCHAR")} % 7 = 2 AS held_out,
-    ['<s>'] || regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') || ['<s>'] AS ws FROM documents
-), t AS (SELECT doc_id, held_out, unnest([{{'h': ws[i - 1], 'w': ws[i]}} for i in range(2, len(ws) + 1)]) AS g FROM d),
-k AS (SELECT doc_id, held_out, CASE WHEN g.h = '<s>' THEN NULL ELSE g.h END AS h, CASE WHEN g.w = '<s>' THEN NULL ELSE g.w END AS w FROM t),
+    [' '] || regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') || [' '] AS ws FROM documents
+), t AS (SELECT doc_id, held_out, unnest([{{'g': CASE WHEN i > 2 THEN ws[i - 2] END, 'h': ws[i - 1], 'w': ws[i]}} for i in range(2, len(ws) + 1)]) AS x FROM d),
+k AS (SELECT doc_id, held_out, x.g, x.h, x.w FROM t),
 c1 AS (SELECT w, count(*) AS c FROM k WHERE NOT held_out GROUP BY w),
 c2 AS (SELECT h, w, count(*) AS c FROM k WHERE NOT held_out GROUP BY h, w),
+c3 AS (SELECT g, h, w, count(*) AS c FROM k WHERE NOT held_out AND g IS NOT NULL GROUP BY g, h, w),
 s AS (SELECT (SELECT sum(c) FROM c1) AS n, (SELECT count(*) FROM c1) AS v),
 p AS (
-  SELECT k.doc_id, k.held_out, coalesce(a.c, 0) AS a, coalesce(b.c, 0) AS b, coalesce(f.c, 0) AS f, (coalesce(a.c, 0) + 1) / (s.n + s.v + 1)::DOUBLE AS p1, s.n
-  FROM k CROSS JOIN s LEFT JOIN c1 a ON a.w IS NOT DISTINCT FROM k.w LEFT JOIN c1 f ON f.w IS NOT DISTINCT FROM k.h
-  LEFT JOIN c2 b ON b.w IS NOT DISTINCT FROM k.w AND b.h IS NOT DISTINCT FROM k.h
-)
+  SELECT k.doc_id, k.held_out, k.g IS NOT NULL AS long, coalesce(a.c, 0) AS a, coalesce(b.c, 0) AS b, coalesce(f.c, 0) AS f, coalesce(e.c, 0) AS e, coalesce(j.c, 0) AS j, (coalesce(a.c, 0) + 1) / (s.n + s.v + 1)::DOUBLE AS p1, s.n
+  FROM k CROSS JOIN s LEFT JOIN c1 a ON a.w = k.w LEFT JOIN c1 f ON f.w = k.h LEFT JOIN c2 b ON b.w = k.w AND b.h = k.h
+  LEFT JOIN c3 e ON e.w = k.w AND e.h = k.h AND e.g = k.g LEFT JOIN c2 j ON j.w = k.h AND j.h = k.g
+), q AS (SELECT *, (b + 300.0::DOUBLE * p1) / (f + 300.0::DOUBLE) AS p2 FROM p)
 SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE a > 0) AS n_known, max(n)::BIGINT AS train_tokens,
-  round(sum(log10(p1)), 6) AS base_score, round(sum(log10((b + 200.0::DOUBLE * p1) / (f + 200.0::DOUBLE))), 6) AS score
-FROM p GROUP BY doc_id, held_out""",
+  round(sum(log10(p1)), 6) AS base_score, round(sum(log10(CASE WHEN long THEN (e + 10.0::DOUBLE * p2) / (j + 10.0::DOUBLE) ELSE p2 END)), 6) AS score
+FROM q GROUP BY doc_id, held_out""",
     "op5_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, coalesce(source, chr(1)) AS site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents

@@ -10,45 +10,71 @@ from menurank.llm import decontaminate, html_main, lm, mixing, quality, tokens,
 from menurank.llm.queries import vocabulary_path
 
 
-def lm_plain(rows, strength):
+def lm_plain(rows, strengths):
     seq = {}
     for i, held, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-        seq[i] = (held, ["$", *w, "$"])
-    train = [s for h, s in seq.values() if not h]
-    c1 = Counter(w for s in train for w in s[1:])
-    c2 = Counter(x for s in train for x in zip(s, s[1:], strict=False))
-    n, v = sum(c1.values()), len(c1)
+        seq.setdefault(i, []).append((held, ["$", *w, "$"]))
+    train = [s for found in seq.values() for h, s in found if not h]
+    c = Counter(tuple(s[i - k + 1 : i + 1]) for s in train for i in range(1, len(s)) for k in range(1, min(i + 1, len(strengths) + 1) + 1))
+    n, v = sum(x for g, x in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+
+    def p(gram):
+        if len(gram) == 1:
+            return (c[gram] + 1) / (n + v + 1)
+        s = strengths[len(gram) - 2]
+        return (c[gram] + s * p(gram[1:])) / (c[gram[:-1]] + s)
+
     out = {}
-    for i, (_, s) in seq.items():
-        base = score = 0.0
-        for h, w in zip(s, s[1:], strict=False):
-            p = (c1[w] + 1) / (n + v + 1)
-            base += math.log10(p)
-            score += math.log10((c2[h, w] + strength * p) / (c1[h] + strength))
-        out[i] = (len(s) - 1, sum(c1[w] > 0 for w in s[1:]), n, base, score)
+    for i, found in seq.items():
+        s = found[0][1]
+        base = sum(math.log10(p((w,))) for w in s[1:])
+        score = sum(math.log10(p(tuple(s[max(0, j - len(strengths)) : j + 1]))) for j in range(1, len(s)))
+        out[i] = (len(s) - 1, sum(c[w,] > 0 for w in s[1:]), n, base, score)
     return out
 
 
-def test_language_model_against_plain(spark):
+@pytest.mark.parametrize("strengths", [(7.0,), (7.0, 3.0), (7.0, 3.0, 0.5)])
+def test_language_model_against_plain(spark, monkeypatch, strengths):
+    monkeypatch.setattr(lm, "PIECE", 100)
     rng = random.Random(1)
-    rows = [(i, i % 5 == 2, " ".join(rng.choice(["a", "b", "the", "Of", "é", f"w{i}"]) for _ in range(rng.randint(0, 30)))) for i in range(60)] + [(90, False, None), (91, True, "new words only"), (92, False, "a " * 3000)]
-    df = spark.createDataFrame(rows, "doc_id long, h boolean, text string")
-    got = lm.score(df, held_out=F.col("h"), strength=7.0, block_bytes=900).collect()
-    want = lm_plain(rows, 7.0)
+    rows = [(i, i % 5 == 2, " ".join(rng.choice(["a", "b", "the", "Of", "é", f"w{i}"]) for _ in range(rng.randint(0, 30)))) for i in range(60)] + [(90, False, None), (91, True, "new words only"), (92, False, "a b a " * 1000), (94, False, " ".join(rng.choice("abcd") for _ in range(701)))]
+    rows += [(93, False, "twice the same row"), (93, False, "twice the same row")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, h boolean, text string, id string, t int")
+    got = lm.score(df, held_out=F.col("h"), order=len(strengths) + 1, strengths=strengths, block_bytes=900).collect()
+    want = lm_plain(rows, strengths)
     assert len(got) == len(rows)
     for r in got:
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == want[r["doc_id"]][:3]
         assert r["base_score"] == pytest.approx(want[r["doc_id"]][3]) and r["score"] == pytest.approx(want[r["doc_id"]][4])
+    named = df.withColumn("doc_id", F.concat(F.lit("n"), "doc_id"))
+    assert {r["doc_id"] for r in lm.score(named, held_out=F.col("h")).collect()} == {f"n{i}" for i, _, _ in rows}
     assert lm.score(df.limit(0), held_out=F.col("h")).count() == 0
 
 
-def test_language_model_probabilities_add_up(spark):
-    words = ["a", "b", "c"]
-    train = [(0, False, "a b a c"), (1, False, "b b a")]
-    tests = [(10 + i, True, f"a {w}") for i, w in enumerate([*words, "unseen"])]
-    rows = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(train + tests, "doc_id long, h boolean, text string"), held_out=F.col("h"), order=3).collect()}
-    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows.values())
+def test_language_model_probabilities_add_up():
+    import numpy as np
+    import pyarrow as pa
+
+    symbols, bounds, place = lm.sequences(pa.array(["a b a c b a b", "b b a", "", "never seen here"]))
+    training = np.repeat([True, True, True, False], np.diff(bounds))
+    grams, counts = [], []
+    for k in (1, 2, 3):
+        ends, g = lm.gram_ends(symbols, place, k)
+        _, first, inverse = np.unique(g, return_index=True, return_inverse=True)
+        grams.append((ends, first, inverse))
+        counts.append(np.bincount(inverse, weights=training[ends]).astype(np.int64))
+    machine = lm.Automaton(symbols, bounds, grams, counts, int(counts[0].sum() + (counts[0] > 0).sum() + 1), (7.0, 3.0))
+    known = np.flatnonzero(counts[0])
+    unknown = np.flatnonzero(counts[0] == 0)
+    assert len(machine.fail) == 1 + len(known) + (counts[1] > 0).sum() and len(unknown) == 3
+    # a pair that ends with END is where a text is over: nothing follows
+    ends, first, _ = grams[1]
+    last = machine.symbol[ends[first]][counts[1] > 0]
+    over = 1 + len(known) + np.flatnonzero(last == machine.symbol[0])
+    for state in sorted(set(range(len(machine.fail))) - set(over.tolist())):
+        weight = machine.step(np.full(len(known) + 1, state), np.append(known, unknown[0]))[1]
+        assert (10**weight).sum() == pytest.approx(1)
 
 
 def test_mix(spark):
