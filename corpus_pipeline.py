@@ -7,14 +7,13 @@ folder that spark.checkpoint.dir names and reads it again for the next.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from menurank.llm import decontaminate, lines, minhash, mixing, toxicity
-from menurank.llm.jobs import id_crc_mod, read
+from menurank.llm.jobs import fresh, id_crc_mod, read, shared_folder
 
 #: SQL can't express the classifier and the alignment; tests/llm hold each stage against a plain version.
 ORACLE_SQL = None
@@ -24,7 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.5, by a classifier trained on labelled documents."""
     labels = read(spark, sf_dir, "labels").where(id_crc_mod("doc_id", 5) != 0)
     model = toxicity.train(read(spark, sf_dir, "documents"), labels)
-    return toxicity.score(docs, model, score_col="__toxic").where("__toxic < 0.5").select(*docs.columns)
+    (toxic,) = fresh(docs.columns, "toxic")
+    return toxicity.score(docs, model, score_col=toxic).where(F.col(toxic) < 0.5).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates: five words, similarity 0.8."""
-    groups = minhash.near_duplicates(docs, shingle=5, percent=80).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(groups, docs["doc_id"] == groups["__id"], "left_anti")
+    groups = minhash.near_duplicates(docs, shingle=5, percent=80).where("NOT kept").select("doc_id").distinct()
+    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +59,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")).rstrip("/")
-    folder = f"{folder}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
