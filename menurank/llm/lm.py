@@ -14,7 +14,7 @@ from .jobs import text_bytes
 
 #: The end of a text; it is also the state in which a text starts.
 END = np.uint64(0x2545F4914F6CDD1D)
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 6_000_000
 #: Tokens of a text that one walker takes; further walkers take the rest, from the state that the words before lead to.
 PIECE = 512
 #: Weight of the shorter context's probabilities, by the context's length; of a grid the best on held-out texts.
@@ -49,19 +49,21 @@ def gram_ends(symbols: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarra
 
 def pack(x: np.ndarray) -> bytes:
     """The bytes of x by place, first bytes first: the empty high bytes of small numbers stand together and compress."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def unpack(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+def unpack(data: pa.Buffer, kind: type) -> np.ndarray:
+    size, n = np.dtype(kind).itemsize, int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=n * size, codec="zstd"), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).reshape(-1)
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
     return pack(np.diff(x, prepend=np.uint64(0)))
 
 
-def unpack_sorted(data: bytes) -> np.ndarray:
+def unpack_sorted(data: pa.Buffer) -> np.ndarray:
     return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
 
 
@@ -107,20 +109,20 @@ class Automaton:
         order = len(grams)
         at = []  # the number of the n-gram that ends at a position, by its length
         for ends, _, inverse in grams:
-            own = np.full(len(symbols), -1, dtype=np.int64)
+            own = np.full(len(symbols), -1, dtype=np.int32)
             own[ends] = inverse
             at.append(own)
         if len(bounds) > 1:
             at[0][bounds[:-1]] = at[0][bounds[1:] - 1]  # a text starts with END
-        self.symbol, self.width = at[0], max(1, len(counts[0]))
+        self.symbol, self.width = at[0], np.int64(max(1, len(counts[0])))
         states, begin = [], 1
         for k in range(order - 1):
             seen = counts[k] > 0
-            states.append(np.where(seen, begin + np.cumsum(seen) - 1, -1))
+            states.append(np.where(seen, begin + np.cumsum(seen) - 1, -1).astype(np.int32))
             begin += int(seen.sum())
-        self.fail, self.fail_weight = np.zeros(begin, dtype=np.int64), np.zeros(begin)
+        self.fail, self.fail_weight = np.zeros(begin, dtype=np.int32), np.zeros(begin)
         p = (counts[0] + 1) / total
-        follow = np.maximum(states[0], 0) if states else np.zeros(len(p), dtype=np.int64)
+        follow = np.maximum(states[0], 0) if states else np.zeros(len(p), dtype=np.int32)
         keys, weights, nexts = [np.arange(len(p))], [np.log10(p)], [follow]
         for k in range(1, order):
             ends, first, _ = grams[k]
@@ -134,7 +136,7 @@ class Automaton:
                 self.fail[own[own > 0]] = np.maximum(before[at[k - 2][where_before]], 0)[own > 0]
             here = (counts[k] + strengths[k - 1] * p[lower]) / (mass[context] + strengths[k - 1])
             seen = counts[k] > 0
-            keys.append(own[context][seen] * self.width + at[0][where][seen])
+            keys.append(own[context][seen].astype(np.int64) * self.width + at[0][where][seen])
             weights.append(np.log10(here[seen]))
             nexts.append((states[k] if k < order - 1 else np.maximum(states[k - 1], 0)[lower])[seen])
             p = here
@@ -170,7 +172,7 @@ class Automaton:
         turn = np.argsort(begin - end - warm, kind="stable")
         begin, end, warm = begin[turn], end[turn], warm[turn]
         steps = end - begin + warm
-        state, out = np.zeros(len(steps), dtype=np.int64), np.zeros(bounds[-1])
+        state, out = np.zeros(len(steps), dtype=np.int32), np.zeros(bounds[-1])
         for t in range(int(steps.max()) if len(steps) else 0):
             m = int(np.searchsorted(-steps, -t, side="left"))
             place = begin[:m] - warm[:m] + t
@@ -183,7 +185,7 @@ class Automaton:
         return out
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, held_out: Column, order: int = 3, strengths: tuple[float, ...] = STRENGTHS, block_bytes: int = BLOCK_BYTES, spare_bits: int = 26) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, held_out: Column, order: int = 3, strengths: tuple[float, ...] = STRENGTHS, block_bytes: int = BLOCK_BYTES, spare_bits: int = 20) -> DataFrame:
     """log10 probabilities of all texts under a model of those for which `held_out` is not true.
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score and score per row.
@@ -220,7 +222,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, he
         """Ends of the n-grams of k symbols, their distinct hashes, the first place of each, the number at each end."""
         ends, grams = gram_ends(symbols, place, k)
         found, first, inverse = np.unique(grams >> np.uint64(64 - bits), return_index=True, return_inverse=True)
-        return ends, found, first, inverse
+        return ends.astype(np.int32), found, first.astype(np.int32), inverse.astype(np.int32)
 
     def ask(key: tuple, group: pa.Table) -> pa.Table:
         out = []
