@@ -8,6 +8,23 @@ from pyspark.sql import functions as F
 from .jobs import durable
 
 
+#: A node with more neighbours is a hub; its links are met by a broadcast instead of in one task.
+HUB, MOST_HUBS = 256, 500_000
+
+
+def with_least(links: DataFrame, least: DataFrame, hubs: int) -> DataFrame:
+    """`links` (u, v) with m, the entry of `least` (u, m, n) for u, n being the number of links of u.
+
+    Where there are few `hubs`, as counted, they are broadcast and their links stay where they are;
+    beyond that all links are shuffled, where a skewed join is split by the session.
+    """
+    if not 0 < hubs <= MOST_HUBS:
+        return links.join(least.select("u", "m"), "u")
+    large = least.where(F.col("n") > HUB).select("u", "m")
+    rest = links.join(F.broadcast(large.select("u")), "u", "left_anti").join(least.where(F.col("n") <= HUB).select("u", "m"), "u")
+    return rest.unionByName(links.join(F.broadcast(large), "u"))
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that occurs in `links`; component is its smallest node.
 
@@ -15,17 +32,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     neighbourhood, first the larger ones, then the smaller; the number of rounds
     grows with the logarithm of the longest chain. Only grouped minima and
     equi-joins are used: no neighbourhood is gathered in one place, and the driver
-    sees one row a round, whether each node hangs on a root. Self links and links with a
+    sees one row a round: how many nodes don't hang on a root yet, and how many have very many neighbours. Self links and links with a
     null end are ignored; no links give no rows.
     """
     e = durable(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
     for _ in range(most_rounds):
         ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("root")))
-        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 OR (up > 0 AND root > 0)").isEmpty():
+        ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root"), F.count(F.lit(1)).alias("n"))
+        loose, hubs = ends.agg(F.count_if(F.expr("up > 1 OR (up > 0 AND root > 0)")), F.count_if(F.col("n") > HUB)).first()
+        if not loose:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = with_least(both, least, hubs).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = durable(small.where("u != v").distinct())

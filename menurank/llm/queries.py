@@ -43,8 +43,7 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # its SQL leaves lines of fewer than four words alone; the pipeline's stage decides them too
-    out = lines.drop_boilerplate_lines(read(spark, sf_dir, "documents"), short_sites=None)
+    out = lines.drop_boilerplate_lines(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "lines_removed", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
@@ -128,9 +127,10 @@ WITH l AS (
   SELECT doc_id, coalesce(source, chr(1)) AS site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents
 ), k AS (
   SELECT doc_id, site, pos, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS key,
-    regexp_matches(line, '^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){3}[^\x20\x09-\x0D]') AS counts FROM l
-), s AS (SELECT key, min((doc_id, pos)) AS first FROM k WHERE counts GROUP BY key HAVING count(DISTINCT site) >= 3),
-f AS (SELECT k.*, k.counts AND s.key IS NOT NULL AND (k.doc_id, k.pos) <> s.first AS gone FROM k LEFT JOIN s ON s.key = k.key),
+    regexp_matches(line, '^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){3}[^\x20\x09-\x0D]')
+      OR regexp_matches(line, '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}][^\n]*?){4}') AS long FROM l
+), s AS (SELECT key, min((doc_id, pos)) AS first FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT site) >= CASE WHEN bool_or(long) THEN 3 ELSE 6 END),
+f AS (SELECT k.*, s.key IS NOT NULL AND (k.doc_id, k.pos) <> s.first AS gone FROM k LEFT JOIN s ON s.key = k.key),
 o AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT coalesce(gone, false)), '') AS t FROM f GROUP BY doc_id)
 SELECT d.doc_id, coalesce(o.n, 0)::INTEGER AS lines_removed, length(coalesce(o.t, d.text))::BIGINT AS n_chars, md5(coalesce(o.t, d.text)) AS text_md5
 FROM documents d LEFT JOIN o USING (doc_id)""",

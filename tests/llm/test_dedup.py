@@ -92,13 +92,16 @@ def test_signature_agreement_is_the_similarity():
 def test_components_against_plain(spark):
     rng = random.Random(5)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(201, 260)] + [(7, 7)]
+    links += [(1000, 2000 + i) for i in range(400)] + [(2000, 1)]  # a hub that isn't its component's smallest
     rows = components(spark.createDataFrame(links, "a long, b long")).collect()
     ids = {x for a, b in links if a != b for x in (a, b)}
     assert {r["node"]: r["component"] for r in rows} == closure(ids, [x for x in links if x[0] != x[1]]) and len(rows) == len(ids)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_embeddings_against_all_pairs(spark):
+@pytest.mark.parametrize("members", [512, 5])
+def test_embeddings_against_all_pairs(spark, monkeypatch, members):
+    monkeypatch.setattr(embed, "MEMBERS", members)
     rng = np.random.default_rng(2)
     base = rng.standard_normal((12, 32))
     v = [b + rng.standard_normal(32) * s for b in base for s in (0, 0, 0.1, 0.25, 0.4)] + [np.zeros(32), np.full(32, np.nan)]
@@ -119,7 +122,8 @@ def test_code_estimates_are_unbiased_and_bounded():
     for seed in range(12):
         turned = x @ embed.rotation(d, seed).T
         codes = np.where(turned > 0, 1.0, -1.0)
-        inner, width = embed.estimate(codes, (codes * turned).sum(axis=1) / 8, turned[:50], 4.5)
+        step = np.abs(turned[:50]).max(axis=1) / 127
+        inner, width = embed.estimate(codes, (codes * turned).sum(axis=1) / 8, np.rint(turned[:50] / step[:, None]) * step[:, None], step * 4, 4.5)
         errors.append((inner - x @ x[:50].T).mean())
         inside += (np.abs(inner - x @ x[:50].T) <= width).mean() / 12
     assert abs(np.mean(errors)) < 0.005 and inside > 0.999
@@ -136,6 +140,18 @@ def test_lines(spark):
     assert lines.drop_boilerplate_lines(df.limit(0)).count() == 0
 
 
+def test_lines_that_are_joined_and_counted_exactly(spark, monkeypatch):
+    monkeypatch.setattr(lines, "MOST_SENT", 0)
+    long = "\n".join(f"the line number {i} of all" for i in range(3000))
+    rows = [(i, f"{long}\nthree sites have this line\ntwo sites have this line\n", f"s{i % 3}", "a", 1, 2) for i in range(5)]
+    rows += [(5, "two sites have this line", "s0", "a", 1, 2), (6, "only s1 and s2 say this", "s1", "a", 1, 2), (7, "only s1 and s2 say this", "s2", "a", 1, 2), (7, "only s1 and s2 say this", "s2", "a", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, gone string, lines_removed int, h int")
+    out = lines.drop_boilerplate_lines(df)
+    got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in out.collect()}
+    assert got[0] == (rows[0][1], 0) and got[1] == ("", 3002) and got[5] == ("", 1) and got[6] == (rows[6][1], 0) and got[7] == (rows[7][1], 0)
+    assert sorted(out.columns) == sorted(df.columns) and out.count() == len(rows)
+
+
 def test_short_lines_by_sites(spark):
     long = "版权所有。保留所有权利。"
     rows = [(i, f"All rights reserved.\n{long if i < 4 else 'own'}\n\n{'few sites' if i < 5 else f'line {i}'}", f"s{i}") for i in range(8)]
