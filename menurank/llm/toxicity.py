@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import text
-from .jobs import durable
-from .linear import bounded_sample, fit, sparse_dot
+from .jobs import durable, fresh
+from .linear import Loss, bounded_sample, fit, sparse_dot
 
-BITS = 18
-GRAMS = (3, 4, 5)
+BITS = 19
+GRAMS = (4, 6, 8)
 
 
 def char_grams(data: np.ndarray, offsets: np.ndarray, bits: int = BITS, grams: tuple[int, ...] = GRAMS) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +53,7 @@ def char_grams(data: np.ndarray, offsets: np.ndarray, bits: int = BITS, grams: t
     return (keys & ((1 << bits) - 1)).astype(np.int32), np.searchsorted(keys, np.arange(n + 1, dtype=np.int64) << bits)
 
 
-def log_count_ratios(rows: DataFrame, bits: int = BITS, alpha: float = 1.0, informative: float = 4.0) -> np.ndarray:
+def log_count_ratios(rows: DataFrame, bits: int = BITS, alpha: float = 1.0, informative: float = 3.0) -> np.ndarray:
     """log of the features' smoothed shares in toxic and in other texts of `rows` (y, t), counted in the tasks.
 
     A ratio of fewer than `informative` standard deviations is 0: chance, not a sign.
@@ -78,20 +80,40 @@ def log_count_ratios(rows: DataFrame, bits: int = BITS, alpha: float = 1.0, info
     return np.where(np.abs(ratios) >= informative * np.sqrt(1 / p + 1 / q), ratios, 0.0).astype(np.float32)
 
 
-def logistic(scores: np.ndarray, y: np.ndarray, extra: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    z = np.clip(scores + extra[0], -40, 40)
-    p = 1 / (1 + np.exp(-z))
-    return float(np.sum(np.logaddexp(0, z) - y * z)), p - y, np.array([np.sum(p - y)])
+def logistic(toxic_weight: float) -> Loss:
+    """Logistic loss in which a toxic row counts `toxic_weight` times."""
 
+    def loss(scores: np.ndarray, y: np.ndarray, extra: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        z = np.clip(scores + extra[0], -40, 40)
+        times = np.where(y > 0, toxic_weight, 1.0)
+        slope = times * (1 / (1 + np.exp(-z)) - y)
+        return float(np.sum(times * (np.logaddexp(0, z) - y * z))), slope, np.array([np.sum(slope)])
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, most_rows: int = 24_000, informative: float = 4.0, steps: int = 40) -> tuple[np.ndarray, float]:
-    """(weights, intercept) of the classifier from the labelled rows of `docs`.
+    return loss
+
+
+class Model(NamedTuple):
+    """Weights by feature (already times the ratios), squares of the ratios, and the intercept."""
+
+    weights: np.ndarray
+    squares: np.ndarray
+    intercept: float
+
+    def logits(self, index: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """A text's ratios are a vector of length 1; a text without a known feature has the intercept."""
+        size = np.sqrt(np.maximum(sparse_dot(index, bounds, self.squares), 0))
+        return sparse_dot(index, bounds, self.weights) / np.where(size > 1e-6, size, 1.0) + self.intercept
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, most_rows: int = 24_000, informative: float = 3.0, balance: float = 0.5, steps: int = 40) -> Model:
+    """The classifier from the labelled rows of `docs`.
 
     Fitted on at most about `most_rows` labels, picked per class by a hash of the id; so
     few ids that they are sent to the scan of `docs`, whose other texts aren't shuffled. An id
     counts once, however many rows or labels share it: with its greatest label and text.
     Features whose log-count ratio is within `informative` standard deviations of 0 are left
-    out; the others have it as their value. Without both classes the weights are 0 and the intercept is the
+    out; the others have it as their value, scaled so that a text's values have the length 1. A toxic row counts as
+    `balance` times as many as there are clean ones for each, and once at least. Without both classes the weights are 0 and the intercept is the
     log odds of what there is.
     """
     gold = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("double").alias("y"))
@@ -102,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     seen = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     prior = float(np.log((seen.get(1.0, 0) + 0.5) / (seen.get(0.0, 0) + 0.5)))
     if len(seen) < 2:
-        return np.zeros(1 << BITS, dtype=np.float32), prior
+        return Model(np.zeros(1 << BITS, dtype=np.float32), np.zeros(1 << BITS, dtype=np.float32), prior)
     ratios = log_count_ratios(rows, informative=informative)
     used = np.flatnonzero(ratios)
     place = np.zeros(1 << BITS, dtype=np.int32)
@@ -118,39 +140,40 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 use = r[index] != 0
                 bounds = np.concatenate(([0], np.cumsum(use)))[bounds].astype(np.int32)
                 index = index[use]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.ListArray.from_arrays(pa.array(bounds), pa.array(to[index])), pa.ListArray.from_arrays(pa.array(bounds), pa.array(r[index]))], ["y", "index", "value"])
+                size = np.sqrt(sparse_dot(index, bounds, r * r))
+                value = r[index] / np.repeat(size, np.diff(bounds)).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.ListArray.from_arrays(pa.array(bounds), pa.array(to[index])), pa.ListArray.from_arrays(pa.array(bounds), pa.array(value))], ["y", "index", "value"])
 
     sample = durable(rows.select("y", "t").mapInArrow(features, "y double, index array<int>, value array<float>"))
-    weights, extra = fit(sample, len(used), np.array([prior]), logistic, steps=steps, rate=0.1, l2=1e-4)
+    toxic_weight = max(1.0, balance * seen[0.0] / seen[1.0])
+    weights, extra = fit(sample, len(used), np.array([prior]), logistic(toxic_weight), steps=steps, rate=0.1, l2=1e-4)
     out = np.zeros(1 << BITS, dtype=np.float32)
     out[used] = weights * ratios[used]
-    return out, float(extra[0])
+    return Model(out, ratios * ratios, float(extra[0]))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", score_col: str = "score") -> DataFrame:
+def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """`docs` with the probability of being toxic; the model, of fixed size, is sent to the tasks.
 
-    Every text is scored whole; null counts as empty. Rows and columns stay, a column
+    Every text is scored whole; null counts as empty. Rows, repeated ones too, and columns stay, a column
     named `score_col` is replaced.
     """
-    weights, intercept = model
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(score_col)
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = sent.value
         for batch in batches:
             data, offsets = text.raw(batch.column(batch.num_columns - 1))
             z = np.zeros(batch.num_rows)
             for begin, end in text.slices(offsets):
                 index, bounds = char_grams(data, offsets[begin : end + 1])
-                z[begin:end] = sparse_dot(index, bounds, w)
-            p = 1 / (1 + np.exp(-np.clip(z + intercept, -40, 40)))
+                z[begin:end] = sent.value.logits(index, bounds)
+            p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], [*columns, score_col])
 
-    schema = docs.schema.add(score_col, "double")
-    return docs.select("*", F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType())])
+    return docs.select("*", F.col(text_col).cast("string").alias(fresh(columns, "text_again")[0])).mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, held_out: Column | None = None, most_rows: int = 24_000) -> DataFrame:
@@ -159,7 +182,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Adds held_out, score (0 to 1) and predicted (score >= 0.5) to id and text columns.
     `held_out` is a condition on the id. Only the text enters a score. Labels that
     are null or of unknown ids are ignored; an id is learned from once;
-    null texts count as empty. Without labels every score is the same. An empty table
+    null texts count as empty; repeated rows are rows of their own. Without labels every score is the same. An empty table
     gives an empty result.
     """
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))

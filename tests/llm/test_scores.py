@@ -221,6 +221,85 @@ def labelled(seed=4, n=500):
     return docs, labels
 
 
+def slopes(loss, scores, y, free, step=1e-6):
+    """Slopes of a loss by differences."""
+    import numpy as np
+
+    at = lambda s, f: loss(s, y, f)[0]
+    by_score = [(at(scores + step * e, free) - at(scores - step * e, free)) / (2 * step) for e in np.eye(len(scores))]
+    by_free = [(at(scores, free + step * e) - at(scores, free - step * e)) / (2 * step) for e in np.eye(len(free))]
+    return np.array(by_score), np.array(by_free)
+
+
+def test_slopes_against_differences():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    scores = rng.standard_normal(12) * 2
+    for loss, y, free in [(toxicity.logistic(3.0), rng.integers(0, 2, 12).astype(float), np.array([0.4])), (quality.cumulative_link, rng.integers(0, 4, 12).astype(float), np.array([-1.0, 0.2, -0.3]))]:
+        _, slope, more = loss(scores, y, free)
+        want, want_more = slopes(loss, scores, y, free)
+        assert np.allclose(slope, want, atol=1e-5) and np.allclose(more, want_more, atol=1e-4)
+
+
+def test_fit_against_dense_steps(spark):
+    import numpy as np
+
+    from menurank.llm.linear import fit
+
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((80, 5)) * (rng.random((80, 5)) < 0.6)
+    y = (x @ [2.0, -1.0, 0.0, 1.0, 0.5] + rng.standard_normal(80) * 0.3 > 0).astype(float) + (x[:, 0] > 1)
+    rows = [(float(t), np.flatnonzero(r).tolist(), r[r != 0].astype(float).tolist()) for r, t in zip(x, y, strict=True)]
+    sample = spark.createDataFrame(rows, "y double, index array<int>, value array<double>").repartition(3)
+    start = np.array([-0.5, 0.0])
+    weights, free = fit(sample, 5, start, quality.cumulative_link, steps=90, rate=0.1, l2=1e-2)
+    w = np.concatenate((np.zeros(5), start))
+    for _ in range(8000):
+        _, slope, more = quality.cumulative_link(x @ w[:5], y, w[5:])
+        w = w - 0.2 * (np.concatenate((x.T @ slope, more)) / len(y) + 1e-2 * np.concatenate((w[:5], [0, 0])))
+    assert np.allclose(weights, w[:5], atol=0.03) and np.allclose(free, w[5:], atol=0.03)
+
+
+def test_log_count_ratios_against_a_dictionary(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from menurank.llm import text
+
+    rows = [(float(i % 3 == 0), "You BAD thing\tthere" if i % 3 == 0 else f"a good thing {i % 5}") for i in range(60)] + [(1.0, ""), (0.0, "abc")]
+    got = toxicity.log_count_ratios(spark.createDataFrame(rows, "y double, t string"), informative=2.0)
+    seen = {0.0: Counter(), 1.0: Counter()}
+    for y, t in rows:
+        t = f" {t.lower()} ".replace("\t", " ")
+        seen[y].update({t[i : i + g] for g in toxicity.GRAMS for i in range(len(t) - g + 1)})
+    total = Counter(y for y, _ in rows)
+    used = set()
+    for gram in set(seen[0.0]) | set(seen[1.0]):
+        p, q = seen[1.0][gram] + 1, seen[0.0][gram] + 1
+        ratio = math.log(p / (total[1.0] + 2)) - math.log(q / (total[0.0] + 2))
+        # a text that is the n-gram alone, without the blanks around it, has its place among others
+        index, _ = toxicity.char_grams(*text.raw(pa.array([gram])), grams=(len(gram),))
+        alone = [i for i in index if abs(got[i] - ratio) < 1e-5]
+        if abs(ratio) >= 2 * math.sqrt(1 / p + 1 / q):
+            assert alone, gram
+            used.update(alone)
+    assert used == set(np.flatnonzero(got))
+
+
+def test_classifiers_on_odd_rows(spark):
+    docs, labels = labelled(8, 160)
+    docs = [(f"d{i}", t, 1, 2, 3, 4) for i, t in docs] + [("d1", docs[1][1], 1, 2, 3, 4), ("long", "word " * 30_000, 1, 2, 3, 4), (None, "null id", 1, 2, 3, 4)]
+    d = spark.createDataFrame(docs, "doc_id string, text string, score int, held_out int, y int, text_again int")
+    gold = spark.createDataFrame([(f"d{i}", q, x) for i, q, x in [*labels, labels[1]]], "doc_id string, quality int, toxic int")
+    tox = toxicity.toxicity(d, gold).collect()
+    assert Counter(r["doc_id"] for r in tox) == Counter(x[0] for x in docs) and len({r["score"] for r in tox if r["doc_id"] == "d1"}) == 1
+    again = toxicity.score(d, toxicity.train(d, gold))
+    assert sorted(again.columns) == sorted(d.columns) and again.count() == len(docs)
+    grades = quality.grade(d, gold.select("doc_id", quality.grade_column(F.col("quality"), F.col("toxic")).alias("grade"))).collect()
+    assert Counter(r["doc_id"] for r in grades) == Counter(x[0] for x in docs) and len({r["expected_grade"] for r in grades if r["doc_id"] == "d1"}) == 1
+
+
 def test_toxicity_on_held_out(spark):
     docs, labels = labelled()
     d = spark.createDataFrame([*docs, (1000, None), (1001, "")], "doc_id long, text string")
