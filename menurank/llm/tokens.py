@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -14,13 +15,25 @@ UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 UNKNOWN_PENALTY = 10.0
 
 
+#: Offset of the ranks in Zipf's law as Mandelbrot gives it.
+ZIPF_OFFSET = 2.7
+
+
 def read_vocabulary(path: str) -> list[tuple[str, float]]:
-    """(piece, score) of the normal pieces of a SentencePiece model file."""
+    """(piece, score) of the normal pieces of a SentencePiece model file.
+
+    A unigram file's scores are log probabilities and are taken as they are. A file of merges
+    has ranks (0, -1, -2, ...) in their place, which don't add up along a text; then the score is the log
+    of Zipf's law, -log(rank + 1 + ZIPF_OFFSET), as merges are in the order of frequency. Nothing is trained.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(model.get_piece_size())
-    return [(model.id_to_piece(i), model.get_score(i)) for i in ids if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i))]
+    pieces = [(model.id_to_piece(i), model.get_score(i)) for i in ids if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i))]
+    if pieces and all(s <= 0 and s == int(s) for _, s in pieces) and 2 * len({s for _, s in pieces}) > len(pieces):
+        return [(piece, -math.log(1 - score + ZIPF_OFFSET)) for piece, score in pieces]
+    return pieces
 
 
 class Counter(dict):
@@ -84,8 +97,10 @@ def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]], id_col: s
     """(id, n_tokens, token_score): pieces of the best segmentation of each whole text, and its score.
 
     The vocabulary, of fixed size, is sent to the tasks. A text starts with a space sign and
-    spaces are space signs, as the tokenizer does without other normalisation. Null and
-    empty texts have no tokens. Repeated rows are rows of their own, other columns are
+    spaces are space signs, as the tokenizer does without other normalisation. Of segmentations with
+    equal scores the one whose last piece starts earliest stays, from the end on. Null and
+    empty texts have no tokens. A very long text is segmented whole, unit by unit where no piece crosses units.
+    Repeated rows are rows of their own, the id may be of any type, other columns are
     ignored, an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -96,5 +111,5 @@ def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]], id_col: s
             found = [counter.text(x or "") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in found], pa.int64()), pa.array([s for s, _ in found], pa.float64())], [id_col, "n_tokens", "token_score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, f"`{id_col}` long, n_tokens long, token_score double")
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("t"))
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens long, token_score double")
