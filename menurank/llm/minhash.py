@@ -58,7 +58,7 @@ def band_keys(signatures: np.ndarray, count: int, rows: int) -> np.ndarray:
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, shingle: int, count: int, rows: int) -> DataFrame:
-    """(id, n, k1, k2, bands) per row: size of the shingle set, its fingerprint in 128 bits, band keys."""
+    """(id, n, k1, k2, bands, sig) per row: size of the shingle set, its fingerprint in 128 bits, band keys, signature of 16 bits a value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,11 +74,13 @@ def features(docs: DataFrame, id_col: str, text_col: str, shingle: int, count: i
                 bounds = np.concatenate(([0], np.cumsum(n)))
                 prints = [np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(text.mix(grams ^ np.uint64(salt)), dtype=np.uint64))) for salt in (0x51ED270B, 0xA24BAED4963EE407)]
                 prints = [(s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in prints]
-                keys = band_keys(min_max_signatures(grams, bounds, count), count, rows)
+                signatures = min_max_signatures(grams, bounds, count)
+                keys = band_keys(signatures, count, rows)
+                short = pa.array([row.tobytes() for row in text.mix(signatures).astype(np.uint16)], pa.binary())
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(n.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), bands], ["id", "n", "k1", "k2", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(n.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), bands, short], ["id", "n", "k1", "k2", "bands", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>, sig binary")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -102,6 +104,38 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
+def likely_links(entries: DataFrame, percent: int, deviations: float = 5.0) -> DataFrame:
+    """Links (a, b) between rows of different `comp` in a bucket whose signatures don't refuse them, as a forest.
+
+    `entries`: (key, comp, node, sig). The share of equal values of two signatures has the
+    similarity as its mean; a pair is refused if the share is `deviations` standard deviations below the threshold. A
+    bucket is dealt into parts of about BLOCK_ROWS rows; pairs of parts are the groups, which
+    return a spanning forest of what isn't refused, not pairs.
+    """
+    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+    t = entries.join(sizes.select("key", F.ceil(F.col("c") / BLOCK_ROWS).cast("int").alias("parts")), "key")
+    t = t.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    t = t.select("key", "comp", "node", "sig", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        p, q = key[1].as_py(), key[2].as_py()
+        node, comp, part = (group[c].to_numpy() for c in ("node", "comp", "part"))
+        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), dtype=np.uint16).reshape(len(node), -1)
+        share, n = percent / 100, sig.shape[1]
+        least = n * share - deviations * np.sqrt(n * share * (1 - share))
+        root = np.arange(len(node))
+        there = np.flatnonzero(part == q)
+        for i in np.flatnonzero(part == p):
+            good = there[((sig[there] == sig[i]).sum(axis=1) >= least) & (comp[there] != comp[i])]
+            if len(good):
+                found = np.append(np.unique(root[good]), root[i])
+                root[np.isin(root, found)] = found.min()
+        moved = np.flatnonzero(root != np.arange(len(node)))
+        return pa.table({"a": pa.array(node[root[moved]], pa.int64()), "b": pa.array(node[moved], pa.int64())})
+
+    return t.groupBy("key", "p", "q").applyInArrow(run, "a long, b long").distinct()
+
+
 def link_families(members: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links (a, b) between rows of different `comp` in the same `family`, by full comparison in blocks.
 
@@ -165,7 +199,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
       `band_rows`: 24 bands of 5 miss a pair at similarity 0.85 once in a million.
     * In a bucket, members are compared with its smallest node, confirmed on full sets,
       and confirmed links are contracted.
-    * Nodes that buckets tie together are a family. Where a family still has several
+    * Where a bucket holds several components, signatures of two bytes a value refuse the pairs that
+      are five deviations below the threshold; no text travels for those. What isn't
+      refused, and what is confirmed, ties nodes to families.
+    * Where a family still has several
       components, all that isn't in the largest is compared in full with all of the family, in
       blocks of bounded size; blocks return links, never pairs. So no link between
       components is lost, and within a component none is looked for.
@@ -177,23 +214,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     feats = durable(features(docs, id_col, text_col, shingle, permutations, band_rows))
     real = feats.where("n > 0 AND id IS NOT NULL")
-    nodes = real.groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "bands")).alias("s"))
-    nodes = durable(nodes.select("k1", "k2", "n", F.col("s.id").alias("node"), F.col("s.bands").alias("bands")))
+    nodes = real.groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "bands", "sig")).alias("s"))
+    nodes = durable(nodes.select("k1", "k2", "n", F.col("s.id").alias("node"), F.col("s.bands").alias("bands"), F.col("s.sig").alias("sig")))
     entries = nodes.select("node", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader != other").select("key", "leader")
     pairs = durable(entries.join(shared, "key").where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    families = components(pairs)
+    tied = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    texts = durable(texts.join(families.select(F.col("node").alias("id")), "id", "left_semi").dropDuplicates())
+    texts = durable(texts.join(tied.withColumnRenamed("node", "id"), "id", "left_semi").dropDuplicates())
 
     links = durable(confirm(pairs, texts, shingle, percent))
     groups = components(links)
-    members = families.withColumnRenamed("component", "family").join(groups, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    several = members.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("family")
-    members = members.join(several, "family").join(nodes.groupBy("node").agg(F.max("n").alias("n")), "node").join(texts.withColumnRenamed("id", "node"), "node")
-    more = durable(link_families(members, shingle, percent))
-    if not more.isEmpty():
-        groups = components(links.unionByName(more))
+    members = durable(tied.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("comp")))
+    likely = durable(likely_links(nodes.select("node", "sig", F.explode("bands").alias("key")).join(shared.select("key"), "key", "left_semi").join(members, "node"), percent))
+    if not likely.isEmpty():
+        families = components(likely.unionByName(links)).withColumnRenamed("component", "family")
+        members = members.join(families, "node")
+        several = members.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("family")
+        members = members.join(several, "family").join(nodes.groupBy("node").agg(F.max("n").alias("n")), "node").join(texts.withColumnRenamed("id", "node"), "node")
+        more = durable(link_families(members, shingle, percent))
+        if not more.isEmpty():
+            groups = components(links.unionByName(more))
 
     named = nodes.select("k1", "k2", "n", "node")
     named = named.join(groups, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component_id"))

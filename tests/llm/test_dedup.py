@@ -74,6 +74,24 @@ def test_near_duplicates_against_all_pairs(spark, shingle, percent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in rows} == {i: (len(sets[i]), want[i], want[i] == i) for i in range(len(texts))}
 
 
+def test_near_duplicates_in_a_large_family(spark, monkeypatch):
+    """Two thousand variants of one text in chains: neighbours link, most others don't, and nothing between chains."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 64)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    template, rows = [word() for _ in range(60)], []
+    for chain in range(20):
+        words = template[:30] + [word() for _ in range(30)]
+        for step in range(100):
+            words[30 + rng.randrange(30)] = word()
+            rows.append((len(rows), " ".join(words)))
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=80).collect()}
+    sets = plain_sets([t for _, t in sorted(rows)], 3)
+    links = [(c * 100 + i, c * 100 + j) for c in range(20) for i, j in itertools.combinations(range(100), 2) for a, b in [(sets[c * 100 + i], sets[c * 100 + j])] if 100 * len(a & b) >= 80 * len(a | b)]
+    assert got == closure(range(2000), links)
+
+
 def test_near_duplicates_odd_rows(spark):
     kind = "doc_id long, text string"
     assert minhash.near_duplicates(spark.createDataFrame([], kind)).count() == 0
