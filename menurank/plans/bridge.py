@@ -20,6 +20,7 @@ from ..operators.lines import menu_items, menu_lines
 from ..operators.scoring import displayed, each_goal, rank_meals, score_meals, top_meals
 from ..sources.html import html_nodes, html_text, menu_links, restaurant_name
 from ..sources.pages import resolve_source, source_kind
+from .costing_sql import costed
 from .pipeline import decide, extract, recommend
 
 # What the renderings are made of.
@@ -356,6 +357,8 @@ SELECT p_partkey, dish_type, dish_type = 'unknown' AND {sql_any(HEAD, [C.ADD_ON_
 c AS (SELECT *, floor(greatest(0, least(1, 0.3::DOUBLE + 0.16::DOUBLE * q + CASE WHEN description IS NOT NULL THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN price IS NOT NULL THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN section IS NOT NULL THEN 0.1::DOUBLE ELSE 0 END
   - CASE WHEN {sql_any("dish_name", C.VAGUE_NAMES)} THEN 0.15::DOUBLE ELSE 0 END)) * 100 + 0.5) / 100 AS s FROM q)
 SELECT p_partkey, q AS name_quality, s AS parse_confidence, CASE WHEN s >= 0.7 THEN 'high' WHEN s >= 0.45 THEN 'medium' ELSE 'low' END AS bucket FROM c""",
+    "dish_costs": f"""WITH {DISH_CTE}, {KIND_CTE}, i AS (SELECT p_partkey AS item, dish_name, description, dish_type, matched_on IN ('name', 'description') AND coalesce(by_section = dish_type, false) AS supports FROM t), {costed("i")}
+SELECT item AS p_partkey, dish_type, calories, protein_g, carbs_g, fat_g, macro_confidence, array_to_string(ingredients, ',') AS ingredients, assumptions FROM e""",
     "published_macros": PUBLISHED_SQL,
     "menu_segments": MENU_SQL,
     "menu_line_counts": f"""WITH m AS ({MENU_SQL}), s AS (SELECT *, dish_name || ' $' || format('{{:.2f}}', price) AS head FROM m)
