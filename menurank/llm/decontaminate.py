@@ -90,7 +90,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     The benchmark is sent to the scan of `docs` in blocks of about `block_bytes` of text, as
     many scans as that takes; texts are never shuffled and each is read whole. Items
     without words match nothing, items of fewer words than n match as a whole. Null
-    and empty texts match nothing. Repeated items or rows match each for itself. An
+    and empty texts match nothing; a very long text is searched in one piece. Repeated items or rows match each for itself. An
     empty table on either side gives an empty result.
     """
     spark = docs.sparkSession
@@ -157,5 +157,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kind) -> DataFrame:
     """The rows of `docs` that hold no benchmark item; rows with a null id or text stay."""
-    found = durable(contaminated(docs, benchmark, id_col, text_col, **kind).select(F.col(id_col).alias("__id")).distinct())
-    return docs.join(found, docs[id_col] == found["__id"], "left_anti")
+    found = durable(contaminated(docs, benchmark, id_col, text_col, **kind).select(id_col).distinct())
+    return docs.join(found, id_col, "left_anti").select(*docs.columns)

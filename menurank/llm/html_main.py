@@ -242,8 +242,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     White space within a block is one space, blocks are joined by one space in page
     order. Null, empty and text-free pages give ''; html without tags is its own text;
-    markup that ends in the middle of a tag loses that tag only. Repeated rows are
-    rows of their own, other columns are ignored, an empty table gives an empty result.
+    markup that ends in the middle of a tag loses that tag only. A very long page is one row's work.
+    Repeated rows are rows of their own, the id may be of any type, other columns are ignored, an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,5 +251,5 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             out = [main_text(x) if x else "" for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], [id_col, url_col, "text", "n_chars"])
 
-    rows = pages.select(F.col(id_col).cast("long").alias(id_col), F.col(url_col).cast("string").alias(url_col), F.col(html_col).cast("string").alias("__html"))
-    return rows.mapInArrow(run, f"`{id_col}` long, `{url_col}` string, text string, n_chars long")
+    rows = pages.select(F.col(id_col), F.col(url_col).cast("string").alias(url_col), F.col(html_col).cast("string").alias("__html"))
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, `{url_col}` string, text string, n_chars long")

@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Empty, null and blank texts have n_shingles 0 and link with nothing. A null id
     makes its row a component of its own (component_id null, kept true). Rows that
-    share an id are grouped each by its own text. An empty table gives an empty result;
+    share an id are grouped each by its own text. Ids are whole numbers (or texts of such); others raise. An empty table gives an empty result;
     other columns are ignored.
     """
     feats = durable(features(docs, id_col, text_col, shingle, permutations, band_rows))

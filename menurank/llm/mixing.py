@@ -63,8 +63,10 @@ def balance(groups: DataFrame, goals: DataFrame, tilt: float, most: float, steps
         close = (F.abs(F.col("got") - F.col("target")) <= within * F.col("target")) | F.coalesce(F.col("hi") - F.col("lo") < 1e-12, F.lit(False))
         s = s.withColumn("done", F.col("done") | close).withColumn("lam", F.when(F.col("done"), F.col("lam")).otherwise(F.when(F.coalesce(inside, F.lit(False)), newton).otherwise(halved)))
         state = durable(s.select("skey", "target", "mean", "lam", "lo", "hi", "done"))
-        if not state.where("NOT done").limit(1).count():
+        if state.where("NOT done").isEmpty():
             break
+    else:
+        raise RuntimeError(f"rates did not converge in {steps} steps")
     return state.select("skey", "mean", "lam")
 
 

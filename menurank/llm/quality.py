@@ -127,7 +127,8 @@ def grade(docs: DataFrame, graded: DataFrame, grades: int = 3, id_col: str = "do
 
     `graded` has id and grade (0 .. grades-1); rows for which `held_out`, a condition on the
     id, is true aren't learned from. Null texts count as empty, and an empty text gets the
-    grade that the thresholds alone give. Null grades and unknown ids are ignored. An
+    grade that the thresholds alone give. Null grades and unknown ids are ignored; repeated rows are rows of
+    their own, and an id is learned from once. Other columns are ignored. An
     empty table gives an empty result.
     """
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))

@@ -240,6 +240,67 @@ def test_main_text_in_elements_named_like_furniture(names, page):
     assert html_main.main_text(page.format(names, LONG, "<div class=sidebar><p>Aside, yes.</p></div>")) == PLAIN
 
 
+def test_path_scores_against_plain():
+    rng = random.Random(11)
+    for _ in range(20):
+        paths = [tuple(rng.choice(["div", "p", "li"]) for _ in range(rng.randint(1, 2))) for _ in range(rng.randint(1, 12))]
+        texts = ["".join(rng.choice("ab ., ") for _ in range(rng.randint(1, 40))) for _ in paths]
+        mean = {}
+        for path in set(paths):
+            own = [t for p, t in zip(paths, texts, strict=True) if p == path]
+            mean[path] = (sum(map(len, own)) / len(own), sum(t.count(".") + t.count(",") for t in own) / len(own))
+        kernel = [math.exp(-0.5 * d * d) for d in range(-2, 3)]
+        got = html_main.path_scores(paths, texts)
+        for i in range(len(paths)):
+            near = [mean[paths[min(max(i + d, 0), len(paths) - 1)]] for d in range(-2, 3)]
+            length, marks = (sum(k * n[j] for k, n in zip(kernel, near, strict=True)) / sum(kernel) for j in (0, 1))
+            assert got[i] == pytest.approx(math.log1p(length) * math.log1p(1 + marks))
+
+
+def test_every_page_is_scored_by_its_paths(monkeypatch):
+    calls, own = [], html_main.path_scores
+    monkeypatch.setattr(html_main, "path_scores", lambda *x: calls.append(1) or own(*x))
+    body = "".join(f"<p>Sentence {i}, with some words, is here. And one more of them.</p>" for i in range(6))
+    want = " ".join(f"Sentence {i}, with some words, is here. And one more of them." for i in range(6))
+    nav = "<nav><a>Home</a></nav>"
+    pages = [f"<body>{nav}<article>{body}</article></body>", f"<body>{nav}<main>{body}</main></body>", f"<body>{nav}<div>{body}</div></body>", f"<body>{nav}<main><article>{body}</article></main></body>"]
+    assert [html_main.main_text(x) for x in pages] == [want] * 4 and len(calls) == 4
+    nested = f"<body>{nav}<article><h1>T</h1><article>{body}</article></article></body>"
+    assert html_main.main_text(nested) == "T " + want
+    long = "<p>Again and again, these words.</p>" * 20_000
+    assert len(html_main.main_text(f"<body><article>{long}</article></body>")) == 20_000 * len("Again and again, these words. ") - 1
+
+
+def test_pages_that_repeat_and_extra_columns(spark):
+    page = "<body><article><p>Some text, and more.</p></article></body>"
+    df = spark.createDataFrame([("a", "u", page, 1, "x"), ("a", "u", page, 1, "x")], "page_id string, url string, html string, n_chars int, text string")
+    assert [tuple(r) for r in html_main.extract_main_text(df).collect()] == [("a", "u", "Some text, and more.", 20)] * 2
+
+
+def test_mix_of_equal_sizes_repeats_and_a_long_text(spark):
+    rows = [(i % 50, "w " * 10, "a", 1, 2) for i in range(200)] + [(900, "w " * 50_000, "b", 1, 2), (901, "w " * 50_000, "b", 1, 2), (902, "w", "c", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, taken int")
+    got = mixing.mix_sources(df).collect()
+    assert len(got) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in got)
+    for s in "ab":
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
+    groups = spark.createDataFrame([("x", 3, 1), ("x", 1, 1)], "skey string, size long, n long")
+    goals = spark.createDataFrame([("x", 4, 5.0, 8.0)], "skey string, source_size long, target double, cap double")
+    with pytest.raises(RuntimeError):
+        mixing.balance(groups, goals, 0.5, 2.0, steps=1)
+
+
+def test_decontamination_of_repeats_and_long_texts(spark):
+    item = " ".join(f"word{i}" for i in range(20))
+    rows = [("a", item, 1), ("a", item, 1), ("long", "x " * 100_000 + item, 1), ("clean", "x " * 100, 1)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, item_id int")
+    bench = spark.createDataFrame([(7, item, "b"), (7, item, "b")], "item_id long, text string, score string")
+    got = decontaminate.contaminated(df, bench).collect()
+    assert sorted((r["doc_id"], r["score"]) for r in got) == [("a", 1.0), ("long", 1.0)]
+    assert [r["doc_id"] for r in decontaminate.decontaminate(df, bench).collect()] == ["clean"]
+
+
 def labelled(seed=4, n=500):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefghik") for _ in range(rng.randint(2, 7)))
