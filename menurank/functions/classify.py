@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import any_match, blank_to_null, first_match, matches
+from .rules import any_match, first_match, matches
 
 # Dish types in order; the last holds for names only.
 DISH_RULES = [
@@ -24,6 +24,7 @@ DISH_RULES = [
     ("sushi", r"\b(sushi|nigiri|sashimi|temaki|uramaki|hosomaki|omakase|hand roll)\b"),
     ("sushi", r"\b(tuna|salmon|ahi|yellowtail|hamachi|crab|california|dragon|rainbow|eel|unagi|tempura|tobiko)\b[\w '&-]*\broll\b"),
 ]
+# Fixed values.
 NAME_RULE = ("plate", r"\b(plates?|platters?|entr[ée]e|combo|halibut|salmon|sea ?bass|branzino|cod|seabass|cioppino|filet|rib[- ]?eye|ny strip|new york|sirloin|strip|tomahawk|porterhouse|t[- ]?bone|steak|ribs?|pork|chicken|katsu|piccata)\b")
 
 # Dish types that a section stands for.
@@ -56,7 +57,9 @@ EXCLUDED_SECTIONS = [
     ("add-ons section", r"\b(extras?|add[- ]?ons?|additions?|toppings?|modifiers?)\b"),
     ("catering section", r"\b(catering|family meals?|family style|party trays?)\b"),
 ]
+# Fixed values.
 ADD_ON_SECTION = r"\belevate\b|\benhance\w*\b|\badd[- ]?ons?\b|\badditions?\b|\bupgrades?\b|\bmake it a meal\b|\bfor the table\b|\bpremium (sides?|additions?|add[- ]?ons?)\b|\ba la carte\b|\bon the side\b|\bsteak (sides?|enhancements?|additions?|toppers?)\b"
+# Fixed values.
 INCLUDED_SECTIONS = [
     r"\blimited time\b",
     r"\b(entrees?|entr[ée]es?|mains?|main courses?)\b",
@@ -73,6 +76,7 @@ INCLUDED_SECTIONS = [
     r"\bsoups?\b",
     r"\b(lunch|dinner|specialties|favorites|from the grill)\b",
 ]
+# Fixed values.
 SECTION_NAMES = [
     r"^limited time$",
     r"^(entrees?|mains?|main courses?|main plates?)$",
@@ -101,6 +105,7 @@ SECTION_NAMES = [
     r"^(extras?|add[- ]?ons?|additions?|toppings?|modifiers?)$",
     r"^(catering|family meals?|family style|party trays?)$",
 ]
+# Fixed values.
 EXCLUDED_ITEMS = [
     ("drink", r"\b(lemonade|soda|coke|pepsi|sprite|iced tea|hot tea|latte|espresso|cappuccino|juice|smoothie|milkshake|horchata|kombucha)\b|^coffee$"),
     ("alcohol", r"\b(beer|ipa|lager|pilsner|wine|margarita|mojito|cocktail|sangria|mimosa)\b"),
@@ -119,7 +124,9 @@ EXCLUDED_ITEMS = [
     ("modifier", r"^\(.*\)$"),
     ("customizable item", r"^(choice of|make your own|create your own|build your own)\b"),
 ]
+# Fixed values.
 SHARED = r"\b(feeds|serves)\s*(?:[2-9]|\d{2,})\b|\bfamily (meal|pack|style|bundle)\b|\bparty (pack|tray|platter)\b|\bfor (two|four)\b"
+# Fixed values.
 VAGUE_NAMES = [
     r"\bchef['’]?s? (special|choice|selection)\b",
     r"\bhouse (special|specialty)\b",
@@ -196,7 +203,3 @@ def exclusion_reason(name: Column, description: Column, section: Column, kind: C
         .when(shared, "Shared or family-sized portion")
         .when(~(included_section(section) | (kind != "unknown")), "Could not identify this as an entree or meal")
     )
-
-
-def null_if_blank(text: Column) -> Column:
-    return blank_to_null(text)

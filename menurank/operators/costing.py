@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ SIGNALS = {
     "no_bread": r"\b(lettuce wrap(ped)?|no bun|bunless|protein style|no bread|no tortilla)\b",
     "no_carb": r"\b(low[- ]carb|keto|no rice)\b",
 }
+# Patterns of ounces and half portions.
 CUT_OUNCES = r"(\d+(?:\.\d+)?)\s*oz\.?\s+(?:of\s+)?(?:prime\s+|dry[- ]?aged\s+|bone[- ]?in\s+|blackened\s+|grilled\s+|seared\s+|top\s+|cab[®\s]+)*(?:sirloin|rib[- ]?eye|new york|ny\b|strip|filet|tenderloin|steak|porterhouse|t[- ]?bone|wagyu|chicken(?:\s+breast)?|breast|salmon|prawns?|shrimp|tuna|pork|lamb|halibut|cod)"
 STEAK_NAME = r"\b(sirloin|rib[- ]?eye|new york|ny strip|strip|filet|tenderloin|porterhouse|t[- ]?bone|tomahawk|wagyu|steak)\b"
 BARE_OUNCES = r"(\d+(?:\.\d+)?)\s*oz\b(?!\s*\.?\s*(?:fries|chips|rice|potatoes?|salad|slaw|vegetables?|sauce|dip|butter))"
@@ -34,6 +37,7 @@ DELTAS = {
     "caramel_glaze": ((0, 40, 9), ["bbq_sauce", "teriyaki_sauce", "honey", "sweet_glaze"], "Added a caramel/gochujang glaze — reduced sugar plus oil, generously coating the protein.", "Caramel glaze is already included in the sauce values."),
     "sweet": ((0, 15, 0), ["bbq_sauce", "teriyaki_sauce", "honey", "sweet_glaze"], "Added sugar for a glazed, honey, teriyaki, or BBQ item.", "Sweet glaze is already included in the sauce values."),
 }
+# Foods that are cooked in fat, fats, grams of it, and slots that count without a portion.
 COOKED = ["chicken_breast", "steak", "beef", "turkey", "shrimp", "white_fish", "tuna", "pork", "tofu"]
 FATS = ["olive_oil", "butter"]
 COOKING_FAT = 6
@@ -53,17 +57,19 @@ def said(name: Column, description: Column) -> Column:
 def detect_ingredients(items: DataFrame, keys: list[str], aliases: DataFrame | None = None, nutrition: DataFrame | None = None, active: Column | None = None) -> DataFrame:
     """Add `matches`, the ingredients that the name and description mention, in order, and phrase counts.
 
-    Runs of one to three words are joined to the aliases, a small table that is broadcast; of
+    Runs of one to three words are joined to the aliases; of
     overlapping ones the longest stays, then the earlier alias; an ingredient counts
     once. Each match carries its food's nutrition. `keys` identify an item; its rows meet
     again in one aggregation, which each task has nearly done before the shuffle. Items
     without a match, and those that aren't `active`, have an empty array.
     """
     spark = items.sparkSession
+    # only the default tables are known to be small; a caller's are joined as Spark sees fit
+    send = F.broadcast if aliases is None and nutrition is None else lambda t: t
     aliases = dims.aliases(spark) if aliases is None else aliases
     nutrition = dims.nutrition(spark) if nutrition is None else nutrition
     # the hyphen of an alias is never in the text that is searched
-    food = aliases.where(~F.col("alias").contains("-")).join(F.broadcast(nutrition.withColumnRenamed("key", "nutrition_key")), "nutrition_key")
+    food = aliases.where(~F.col("alias").contains("-")).join(send(nutrition.withColumnRenamed("key", "nutrition_key")), "nutrition_key")
     fields = ["normalized_name", "category", "slot", "nutrition_key", "label", "serving_amount", "serving_unit", "condiment", *MACROS]
     food = food.select("alias", F.struct("alias_ord", "alias", *fields).alias("food"))
 
@@ -72,7 +78,7 @@ def detect_ingredients(items: DataFrame, keys: list[str], aliases: DataFrame | N
     t = t.select("item", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("at"))
     t = t.select("item", "w", "at", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n")).where("at + n <= size(w)")
     t = t.select("item", "at", "n", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("alias"))
-    t = t.join(F.broadcast(food), "alias", "left").where("food IS NOT NULL OR (at = 0 AND n = 1)")
+    t = t.join(send(food), "alias", "left").where("food IS NOT NULL OR (at = 0 AND n = 1)")
     hit = F.when(F.col("food").isNotNull(), F.struct(F.col("food.alias_ord").alias("ord"), "at", "n", "food"))
     t = t.groupBy(*[F.col(f"item.{k}").alias(f"__{k}") for k in keys]).agg(F.first("item").alias("item"), F.array_sort(F.collect_list(hit)).alias("h"))
     none = F.slice(F.col("h"), 1, 0)
@@ -115,13 +121,13 @@ def article(word: Column) -> Column:
     return F.when(word.rlike("(?i)^[aeiou]"), "an").otherwise("a")
 
 
-def with_portions(items: DataFrame, templates: DataFrame, nutrition: DataFrame) -> DataFrame:
+def with_portions(items: DataFrame, templates: DataFrame, nutrition: DataFrame, send: Callable[[DataFrame], DataFrame] = F.broadcast) -> DataFrame:
     """Add `slots`, the portions of the dish type's template after the adjustments that the words ask for, and `removed`."""
     kind = F.when(F.col("dish_type") == "unknown", dims.FALLBACK_DISH_TYPE).otherwise(F.col("dish_type"))
     food = nutrition.select(F.col("key").alias("default_key"), "label", "serving_amount", "serving_unit", "condiment", *MACROS)
     slot = F.struct("slot_ord", "slot", "amount", "unit", "assume_when_absent", "default_key", "label", "serving_amount", "serving_unit", "condiment", *MACROS)
-    by_type = templates.join(F.broadcast(food), "default_key", "left").groupBy(F.col("dish_type").alias("__type")).agg(F.array_sort(F.collect_list(slot)).alias("__slots"))
-    t = items.join(F.broadcast(by_type), kind == F.col("__type"), "left")
+    by_type = templates.join(send(food), "default_key", "left").groupBy(F.col("dish_type").alias("__type")).agg(F.array_sort(F.collect_list(slot)).alias("__slots"))
+    t = items.join(send(by_type), kind == F.col("__type"), "left")
     protein, cheese = (lambda s: s["slot"] == "protein"), (lambda s: s["slot"] == "cheese")
     amount = lambda s: F.when(protein(s) & F.col("stated_ounces").isNotNull(), F.col("stated_ounces")).otherwise(s["amount"] * F.when((protein(s) & F.col("double_protein")) | (cheese(s) & F.col("extra_cheese")), 2.0).otherwise(1.0))
     gone = lambda s: ((s["slot"] == "bread") & (F.col("no_bread") | F.col("no_carb"))) | ((s["slot"] == "carb") & F.col("no_carb"))
@@ -176,20 +182,21 @@ def estimate_macros(items: DataFrame, keys: list[str], nutrition: DataFrame | No
 
     `items` has `keys` (which identify it), dish_name, description, section and, where a menu
     states some macros, partial_calories .. partial_fat_g, which take the estimate's place.
-    The tables of nutrition, templates and aliases are small and broadcast. Apart from the
+    The default tables of nutrition, templates and aliases are of fixed size and broadcast; given ones may be of any size. Apart from the
     one aggregation that gathers an item's matches, all is per row. Items that aren't
     `active` pass through without being searched.
     """
     spark = items.sparkSession
+    t_nutrition, send = nutrition, F.broadcast if nutrition is None and templates is None else lambda t: t
     nutrition = dims.nutrition(spark) if nutrition is None else nutrition
     templates = dims.templates(spark) if templates is None else templates
     given = items.columns
     t = items.withColumns({c: F.lit(None).cast("double") for c in [f"partial_{m}" for m in MACROS] if c not in given})
-    t = detect_ingredients(t, keys, aliases, nutrition, active)
+    t = detect_ingredients(t, keys, aliases, t_nutrition, active)
     t = t.withColumn("__kind", dish_type(F.col("dish_name"), F.col("description"), F.col("section")))
     t = t.withColumns({"dish_type": F.col("__kind.dish_type"), "__supports": F.col("__kind.section_supports")} | preparation(F.col("dish_name"), F.col("description")))
     t = t.withColumn("__label", F.regexp_replace(F.when(F.col("dish_type") == "unknown", dims.FALLBACK_DISH_TYPE).otherwise(F.col("dish_type")), "_", " "))
-    t = with_costs(with_portions(t, templates, nutrition))
+    t = with_costs(with_portions(t, templates, nutrition, send))
     total = lambda c, m: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x[m])
     t = t.withColumns({f"__{m}": total("costs", m) + total("assumed", m) for m in MACROS})
     paid = lambda f: F.transform(F.filter("costs", lambda c: c["counted"]), lambda c: c[f])

@@ -28,7 +28,7 @@ def menu_items(lines: DataFrame, key: str = "page_id") -> DataFrame:
 
     Whether a line starts a dish depends on the line and the next one alone, so dishes are
     a running count of starts; a dish's description is the run of lines after it up to the
-    first that ends it, at most four. All windows share one partitioning by the key.
+    first that ends it, at most MOST_DESCRIPTION_LINES. All windows share one partitioning by the key.
     """
     page, w = W.partitionBy(key), W.partitionBy(key).orderBy("pos")
     line = F.col("line")
@@ -53,7 +53,7 @@ def menu_items(lines: DataFrame, key: str = "page_id") -> DataFrame:
     t = t.withColumns({"__below": below, "__said": said, "__stop": ~F.col("__start") & ~below & ((line == "") | F.col("__header") | F.col("__only") | (~note & ~said))})
     before = item.rowsBetween(W.unboundedPreceding, -1)
     t = t.withColumns({"__stopped": F.max(F.col("__stop").cast("int")).over(item.rowsBetween(W.unboundedPreceding, 0)), "__sofar": F.coalesce(F.sum(F.col("__said").cast("int")).over(before), F.lit(0))})
-    t = t.where("__start OR (__stopped = 0 AND __sofar < 4)" if MOST_DESCRIPTION_LINES == 4 else f"__start OR (__stopped = 0 AND __sofar < {MOST_DESCRIPTION_LINES})")
+    t = t.where(f"__start OR (__stopped = 0 AND __sofar < {MOST_DESCRIPTION_LINES})")
     own = F.sort_array(F.collect_list(F.when(F.col("__said"), F.struct("pos", F.col("__split.text").alias("text")))))
     found = t.groupBy(key, "item_pos").agg(
         F.max(F.when(F.col("__start"), F.col("section"))).alias("section"),

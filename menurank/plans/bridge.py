@@ -197,26 +197,37 @@ def published_macros(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_macros(macro_texts(spark, sf_dir), F.col("text")).drop("text", "p", "c", "f", "cal", "form")
 
 
+#: Headings of menus, as written; a menu has two, one after the other.
+HEADINGS = ["BOWLS", "Salads:", "DRINKS", "Catering"]
+MENU_PARTS = 1000
+
+
 def menus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A menu per brand: heading, dishes with prices, descriptions, blank lines, a footer."""
-    d = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_size", F.nullif(chosen(SAID, F.col("p_partkey")), F.lit("")).alias("say"))
+    """A menu per brand and thousand part keys: two headings, dishes with prices, descriptions, blank lines, a footer.
+
+    So menus don't grow with the table; there are more of them.
+    """
+    k = F.col("p_partkey")
+    d = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_size", F.floor(k / MENU_PARTS).cast("long").alias("menu"), (k % MENU_PARTS >= MENU_PARTS // 2).alias("second"), F.nullif(chosen(SAID, k), F.lit("")).alias("say"))
     price = F.format_string("%d.95", (F.col("p_size") % 40 + 5).cast("int"))
     entry = F.concat(F.initcap("p_name"), F.lit(" Number "), F.col("p_size").cast("string"), F.lit(" ...... $"), price, F.when(F.col("say").isNull(), "").otherwise(F.concat(F.lit("\n"), F.col("say"))))
-    m = d.withColumn("e", F.struct("p_partkey", entry.alias("text"))).groupBy("p_brand").agg(F.array_sort(F.collect_list("e")).alias("e"))
-    body = F.array_join(F.transform("e", lambda x: x["text"]), "\n\n\n")
-    return m.select(F.xxhash64("p_brand").alias("page_id"), "p_brand", F.concat(F.lit("BOWLS\r\n\r\n"), body, F.lit("\n\nAll rights reserved")).alias("text"))
+    m = d.withColumn("e", F.struct("p_partkey", "second", entry.alias("text"))).groupBy("p_brand", "menu").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    brand = F.substring("p_brand", 7, 9).cast("long") + F.col("menu")
+    half = lambda second: F.array_join(F.transform(F.filter("e", lambda x: x["second"] == second), lambda x: x["text"]), "\n\n\n")
+    text = F.concat(chosen(HEADINGS, brand), F.lit("\r\n\r\n"), half(False), F.lit("\n\n"), chosen(HEADINGS, brand + 1), F.lit("\n\n"), half(True), F.lit("\n\nAll rights reserved"))
+    return m.select(F.xxhash64("p_brand", "menu").alias("page_id"), "p_brand", "menu", text.alias("text"))
 
 
 def menu_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = menus(spark, sf_dir)
-    items = menu_items(menu_lines(m)).join(m.select("page_id", "p_brand"), "page_id")
-    return items.select("p_brand", "item_pos", "section", "dish_name", "description", "price")
+    items = menu_items(menu_lines(m)).join(m.select("page_id", "p_brand", "menu"), "page_id")
+    return items.select("p_brand", "menu", "item_pos", "section", "dish_name", "description", "price")
 
 
 def menu_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = menus(spark, sf_dir)
-    lines = menu_lines(m).join(m.select("page_id", "p_brand"), "page_id")
-    return lines.groupBy("p_brand").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("line") == "").alias("blank"), F.count_if(M.split_price(F.col("line"))["price"].isNotNull()).alias("priced"), F.sum(F.length("line")).alias("chars"))
+    lines = menu_lines(m).join(m.select("page_id", "p_brand", "menu"), "page_id")
+    return lines.groupBy("p_brand", "menu").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("line") == "").alias("blank"), F.count_if(M.split_price(F.col("line"))["price"].isNotNull()).alias("priced"), F.sum(F.length("line")).alias("chars"))
 
 
 def event_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,19 +277,19 @@ def menu_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract(m.select("page_id", "text"))
     kept = found.items.select("page_id", "item_pos", "dish_name", "dish_type", "calories", "protein_g", "carbs_g", "fat_g", "macro_confidence", F.lit(None).cast("string").alias("exclusion_reason"))
     out = found.excluded.select("page_id", "item_pos", "dish_name", "dish_type", "exclusion_reason")
-    return kept.unionByName(out, allowMissingColumns=True).join(m.select("page_id", "p_brand"), "page_id").drop("page_id")
+    return kept.unionByName(out, allowMissingColumns=True).join(m.select("page_id", "p_brand", "menu"), "page_id").drop("page_id")
 
 
 def menu_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = menus(spark, sf_dir)
-    report = extract(m.select("page_id", "text")).report.join(m.select("page_id", "p_brand"), "page_id")
-    return report.select("p_brand", "source_type", "items", "excluded", "suppressed", F.array_join("warnings", " ").alias("warnings"), "empty_reason")
+    report = extract(m.select("page_id", "text")).report.join(m.select("page_id", "p_brand", "menu"), "page_id")
+    return report.select("p_brand", "menu", "source_type", "items", "excluded", "suppressed", F.array_join("warnings", " ").alias("warnings"), "empty_reason")
 
 
 def menu_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = menus(spark, sf_dir)
-    top = recommend(m.select("page_id", "text")).join(m.select("page_id", "p_brand"), "page_id")
-    return top.select("p_brand", "item_pos", "goal", "rank", "name", "category", "score", "calories", "protein_g", "confidence", F.array_join("badges", ",").alias("badges"), "explanation")
+    top = recommend(m.select("page_id", "text")).join(m.select("page_id", "p_brand", "menu"), "page_id")
+    return top.select("p_brand", "menu", "item_pos", "goal", "rank", "name", "category", "score", "calories", "protein_g", "confidence", F.array_join("badges", ",").alias("badges"), "explanation")
 
 
 def case_list(cases: list[tuple[str, str]], other: str) -> str:
@@ -317,11 +328,23 @@ REASON_SQL = f"""CASE WHEN x_section = 'catering section' AND x_shared THEN 'Sha
   WHEN x_section IS NOT NULL AND x_section <> 'catering section' THEN 'Listed under the "' || coalesce(section, '') || '" ' || x_section WHEN x_item IS NOT NULL THEN 'Item looks like a ' || x_item
   WHEN x_shared THEN 'Shared or family-sized portion' WHEN NOT ({sql_any(HEAD, C.INCLUDED_SECTIONS)} OR dish_type <> 'unknown') THEN 'Could not identify this as an entree or meal' END"""
 QUALITY_SQL = "greatest(0, least(1, 1.0::DOUBLE - CASE WHEN n = 1 THEN 0.4::DOUBLE ELSE 0 END - CASE WHEN n > 6 THEN 0.3::DOUBLE ELSE 0 END - CASE WHEN n > 8 THEN 0.3::DOUBLE ELSE 0 END - CASE WHEN regexp_matches(dish_name, '[0-9]') THEN 0.3::DOUBLE ELSE 0 END))"
-MENU_SQL = f"""
-  SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS item_pos, 'BOWLS' AS section,
+MENU_CTE = f"""m AS (
+  SELECT p_partkey, p_brand, p_partkey // {MENU_PARTS} AS menu, row_number() OVER (PARTITION BY p_brand, p_partkey // {MENU_PARTS} ORDER BY p_partkey) AS item_pos,
+    ['BOWLS', 'Salads', 'DRINKS', 'Catering'][((substr(p_brand, 7)::INTEGER + p_partkey // {MENU_PARTS} + CASE WHEN p_partkey % {MENU_PARTS} >= {MENU_PARTS // 2} THEN 1 ELSE 0 END) % 4 + 1)::INTEGER] AS section,
     array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || ' Number ' || p_size AS dish_name,
     nullif({sql_list(SAID)}[(p_partkey % {len(SAID)} + 1)::INTEGER], '') AS description, ((p_size % 40 + 5) || '.95')::DOUBLE AS price
-  FROM part"""
+  FROM part
+)"""
+JUDGED_CTE = f"""{MENU_CTE}, d AS (SELECT * FROM m), {KIND_CTE},
+x AS (SELECT *, {sql_case(HEAD, C.EXCLUDED_SECTIONS)} AS x_section, {sql_case("trim(dish_name)", C.EXCLUDED_ITEMS)} AS x_item, {sql_any(BOTH, [C.SHARED])} AS x_shared FROM t),
+w AS (SELECT *, {REASON_SQL} AS why FROM x),
+i AS (SELECT p_partkey AS item, dish_name, description, dish_type, matched_on IN ('name', 'description') AND coalesce(by_section = dish_type, false) AS supports FROM w WHERE why IS NULL), {costed("i")},
+judged AS (
+  SELECT w.p_brand, w.menu, w.item_pos, w.dish_name, w.dish_type, e.calories, e.protein_g, e.carbs_g, e.fat_g, e.macro_confidence, coalesce(e.macro_confidence < 0.3::DOUBLE, false) AS unsure,
+    coalesce(w.why, CASE WHEN e.macro_confidence < 0.3::DOUBLE THEN 'Not enough information to estimate macros (confidence ' || printf('%.2f', e.macro_confidence) || ', minimum 0.3)' END) AS exclusion_reason
+  FROM w LEFT JOIN e ON e.item = w.p_partkey
+)"""
+MENU_SCORES = f"""listings AS (SELECT *, 'entree' AS category FROM judged WHERE exclusion_reason IS NULL), goals({LISTINGS.split("), goals(", 1)[1]}"""
 PUBLISHED_SQL = """
 WITH t AS (
   SELECT *, (5 + l_quantity)::INTEGER AS p, (l_partkey % 120)::INTEGER AS c, ((l_orderkey * 11 + l_linenumber) % 60)::INTEGER AS f, l_orderkey % 4 AS form FROM lineitem
@@ -360,9 +383,27 @@ SELECT p_partkey, q AS name_quality, s AS parse_confidence, CASE WHEN s >= 0.7 T
     "dish_costs": f"""WITH {DISH_CTE}, {KIND_CTE}, i AS (SELECT p_partkey AS item, dish_name, description, dish_type, matched_on IN ('name', 'description') AND coalesce(by_section = dish_type, false) AS supports FROM t), {costed("i")}
 SELECT item AS p_partkey, dish_type, calories, protein_g, carbs_g, fat_g, macro_confidence, array_to_string(ingredients, ',') AS ingredients, assumptions FROM e""",
     "published_macros": PUBLISHED_SQL,
-    "menu_segments": MENU_SQL,
-    "menu_line_counts": f"""WITH m AS ({MENU_SQL}), s AS (SELECT *, dish_name || ' $' || format('{{:.2f}}', price) AS head FROM m)
-SELECT p_brand, (1 + count(*) * 2 + count(description))::BIGINT AS lines, count(*)::BIGINT AS blank, count(*)::BIGINT AS priced, (5 + sum(length(head)) + coalesce(sum(length(description)), 0))::BIGINT AS chars FROM s GROUP BY p_brand""",
+    "menu_segments": f"WITH {MENU_CTE} SELECT p_brand, menu, item_pos, section, dish_name, description, price FROM m",
+    "menu_line_counts": f"""WITH {MENU_CTE}, s AS (SELECT *, dish_name || ' $' || format('{{:.2f}}', price) AS head FROM m), c AS (
+  SELECT p_brand, menu, count(*) AS n, count(description) AS said, sum(length(head)) + coalesce(sum(length(description)), 0) AS chars, count(*) FILTER (WHERE p_partkey % {MENU_PARTS} >= {MENU_PARTS // 2}) AS lower_, (substr(p_brand, 7)::INTEGER + menu) % 4 AS head_ FROM s GROUP BY p_brand, menu)
+SELECT p_brand, menu, (2 + n * 2 + said + 1 - CASE WHEN lower_ = 0 THEN 1 ELSE 0 END)::BIGINT AS lines, (n + 1 - CASE WHEN lower_ = 0 THEN 1 ELSE 0 END)::BIGINT AS blank, n::BIGINT AS priced,
+  (chars + [5, 7, 6, 8][(head_ + 1)::INTEGER] + [5, 7, 6, 8][((head_ + 1) % 4 + 1)::INTEGER])::BIGINT AS chars FROM c""",
+    "menu_extraction": f"""WITH {JUDGED_CTE} SELECT p_brand, menu, item_pos, dish_name, dish_type, exclusion_reason, CASE WHEN exclusion_reason IS NULL THEN calories END AS calories, CASE WHEN exclusion_reason IS NULL THEN protein_g END AS protein_g,
+  CASE WHEN exclusion_reason IS NULL THEN carbs_g END AS carbs_g, CASE WHEN exclusion_reason IS NULL THEN fat_g END AS fat_g, CASE WHEN exclusion_reason IS NULL THEN macro_confidence END AS macro_confidence FROM judged""",
+    "menu_report": f"""WITH {JUDGED_CTE}, c AS (SELECT p_brand, menu, count(*) FILTER (WHERE exclusion_reason IS NULL) AS items, count(*) FILTER (WHERE exclusion_reason IS NOT NULL) AS excluded, count(*) FILTER (WHERE unsure) AS suppressed FROM judged GROUP BY p_brand, menu)
+SELECT p_brand, menu, 'raw_text' AS source_type, items, excluded, suppressed, CASE WHEN items = 0 THEN 'No entree-like menu items were found in this source.' END AS empty_reason,
+  array_to_string(list_filter([CASE WHEN items > 0 THEN 'Macros are estimated from common assumptions and are not restaurant-provided.' END,
+    CASE WHEN suppressed > 0 THEN suppressed || ' item(s) were left out because there was too little information to estimate their macros.' END,
+    CASE WHEN items = 0 THEN 'No entree-like menu items were found in this source.' END], lambda x: x IS NOT NULL), ' ') AS warnings FROM c""",
+    "menu_recommendations": f"""WITH {JUDGED_CTE}, {MENU_SCORES}, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY p_brand, menu, goal ORDER BY score DESC, protein_g DESC, calories, item_pos) AS rank, {BADGE_SQL} AS own FROM scored)
+SELECT p_brand, menu, item_pos, goal, rank::INTEGER AS rank, dish_name AS name, category, score, calories, protein_g, CASE WHEN macro_confidence >= 0.7 THEN 'high' WHEN macro_confidence >= 0.45 THEN 'medium' ELSE 'low' END AS confidence,
+  array_to_string(CASE WHEN rank = 1 THEN (['Best Match'] || own)[1:3] ELSE own END, ',') AS badges, {SAY_SQL} AS explanation FROM ranked WHERE rank <= 5""",
+    "page_links": r"""WITH p AS (
+  SELECT page_id, regexp_extract(url, '^https?://[^/?#]+') AS host, regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') AS folder, len(regexp_extract_all(split_part(html, '</article>', 1), '<a\s[^>]*href')) AS n FROM pages WHERE contains(html, '</article>')
+)
+SELECT page_id, n::INTEGER AS pos, host || '/menu.pdf?id=' || page_id AS href, 'Our food' AS text, true AS confident FROM p
+UNION ALL SELECT page_id, (n + 1)::INTEGER, folder || 'menu', 'View menu', false FROM p""",
     "event_blocks": BLOCK_SQL,
     "text_quality": rf"""WITH t AS (
   SELECT doc_id, text, length(text) AS n, length(text) - length(regexp_replace(text, '[\s\x{{0B}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}]', '', 'g')) AS w,
