@@ -71,9 +71,11 @@ def log_count_ratios(rows: DataFrame, bits: int = BITS, alpha: float = 1.0, info
                 sums[0, :-1] += np.bincount(index[~is_toxic], minlength=1 << bits)
             sums[1, -1] += y.sum()
             sums[0, -1] += (~y).sum()
-        yield pa.RecordBatch.from_arrays([pa.array([sums.astype(np.float32).tobytes()], pa.binary())], ["s"])
+        yield pa.RecordBatch.from_arrays([pa.array([pa.compress(sums.astype(np.uint32).tobytes(), codec="zstd", asbytes=True)], pa.binary())], ["s"])
 
-    sums = sum(np.frombuffer(r[0], dtype=np.float32).astype(np.float64) for r in rows.select("y", "t").mapInArrow(count, "s binary").collect())
+    size = 4 * 2 * ((1 << bits) + 1)
+    parts = rows.select("y", "t").mapInArrow(count, "s binary").collect()
+    sums = sum(np.frombuffer(pa.decompress(bytes(r[0]), decompressed_size=size, codec="zstd"), dtype=np.uint32).astype(np.float64) for r in parts)
     sums = sums.reshape(2, -1) if np.ndim(sums) else np.zeros((2, (1 << bits) + 1))
     p, q = sums[1, :-1] + alpha, sums[0, :-1] + alpha
     ratios = np.log(p / (sums[1, -1] + 2 * alpha)) - np.log(q / (sums[0, -1] + 2 * alpha))
@@ -145,6 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.ListArray.from_arrays(pa.array(bounds), pa.array(to[index])), pa.ListArray.from_arrays(pa.array(bounds), pa.array(value))], ["y", "index", "value"])
 
     sample = durable(rows.select("y", "t").mapInArrow(features, "y double, index array<int>, value array<float>"))
+    sent.destroy()
     toxic_weight = max(1.0, balance * seen[0.0] / seen[1.0])
     weights, extra = fit(sample, len(used), np.array([prior]), logistic(toxic_weight), steps=steps, rate=0.1, l2=1e-4)
     out = np.zeros(1 << BITS, dtype=np.float32)
