@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from menurank import dims
 from menurank.functions import classify as C
 from menurank.functions import menu_text as M
 from menurank.functions.published import read_macros
@@ -111,6 +112,13 @@ def test_costing(spark):
     assert any(x == "Used the 12 oz protein portion stated on the menu." for x in r[5]["assumptions"])
 
 
+def test_ingredient_names(spark):
+    assert len(dims.alias_rows()) == 321 and {r[5] for r in dims.alias_rows()} <= {r[0] for r in dims.nutrition_rows()}
+    r = cost(spark, ("Chicken Milanese", None, None), ("Veal Parmesan", None, None), ("Bowl", "pickled fresnos, salsa verde, snap peas, little gem", None))
+    found = [[x["normalized_name"] for x in row["detected_ingredients"]] for row in r]
+    assert found == [["fried chicken"], ["fried chicken"], ["pickles", "salsa", "vegetables", "lettuce"]]
+
+
 def test_blocks(spark):
     b = spark.createDataFrame(
         [(1, 0, "Grilled Chicken Club*", "", "handhelds", "Grilled Chicken Club* 26.75"), (1, 1, "Grilled Chicken Club", None, "handhelds", "x"), (1, 2, "Protein", "", "", ""), (1, 3, None, None, None, None), (1, 4, "Soup $9.50", "Contains nuts", "Soups", "")],
