@@ -385,8 +385,8 @@ SELECT item AS p_partkey, dish_type, calories, protein_g, carbs_g, fat_g, macro_
     "published_macros": PUBLISHED_SQL,
     "menu_segments": f"WITH {MENU_CTE} SELECT p_brand, menu, item_pos, section, dish_name, description, price FROM m",
     "menu_line_counts": f"""WITH {MENU_CTE}, s AS (SELECT *, dish_name || ' $' || format('{{:.2f}}', price) AS head FROM m), c AS (
-  SELECT p_brand, menu, count(*) AS n, count(description) AS said, sum(length(head)) + coalesce(sum(length(description)), 0) AS chars, count(*) FILTER (WHERE p_partkey % {MENU_PARTS} >= {MENU_PARTS // 2}) AS lower_, (substr(p_brand, 7)::INTEGER + menu) % 4 AS head_ FROM s GROUP BY p_brand, menu)
-SELECT p_brand, menu, (2 + n * 2 + said + 1 - CASE WHEN lower_ = 0 THEN 1 ELSE 0 END)::BIGINT AS lines, (n + 1 - CASE WHEN lower_ = 0 THEN 1 ELSE 0 END)::BIGINT AS blank, n::BIGINT AS priced,
+  SELECT p_brand, menu, count(*) AS n, count(description) AS said, sum(length(head)) + coalesce(sum(length(description)), 0) AS chars, (substr(p_brand, 7)::INTEGER + menu) % 4 AS head_ FROM s GROUP BY p_brand, menu)
+SELECT p_brand, menu, (2 + n * 2 + said + 1)::BIGINT AS lines, (n + 1)::BIGINT AS blank, n::BIGINT AS priced,
   (chars + [5, 7, 6, 8][(head_ + 1)::INTEGER] + [5, 7, 6, 8][((head_ + 1) % 4 + 1)::INTEGER])::BIGINT AS chars FROM c""",
     "menu_extraction": f"""WITH {JUDGED_CTE} SELECT p_brand, menu, item_pos, dish_name, dish_type, exclusion_reason, CASE WHEN exclusion_reason IS NULL THEN calories END AS calories, CASE WHEN exclusion_reason IS NULL THEN protein_g END AS protein_g,
   CASE WHEN exclusion_reason IS NULL THEN carbs_g END AS carbs_g, CASE WHEN exclusion_reason IS NULL THEN fat_g END AS fat_g, CASE WHEN exclusion_reason IS NULL THEN macro_confidence END AS macro_confidence FROM judged""",
