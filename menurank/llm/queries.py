@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed, html_main, lines, lm, minhash, mixing, quality, tokens, toxicity
+from . import decontaminate, embed, html_main, lines, lm, minhash, mixing, quality, search, tokens, toxicity, warc, whiten
 from .jobs import id_crc_mod, read
 
 #: The unigram vocabulary of op6; another file may be named in the environment.
@@ -68,7 +68,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, labels, held_out=id_crc_mod("doc_id", 5) == 0).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_grades, op3_embedding_dedup, op4_lm_scores, op5_line_dedup, op6_token_counts, op7_source_mix, op8_decontaminate, op9_main_text, op10_toxicity)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(read(spark, sf_dir, "pages"), payloads=False).drop("url", "payload")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(search.build_index(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_grades, op3_embedding_dedup, op4_lm_scores, op5_line_dedup, op6_token_counts, op7_source_mix, op8_decontaminate, op9_main_text, op10_toxicity, op11_whitening, op12_warc_packages, op13_lexical_search)}
 
 COMPONENTS = """
 reach(a, b) AS (
@@ -134,4 +146,21 @@ f AS (SELECT k.*, s.key IS NOT NULL AND (k.doc_id, k.pos) <> s.first AS gone FRO
 o AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT coalesce(gone, false)), '') AS t FROM f GROUP BY doc_id)
 SELECT d.doc_id, coalesce(o.n, 0)::INTEGER AS lines_removed, length(coalesce(o.t, d.text))::BIGINT AS n_chars, md5(coalesce(o.t, d.text)) AS text_md5
 FROM documents d LEFT JOIN o USING (doc_id)""",
+    "op12_warc_packages": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS d, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(d, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) % 32 + 1)::INTEGER, 1) for i in range(32)], '') AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM q""",
+    "op13_lexical_search": r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+d AS (SELECT *, len(ws)::BIGINT AS n FROM t WHERE len(ws) > 0),
+s AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+f AS (SELECT r, w, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ws) AS w FROM d) GROUP BY r, w),
+v AS (SELECT w, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM f CROSS JOIN s GROUP BY w, n_docs),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+x AS (SELECT i.item_id, d.r, d.doc_id, sum(v.weight * ((1000000000 * f.tf) // (1000 * f.tf + 12 * (75 + (25 * d.n * s.n_docs) // s.n_terms))))::BIGINT AS score
+  FROM i JOIN v ON v.w = i.w JOIN f ON f.w = i.w JOIN d ON d.r = f.r CROSS JOIN s GROUP BY i.item_id, d.r, d.doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0) WHERE rank <= 20""",
 }

@@ -77,14 +77,14 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         begin = end
 
 
-def split(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """The words of the texts that `offsets` delimits in `data`."""
+def split(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> Words:
+    """The words of the texts that `offsets` delimits in `data`: runs of bytes that `space` doesn't mark."""
     base = int(offsets[0])
     low = LOWER[data[base : int(offsets[-1])]]
     bounds = offsets - base
     n = len(low)
     inside = np.zeros(n + 2, dtype=bool)
-    inside[1:-1] = ~SPACE[low]
+    inside[1:-1] = ~space[low]
     begins, stops = inside[1:] & ~inside[:-1], inside[:-1] & ~inside[1:]
     cut = bounds[(bounds > 0) & (bounds < n)]
     cut = cut[inside[cut] & inside[cut + 1]]
