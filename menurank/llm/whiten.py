@@ -154,7 +154,7 @@ def leading(covariance: Callable[[np.ndarray], np.ndarray], dim: int, trace: flo
     raise RuntimeError(f"residual {worst} after {most_rounds} rounds")
 
 
-def fit_whitener(blocks: DataFrame, dim: int, count: int = 16, *, guard: int = 24, degree: int = 10, most_rounds: int = 40) -> Whitener:
+def fit_whitener(blocks: DataFrame, dim: int, count: int = 16, *, guard: int = 32, degree: int = 6, most_rounds: int = 40) -> Whitener:
     """The whitening of the vectors in `blocks`: all its matrices come from passes over them, the driver holds `dim` rows of the block at most."""
     totals = summed(blocks, lambda x: np.column_stack([x.sum(axis=0), np.full(dim, len(x))]), dim, 2, "long")
     n, sums = int(totals[0, 1]), totals[:, 0]
