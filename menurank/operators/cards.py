@@ -1,4 +1,9 @@
-"""Item cards on a page, from the table of its elements: containment is a join on ranges of numbers."""
+"""Item cards on a page, from the table of its elements.
+
+Elements are numbered in document order, so a subtree is a run of numbers. What a subtree holds is told by
+running counts at its two ends; what stands above an element by its path, exploded as far as it is needed. So every join is on
+equal numbers, and all work grows with the number of elements.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +21,6 @@ ITEM_CLASSES = ["menu-item", "menuitem", "item", "product", "dish", "card"]
 ITEM_TESTIDS = ["menu-item", "item", "product", "dish", "card"]
 TITLE_CLASSES = ["title", "font-heading", "heading", "item-name", "item_name", "itemname", "product-name", "product_name", "productname", "dish-name", "dish_name", "dishname"]
 DESCRIPTION_CLASSES = ["description", "ingredient", "summary", "detail", "caption"]
-CHROME_TAGS, CHROME_ROLES = ["nav", "header", "footer", "aside"], ["navigation", "banner", "contentinfo"]
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 
 
@@ -29,62 +33,100 @@ def section_like(text: Column) -> Column:
     return (text != "") & (F.length(text) <= 60) & (word_count(text) <= 6)
 
 
-def flagged(nodes: DataFrame) -> DataFrame:
-    """`nodes` with what each element may be: chrome, item, and a name of which tier."""
-    title = any_match(F.col("class"), TITLE_CLASSES)
-    alt = F.trim(F.regexp_replace("alt", r"\s+", " "))
-    n = nodes.withColumn("is_chrome", F.col("tag").isin(CHROME_TAGS) | F.lower("role").isin(CHROME_ROLES))
-    n = n.withColumn("is_item", any_match(F.col("class"), ITEM_CLASSES) | any_match(F.col("testid"), ITEM_TESTIDS) | (F.col("tag") == "article"))
-    heading = F.col("tag").isin(HEADINGS)
-    tier = F.when(heading & name_like(F.col("text"), True), 1).when(title & name_like(F.col("text"), False), 2).when((F.col("tag") == "img") & name_like(alt, False), 3)
-    return n.withColumns({"name_tier": tier, "name_text": F.when(F.col("tag") == "img", alt).otherwise(F.col("text")), "is_heading": heading, "is_description": any_match(F.col("class"), DESCRIPTION_CLASSES)})
-
+def marked(nodes: DataFrame, key: str) -> DataFrame:
+    """What each element may be (item, name of which tier, heading, description), and running numbers of its page, without long texts.
 
-def page_cards(nodes: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, pos, name, description, section, text): the first 400 cards of each page, as blocks.
+    titles, names: how many elements up to here have a name, of headings and title classes, and of pictures too;
+    changes: how often a title's text differs from that of the title before; next_changes: this count at the next title;
+    head: a section's heading, if this is one or holds nothing else.
+    """
+    text = F.col("text")
+    heading = F.col("tag").isin(HEADINGS)
+    alt = F.trim(F.regexp_replace("alt", r"\s+", " "))
+    tier = F.when(heading & name_like(text, True), 1).when(any_match(F.col("class"), TITLE_CLASSES) & name_like(text, False), 2).when((F.col("tag") == "img") & name_like(alt, False), 3)
+    item = any_match(F.col("class"), ITEM_CLASSES) | any_match(F.col("testid"), ITEM_TESTIDS) | (F.col("tag") == "article")
+    n = nodes.select(
+        key, "pre", "last", "parent", "tag", "chrome", "length", item.alias("is_item"), "path", tier.alias("tier"),
+        F.when(heading | (F.col("length") <= 60), F.substring(text, 1, 61)).alias("short"), heading.alias("is_heading"),
+        F.when(any_match(F.col("class"), DESCRIPTION_CLASSES) & (word_count(text) >= 3), text).alias("told"),
+        F.filter("lines", lambda x: x.contains(",") & (word_count(x) >= 3)).alias("told_lines"), text.alias("name_text"), alt.alias("alt"),
+    )
+    n = n.withColumn("name_text", F.when(F.col("tier") == 3, F.col("alt")).when(F.col("tier").isNotNull(), F.col("name_text"))).drop("alt")
+    down = W.partitionBy(key).orderBy("pre")
+    upto, before = down.rowsBetween(W.unboundedPreceding, 0), down.rowsBetween(W.unboundedPreceding, -1)
+    later = W.partitionBy(key).orderBy(F.desc("pre")).rowsBetween(W.unboundedPreceding, -1)
+    title = F.coalesce(F.col("tier") < 3, F.lit(False))
+    other = title & ~F.coalesce(F.last(F.when(title, F.col("name_text")), True).over(before) == F.col("name_text"), F.lit(False))
+    n = n.withColumns({"titles": F.count_if(title).over(upto), "names": F.count("tier").over(upto), "other": other})
+    n = n.withColumn("changes", F.count_if("other").over(upto)).drop("other")
+    n = n.withColumns({"next_changes": F.last(F.when(title, F.col("changes")), True).over(later), "next_heading": F.last(F.when(F.col("is_heading"), F.struct("pre", F.col("short").alias("text"))), True).over(later)})
+    alone = (F.col("next_heading.pre") <= F.col("last")) & (F.col("next_heading.text") == F.col("short")) & (F.col("length") <= 60)
+    return n.withColumn("head", F.when(F.when(F.col("is_heading"), F.col("length") <= 60).otherwise(alone) & section_like(F.col("short")), F.col("short"))).drop("short", "next_heading", "is_heading")
+
+
+def single_dish_containers(n: DataFrame, key: str) -> DataFrame:
+    """(key, pre, last, path) of the widest container of each candidate: at most eight levels up, up to the first that isn't shown, is too long, or has not one name."""
+    own = n.where(F.col("is_item") & ~F.col("chrome") & F.col("length").between(LEAST_TEXT, MOST_TEXT) & F.col("path").isNotNull())
+    line = own.select(key, F.col("pre").alias("own"), "path", F.posexplode(F.array_prepend(F.slice("path", 1, MOST_LEVELS), F.col("pre"))).alias("level", "at"))
+    line = line.join(n.select(key, F.col("pre").alias("at"), F.col("last").alias("at_last"), "tag", "chrome", "length", "titles", "names", "next_changes"), [key, "at"])
+    ends = n.select(key, F.col("pre").alias("at_last"), F.col("titles").alias("titles_in"), F.col("names").alias("names_in"), F.col("changes").alias("changes_in"))
+    line = line.join(ends, [key, "at_last"])
+    single = (F.col("titles_in") > F.col("titles")) & (F.col("changes_in") == F.col("next_changes"))
+    stop = F.col("tag").isin("body", "html") | F.col("chrome") | (F.col("length") > MOST_TEXT) | ~F.coalesce(single, F.lit(False))
+    stop = F.when(F.col("level") == 0, F.col("names_in") == F.col("names")).otherwise(stop)  # the candidate itself must hold a name
+    line = line.groupBy(key, "own").agg(F.array_sort(F.collect_list(F.struct("level", "at", "at_last", stop.alias("stop")))).alias("line"), F.first("path").alias("path"))
+    wide = F.array_position(F.transform("line", lambda x: x["stop"]), True)
+    wide = line.withColumn("wide", F.when(wide == 0, F.size("line")).otherwise(wide - 1).cast("int")).where("wide > 0")
+    wide = wide.select(key, "own", F.element_at("line", F.col("wide")).alias("at"), F.slice("path", F.col("wide"), F.greatest(F.size("path"), F.lit(1))).alias("path"))
+    return wide.groupBy(key, F.col("at.at").alias("pre")).agg(F.first("at.at_last").alias("last"), F.min_by("path", "own").alias("path"))
+
+
+def innermost(cards: DataFrame, key: str, most_cards: int | None) -> DataFrame:
+    """The cards that hold no other, numbered: one that does holds the next one, as subtrees are runs."""
+    order = W.partitionBy(key).orderBy("pre")
+    cards = cards.withColumn("next", F.lead("pre").over(order)).where("next IS NULL OR next > last").drop("next").withColumn("pos", F.row_number().over(order))
+    return cards.where(F.col("pos") <= most_cards) if most_cards else cards
+
+
+def named_cards(cards: DataFrame, n: DataFrame, key: str) -> DataFrame:
+    """(key, pre, name, description): the best name in each card, its first description or else its longest line with a comma."""
+    facts = n.where("tier IS NOT NULL OR told IS NOT NULL OR size(told_lines) > 0").select(key, "pre", F.lit(1).alias("fact"), "tier", "name_text", "told", "told_lines", F.lit(None).cast("struct<pre:int,last:int>").alias("card"))
+    starts = cards.select(key, "pre", F.lit(0).alias("fact"), F.lit(None).cast("int").alias("tier"), F.lit(None).cast("string").alias("name_text"), F.lit(None).cast("string").alias("told"), F.lit(None).cast("array<string>").alias("told_lines"), F.struct("pre", "last").alias("card"))
+    order = W.partitionBy(key).orderBy("pre", "fact").rowsBetween(W.unboundedPreceding, 0)
+    f = facts.unionByName(starts).withColumn("card", F.last("card", True).over(order)).where("fact = 1 AND pre <= card.last").withColumn("card", F.col("card.pre"))
+    inside = F.col("pre") > F.col("card")
+    best = F.min_by(F.when(inside, F.col("name_text")), F.when(inside & F.col("tier").isNotNull(), F.struct("tier", "pre")))
+    f = f.withColumn("name", best.over(W.partitionBy(key, "card"))).where("name IS NOT NULL")
+    said = F.when(inside & (F.col("told") != F.col("name")), F.col("told"))
+    lines = F.transform(F.filter("told_lines", lambda x: x != F.col("name")), lambda x: F.struct((-F.length(x)).alias("o"), x.alias("line")))
+    f = f.withColumns({"said": said, "line": F.array_min(F.transform(lines, lambda x, i: F.struct(x["o"].alias("o"), F.col("pre").alias("p"), i.alias("i"), x["line"].alias("line"))))})
+    f = f.groupBy(key, F.col("card").alias("pre")).agg(F.first("name").alias("name"), F.min_by("said", F.when(F.col("said").isNotNull(), F.col("pre"))).alias("said"), F.min("line").alias("line"))
+    return f.select(key, "pre", "name", F.coalesce("said", "line.line").alias("description"))
+
+
+def sections(cards: DataFrame, n: DataFrame, key: str) -> DataFrame:
+    """(key, pre, section): of a card and its ancestors below the body, the nearest that has a heading before it among its siblings; the last such heading."""
+    before = W.partitionBy(key, "parent").orderBy("pre").rowsBetween(W.unboundedPreceding, -1)
+    under = n.select(key, F.col("pre").alias("at"), "tag", F.last("head", True).over(before).alias("head")).where(F.col("head").isNotNull() & ~F.col("tag").isin("body", "html")).drop("tag")
+    line = cards.select(key, "pre", F.posexplode(F.array_prepend("path", F.col("pre"))).alias("level", "at")).join(under, [key, "at"])
+    return line.groupBy(key, "pre").agg(F.min_by("head", "level").alias("section"))
+
+
+def parsed_once(nodes: DataFrame, key: str) -> DataFrame:
+    """`nodes`, dealt out by page in one array column: as no use can prune columns of it, all uses share this exchange, and pages are parsed once."""
+    packed = nodes.select(key, F.array(F.struct(*[c for c in nodes.columns if c != key])).alias("node")).repartition(key)
+    return packed.select(key, F.inline("node"))
+
+
+def page_cards(nodes: DataFrame, key: str = "page_id", most_cards: int | None = MOST_CARDS) -> DataFrame:
+    """(key, pos, name, description, section, text): the first `most_cards` cards of each page (None: all), as blocks.
 
     A candidate is an item-like element outside the page's chrome, of 20 to 2000 characters,
     that holds a name. It grows to its outermost ancestor, of at most eight, that still
-    holds exactly one name; containers of other containers are dropped. All joins are
-    within a page, on filtered elements.
+    holds exactly one name; containers of other containers are dropped. Pages without cards give no rows.
     """
-    n = flagged(nodes)
-    inside = lambda a, b: (F.col(f"{a}.{key}") == F.col(f"{b}.{key}")) & (F.col(f"{a}.pre") > F.col(f"{b}.pre")) & (F.col(f"{a}.pre") <= F.col(f"{b}.last"))
-    chrome = n.where("is_chrome").select(key, "pre", "last")
-    shown = n.where("NOT is_chrome").alias("n").join(chrome.alias("c"), inside("n", "c"), "left_anti")
-    names = n.where("name_tier IS NOT NULL").select(key, "pre", "name_tier", "name_text")
-    candidates = shown.where(F.col("is_item") & F.col("length").between(LEAST_TEXT, MOST_TEXT))
-    held = candidates.alias("c").join(names.alias("m"), inside("m", "c"), "left_semi")
-
-    # ancestors of each candidate, nearest first, and how many names each holds
-    up = shown.where(~F.col("tag").isin("body", "html")).select(key, "pre", "last", "depth", "length")
-    counted = up.alias("u").join(names.where("name_tier < 3").alias("m"), inside("m", "u")).groupBy(F.col(f"u.{key}").alias(key), F.col("u.pre").alias("pre")).agg(F.count_distinct("m.name_text").alias("names"))
-    up = up.join(counted, [key, "pre"], "left").withColumn("stop", (F.coalesce("names", F.lit(0)) != 1) | (F.col("length") > MOST_TEXT))
-    all_up = nodes.select(key, "pre", "last", F.col("depth").alias("d"))
-    chain = held.select(key, "pre", "last", "depth").alias("c").join(all_up.alias("a"), inside("c", "a")).select(F.col(f"c.{key}").alias(key), F.col("c.pre").alias("own"), F.col("c.last").alias("own_last"), F.col("a.pre").alias("pre"), F.col("a.last").alias("last"), (F.col("c.depth") - F.col("a.d")).alias("level")).where(f"level <= {MOST_LEVELS}")
-    chain = chain.join(up.select(key, "pre", "stop"), [key, "pre"], "left").withColumn("stop", F.coalesce("stop", F.lit(True)))
-    chain = chain.withColumn("first_stop", F.min(F.when(F.col("stop"), F.col("level"))).over(W.partitionBy(key, "own")))
-    wide = chain.where(F.col("first_stop").isNull() | (F.col("level") < F.col("first_stop"))).groupBy(key, "own").agg(F.max_by("pre", "level").alias("wide_pre"), F.max_by("last", "level").alias("wide_last"))
-    cards = held.select(key, F.col("pre").alias("own"), "last").join(wide, [key, "own"], "left")
-    cards = cards.select(key, F.coalesce("wide_pre", "own").alias("pre"), F.coalesce("wide_last", "last").alias("last")).distinct()
-    cards = cards.alias("b").join(cards.alias("a"), inside("a", "b"), "left_anti")
-    cards = cards.withColumn("pos", F.row_number().over(W.partitionBy(key).orderBy("pre"))).where(f"pos <= {MOST_CARDS}")
-    cards = cards.join(nodes.select(key, "pre", "text"), [key, "pre"])
-
-    named = cards.alias("c").join(names.alias("m"), inside("m", "c")).groupBy(F.col(f"c.{key}").alias(key), F.col("c.pre").alias("pre")).agg(F.min_by("m.name_text", F.struct("m.name_tier", F.col("m.pre").alias("p"))).alias("name"))
-    cards = cards.join(named, [key, "pre"])
-    told = n.where(F.col("is_description") & (word_count(F.col("text")) >= 3)).select(key, "pre", F.col("text").alias("say"), F.lit(1).alias("tier"))
-    leaf = n.where(F.col("text").contains(",") & (word_count(F.col("text")) >= 3) & (F.col("pre") == F.col("last"))).select(key, "pre", F.col("text").alias("say"), F.lit(2).alias("tier"))
-    told = cards.select(key, "pre", "last", "name").alias("c").join(told.unionByName(leaf).alias("d"), inside("d", "c")).where("d.say != c.name")
-    best = F.struct("d.tier", F.when(F.col("d.tier") == 1, F.col("d.pre")).otherwise(-F.length("d.say")).alias("o"), F.col("d.pre").alias("p"))
-    told = told.groupBy(F.col(f"c.{key}").alias(key), F.col("c.pre").alias("pre")).agg(F.min_by("d.say", best).alias("description"))
-
-    # a section is the nearest heading before the card, first among its siblings, then its ancestors'
-    line = cards.select(key, "pre", "last").alias("c").join(nodes.select(key, "pre", "last", "parent", "depth", "tag").alias("a"), (F.col(f"c.{key}") == F.col(f"a.{key}")) & (F.col("c.pre") >= F.col("a.pre")) & (F.col("c.pre") <= F.col("a.last")))
-    line = line.where(~F.col("a.tag").isin("body", "html")).select(F.col(f"c.{key}").alias(key), F.col("c.pre").alias("card"), F.col("a.pre").alias("at"), "a.parent", "a.depth")
-    heads = n.where(F.col("is_heading") & section_like(F.col("text"))).select(key, "pre", F.col("text").alias("head"))
-    before = nodes.select(key, "pre", "last", "parent", F.col("text").alias("all")).alias("s").join(heads.alias("h"), (F.col(f"s.{key}") == F.col(f"h.{key}")) & (F.col("h.pre") >= F.col("s.pre")) & (F.col("h.pre") <= F.col("s.last")) & (F.col("s.all") == F.col("h.head")))
-    before = before.select(F.col(f"s.{key}").alias(key), F.col("s.pre").alias("sib"), F.col("s.parent").alias("parent"), F.col("h.head").alias("head")).distinct()
-    section = line.join(before, [key, "parent"]).where("sib < at").groupBy(key, "card").agg(F.max_by("head", F.struct("depth", "sib")).alias("section"))
-    out = cards.join(told, [key, "pre"], "left").join(section.withColumnRenamed("card", "pre"), [key, "pre"], "left")
+    nodes = parsed_once(nodes, key)
+    n = marked(nodes, key)
+    cards = innermost(single_dish_containers(n, key), key, most_cards)
+    out = cards.join(named_cards(cards, n, key), [key, "pre"]).join(sections(cards, n, key), [key, "pre"], "left").join(nodes.select(key, "pre", "text"), [key, "pre"])
     return out.select(key, "pos", "name", "description", "section", "text")

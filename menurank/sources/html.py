@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
+from itertools import accumulate
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -21,6 +25,10 @@ from ..functions.rules import matches
 SKIPPED = frozenset("script style noscript template svg head nav footer aside form button select iframe".split())
 BLOCK = frozenset("p div br li ul ol tr td th table section article header dt dd dl h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i img input kbd label mark q s samp small span strong sub sup time tt u var wbr".split())
+UNSEEN = frozenset("head script style noscript template svg select iframe".split())
+CHROME_TAGS, CHROME_ROLES = frozenset("nav header footer aside".split()), frozenset("navigation banner contentinfo".split())
+ZERO_WIDTH = re.compile("[\u200b\u200c\u200d\ufeff]")
 BOILERPLATE = re.compile(r"\b(cookie|consent|gdpr|newsletter|subscribe|social|breadcrumb|skip-link|modal|popup)\b", re.I | re.A)
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "mdash": "—", "ndash": "–", "hellip": "…", "rsquo": "’", "lsquo": "‘", "ldquo": "“", "rdquo": "”", "middot": "·", "bull": "•"}
 ENTITY = re.compile(r"&(#x?[0-9a-fA-F]+|[a-zA-Z]+);")
@@ -44,24 +52,48 @@ def decode_entities(text: str) -> str:
 
 
 class Reader(HTMLParser):
-    """Text with line breaks, title, links, and every element with its place in the tree."""
+    """Text with line breaks, title and links; with `tree`, every element with its place, too.
 
-    def __init__(self) -> None:
+    All work is linear in the page: an element notes where its text begins and ends in that of the page, what its
+    ancestors hold isn't copied to them.
+    """
+
+    def __init__(self, tree: bool = False) -> None:
         super().__init__(convert_charrefs=False)
         self.out: list[str] = []
         self.title: str | None = None
         self.links: list[tuple[str, str]] = []
         self.anchor: tuple[str, list[str]] | None = None
-        self.stack: list[tuple[str, bool, int]] = []
-        self.skipped = 0
+        self.stack: list[tuple[str, bool, bool, int]] = []
+        self.open: Counter[str] = Counter()
+        self.skipped = self.unseen = 0
         self.in_title = False
-        self.nodes: list[dict] = []
+        self.tree = tree
+        self.nodes: list[Node] = []
+        self.flat: list[str] = []
+        self.size = 0
+        self.line: list[str] = []
+        self.line_at = -1
+
+    def put(self, text: str) -> None:
+        self.flat.append(text)
+        self.size += len(text)
+
+    def end_line(self) -> None:
+        if self.line and (text := " ".join("".join(self.line).split())) and self.line_at >= 0:
+            self.nodes[self.line_at].lines.append(text)
+        self.line, self.line_at = [], -1
 
     def found(self, text: str) -> None:
         if self.in_title:
             self.title = (self.title or "") + text
-        for _, _, at in self.stack:
-            self.nodes[at]["text"].append(text)
+        if self.tree:
+            text_ = ZERO_WIDTH.sub("", text)
+            self.put(text_)
+            if not self.unseen:
+                if self.line_at < 0 and self.stack and text_.strip():
+                    self.line_at = self.stack[-1][3]
+                self.line.append(text_)
         if not self.skipped:
             self.out.append(re.sub(r"\s+", " ", text) if text.strip() else " ")
             if self.anchor:
@@ -76,23 +108,32 @@ class Reader(HTMLParser):
     def handle_charref(self, name: str) -> None:
         self.found(decode_entities(f"&#{name};"))
 
+    def boundary(self, tag: str) -> None:
+        self.out.append("\n" if tag in BLOCK else " ")
+        if self.tree:
+            self.put(" ")
+            if tag in BLOCK or tag not in INLINE:
+                self.end_line()
+            else:
+                self.line.append(" ")
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         named = {k: v or "" for k, v in attrs}
-        self.out.append("\n" if tag in BLOCK else " ")
+        self.boundary(tag)
         at = len(self.nodes)
-        for _, _, up in self.stack:
-            self.nodes[up]["text"].append(" ")
-        own = {"pre": at, "last": at, "parent": self.stack[-1][2] if self.stack else -1, "tag": tag, "class": named.get("class", ""), "testid": named.get("data-testid", ""), "role": named.get("role", ""), "alt": named.get("alt", ""), "text": []}
-        self.nodes.append(own)
-        for _, _, up in self.stack:
-            self.nodes[up]["last"] = at
+        if self.tree:
+            up = self.nodes[self.stack[-1][3]] if self.stack else None
+            chrome = tag in CHROME_TAGS or named.get("role", "").lower() in CHROME_ROLES or bool(up and up.chrome)
+            self.nodes.append(Node(at, at, up.pre if up else -1, up.depth + 1 if up else 0, tag, named.get("class", ""), named.get("data-testid", ""), named.get("role", ""), named.get("alt", ""), chrome, self.size, self.size, []))
         if tag == "a":
             self.anchor = (named.get("href", ""), [])
         if tag in VOID:
             return
         skip = tag in SKIPPED or bool(BOILERPLATE.search(named.get("class", ""))) or bool(BOILERPLATE.search(named.get("id", "")))
-        self.stack.append((tag, skip, at))
+        self.stack.append((tag, skip, tag in UNSEEN, at))
+        self.open[tag] += 1
         self.skipped += skip
+        self.unseen += tag in UNSEEN
         self.in_title = self.in_title or (tag == "title" and self.title is None)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -100,25 +141,53 @@ class Reader(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
+    def shut(self) -> str:
+        """Close the innermost open element."""
+        tag, skip, unseen, at = self.stack.pop()
+        self.open[tag] -= 1
+        self.skipped -= skip
+        self.unseen -= unseen
+        if self.tree:
+            self.nodes[at].last, self.nodes[at].end = len(self.nodes) - 1, self.size
+        return tag
+
     def handle_endtag(self, tag: str) -> None:
         if tag == "a" and self.anchor:
             self.links.append((self.anchor[0], "".join(self.anchor[1]).strip()))
             self.anchor = None
         if tag == "title":
             self.in_title = False
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                for _, skip, at in self.stack[i:]:
-                    self.skipped -= skip
-                    for _, _, up in self.stack[:i]:
-                        self.nodes[up]["text"].append(" ")
-                del self.stack[i:]
-                break
-        self.out.append("\n" if tag in BLOCK else " ")
-
-
-def read_page(html: str) -> Reader:
-    reader = Reader()
+        if self.open[tag]:
+            while self.shut() != tag:
+                pass
+        self.boundary(tag)
+
+    def close(self) -> None:
+        super().close()
+        self.end_line()
+        while self.stack:
+            self.shut()
+
+
+@dataclass(slots=True)
+class Node:
+    pre: int
+    last: int
+    parent: int
+    depth: int
+    tag: str
+    classes: str
+    testid: str
+    role: str
+    alt: str
+    chrome: bool
+    begin: int
+    end: int
+    lines: list[str]
+
+
+def read_page(html: str, tree: bool = False) -> Reader:
+    reader = Reader(tree)
     reader.feed(html)
     reader.close()
     return reader
@@ -172,25 +241,51 @@ def menu_links(read: DataFrame, key: str = "page_id", url: str = "url") -> DataF
     return links.withColumn("n", F.row_number().over(first)).where("n = 1").select(key, "pos", "href", "text", "confident")
 
 
-def html_nodes(pages: DataFrame, key: str = "page_id", html: str = "html", most_text: int = 2000) -> DataFrame:
-    """(key, pre, last, parent, depth, tag, class, testid, role, alt, text, length) of each element, in document order.
+#: How many ancestors a path names at most; browsers nest no deeper.
+MOST_DEPTH = 512
+
+
+def html_nodes(pages: DataFrame, key: str = "page_id", html: str = "html", most_text: int = 2000, path_tags: tuple[str, ...] = ("article",), path_words: tuple[str, ...] = ("item", "product", "dish", "card")) -> DataFrame:
+    """(key, pre, last, parent, depth, tag, class, testid, role, alt, chrome, text, length, lines, path) of each element, in document order.
 
-    `pre` is its number, `last` the largest number in its subtree, so that containment is a
-    range of numbers. `text` is flat and cut at one more than `most_text` characters, which
-    keeps a large page's rows small; `length` is whole.
+    `pre` is its number, `last` the largest number in its subtree. `chrome`: it is or stands in a page's
+    navigation, header, footer or aside. `text` is flat and cut at one more than `most_text` characters, which
+    keeps a large page's rows small; `length` is whole. `lines` are the lines of text that begin in it and in none
+    of its descendants. `path` are its ancestors, the nearest first, where its tag is one of `path_tags` or its class or test id
+    holds one of `path_words`; null elsewhere, so that paths stay few. A page costs time in proportion to its length.
     """
-    schema = "k long, pre int, last int, parent int, depth int, tag string, class string, testid string, role string, alt string, text string, length int"
+    kinds = {"k": "long", "pre": "int", "last": "int", "parent": "int", "depth": "int", "tag": "string", "class": "string", "testid": "string", "role": "string", "alt": "string", "chrome": "boolean", "text": "string", "length": "int", "lines": "array<string>", "path": "array<int>"}
+    arrow = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
+    schema = pa.schema([(n, arrow[t]) for n, t in kinds.items()])
+    wanted = re.compile("|".join(map(re.escape, path_words)), re.I)
+
+    def rows_of(k: int, html: str) -> Iterator[tuple]:
+        read = read_page(html, tree=True)
+        words = [(m.start(), m[0]) for m in re.finditer(r"\S+", "".join(read.flat))]
+        begins = [at for at, _ in words]
+        sizes = [0, *accumulate(len(w) + 1 for _, w in words)]
+        for n in read.nodes:
+            i, j = bisect_left(begins, n.begin), bisect_left(begins, n.end)
+            length = max(0, sizes[j] - sizes[i] - 1)
+            cut = min(j, bisect_left(sizes, sizes[i] + most_text + 2, i))
+            path = None
+            if n.tag in path_tags or wanted.search(n.classes) or wanted.search(n.testid):
+                path, up = [], n.parent
+                while up >= 0 and len(path) < MOST_DEPTH:
+                    path.append(up)
+                    up = read.nodes[up].parent
+            yield k, n.pre, n.last, n.parent, n.depth, n.tag, n.classes, n.testid, n.role, n.alt, n.chrome, " ".join(w for _, w in words[i:cut])[: most_text + 1], length, n.lines, path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                depth: dict[int, int] = {-1: -1}
-                for n in read_page(x or "").nodes:
-                    depth[n["pre"]] = depth[n["parent"]] + 1
-                    flat = " ".join(re.sub("[\u200b\u200c\u200d\ufeff]", "", "".join(n["text"])).split())
-                    rows.append((k, n["pre"], n["last"], n["parent"], depth[n["pre"]], n["tag"], n["class"], n["testid"], n["role"], n["alt"], flat[: most_text + 1], len(flat)))
+                for row in rows_of(k, x or ""):
+                    rows.append(row)
+                    if len(rows) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        rows = []
             if rows:
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]), schema=pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.split()[1]]) for c in schema.split(", ")]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return pages.select(F.col(key).cast("long"), F.col(html).cast("string")).mapInArrow(run, schema).withColumnRenamed("k", key)
+    return pages.select(F.col(key).cast("long"), F.col(html).cast("string")).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in kinds.items())).withColumnRenamed("k", key)

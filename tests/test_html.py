@@ -29,3 +29,70 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([meal], MEALS).write.parquet(str(tmp_path / "in"))
     write_scores(scored_stream(read_meals(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(60)
     assert {(r["goal"], r["score"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("cut", 83), ("maintain", 82), ("bulk", 75)}
+
+
+def cards_of(spark, *pages, **options):
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    rows = page_cards(html_nodes(df), **options).orderBy("page_id", "pos").collect()
+    return [(r["page_id"], r["pos"], r["name"], r["section"], r["description"]) for r in rows]
+
+
+def test_card_grows_to_the_widest_container_of_one_dish(spark):
+    card = '<div class="c-menu-card"><div class="c-card-bottom"><div class="c-card-title"><h3>{}</h3></div><p class="c-card-summary">greens and grains with beans</p></div><ul class="panel"><li>730 Calories</li></ul></div>'
+    page = "<body><main><div class='list'>" + card.format("Tokyo Greens, Tofu") + card.format("Tokyo Greens, Chicken") + "</div></main></body>"
+    df = spark.createDataFrame([(1, page)], "page_id long, html string")
+    rows = page_cards(html_nodes(df)).orderBy("pos").collect()
+    assert [r["name"] for r in rows] == ["Tokyo Greens, Tofu", "Tokyo Greens, Chicken"] and all("730 Calories" in r["text"] for r in rows)
+
+
+def test_card_stops(spark):
+    deep = lambda n: "<body>" + "<div>" * n + '<div class="item"><h3>Deep Bowl Of Rice</h3>and some more text</div>' + "</div>" * n + "</body>"
+    first, second = cards_of(spark, deep(3), "<body><div><div class='item'><h3>Deep Bowl Of Rice</h3>and some more text</div>" + "filler " * 400 + "</div></body>")
+    assert (first[2], second[2]) == ("Deep Bowl Of Rice", "Deep Bowl Of Rice")
+    df = spark.createDataFrame([(1, deep(12))], "page_id long, html string")
+    nodes = html_nodes(df)
+    assert page_cards(nodes).count() == 1 and nodes.where("path IS NOT NULL").count() == 1
+    # all names equal count as one; a container that holds another card is none; most_cards counts what is left
+    twice = "<body><div><div class='item'><h3>Same Bowl Here</h3>one text of it</div><div class='item'><h3>Same Bowl Here</h3>another text</div></div></body>"
+    assert len(cards_of(spark, twice)) == 1
+    many = "<body>" + "".join(f"<div class='item'><h3>Bowl Number {i}</h3>and its text</div>" for i in range(6)) + "</body>"
+    assert [c[1] for c in cards_of(spark, many, most_cards=4)] == [1, 2, 3, 4] and len(cards_of(spark, many, most_cards=None)) == 6
+
+
+def test_sections(spark):
+    item = "<div class='item'><h3>Bowl Number {}</h3>and its own text</div>"
+    page = f"""<body><h1>Our Menu</h1><section><div class="head"><h2>Warm Bowls</h2></div><div><div>{item.format(1)}</div><p>x</p>{item.format(2)}</div></section>
+    <section><h2>Title</h2><h2></h2>{item.format(3)}<div><h2></h2><h4>Late Title</h4></div>{item.format(4)}<h3>a heading of far too many words to be a section</h3>{item.format(5)}</section>{item.format(6)}</body>"""
+    assert [(c[2][-1], c[3]) for c in cards_of(spark, page)] == [("1", "Warm Bowls"), ("2", "Warm Bowls"), ("3", "Title"), ("4", "Title"), ("5", "Title"), ("6", "Our Menu")]
+
+
+def test_description_from_lines(spark):
+    page = "<body><div class='card'><h3>Bowl Of Things</h3>short, not long<br>rice, <b>beans</b>, corn and <i>more</i><button>Add, remove and keep this</button><p>$12</p></div></body>"
+    ((_, _, name, _, description),) = cards_of(spark, page)
+    assert (name, description) == ("Bowl Of Things", "rice, beans , corn and more")
+    page = "<body><div class='card'><h3>Bowl Of Things</h3><p class='detail'>Bowl Of Things</p><p class='summary'>only two</p><p class='caption'>three whole words</p></div></body>"
+    assert cards_of(spark, page)[0][4] == "three whole words"
+
+
+def test_nodes_of_broken_and_large_pages(spark):
+    import time
+
+    from menurank.sources.html import read_page
+
+    read = read_page("<div>a<p>b<p>c</div></b>d<img alt=x><span>e", tree=True)
+    assert [(n.tag, n.last, n.parent) for n in read.nodes] == [("div", 2, -1), ("p", 2, 0), ("p", 2, 1), ("img", 3, -1), ("span", 4, -1)]
+    took = []
+    for n in (4_000, 40_000):
+        began = time.time()
+        assert len(read_page("<div class=item>" * n + "x" + "</b></div>" * n, tree=True).nodes) == n
+        took.append(time.time() - began)
+    assert took[1] < 40 * took[0] + 1
+    wide = "<body>" + "".join(f"<section><h2>Part {i}</h2>" + "".join(f"<div class='item'><h3>Bowl {i} by {j}</h3>and its text</div>" for j in range(20)) + "</section>" for i in range(50)) + "</body>"
+    found = cards_of(spark, wide, None, "", most_cards=None)
+    assert len(found) == 1000 and found[999][1:4] == (1000, "Bowl 49 by 19", "Part 49")
+
+
+def test_card_joins_are_on_equal_keys(spark):
+    df = spark.createDataFrame([(1, "<p>x</p>")], "page_id long, html string")
+    plan = page_cards(html_nodes(df))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
