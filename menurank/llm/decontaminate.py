@@ -6,13 +6,13 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import text
-from .jobs import durable, text_bytes
+from .jobs import durable, fresh, text_bytes
 
 FILTER_BITS = 20
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -37,21 +37,21 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 class Block(NamedTuple):
     """A bounded part of the benchmark: word hashes per item, and its n-grams by length."""
 
-    items: np.ndarray
+    items: list
     words: list[np.ndarray]
     grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def block_of(rows: pd.DataFrame, n: int) -> Block:
-    """An item of fewer than n words has its whole sequence as its one n-gram; one without words has none."""
-    found = text.split(*text.raw(pa.array(rows["t"].tolist(), pa.string()))) if len(rows) else None
+def block_of(rows: list, n: int) -> Block:
+    """Of (id, text) rows: an item of fewer than n words has its whole sequence as its one n-gram; one without words has none."""
+    found = text.split(*text.raw(pa.array([t for _, t in rows], pa.string()))) if rows else None
     words = [found.hashes[found.first[i] : found.first[i + 1]] for i in range(len(rows))] if found else []
     by_length: dict[int, list] = {}
     for i, w in enumerate(words):
         if len(w):
             g = text.chain(w, min(n, len(w)))
             by_length.setdefault(min(n, len(w)), []).append((g, np.full(len(g), i), np.arange(len(g))))
-    return Block(rows["id"].to_numpy(), words, {k: tuple(np.concatenate([x[j] for x in v]) for j in range(3)) for k, v in by_length.items()})
+    return Block([i for i, _ in rows], words, {k: tuple(np.concatenate([x[j] for x in v]) for j in range(3)) for k, v in by_length.items()})
 
 
 def bitmap(grams: np.ndarray) -> np.ndarray:
@@ -90,20 +90,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     The benchmark is sent to the scan of `docs` in blocks of about `block_bytes` of text, as
     many scans as that takes; texts are never shuffled and each is read whole. Items
     without words match nothing, items of fewer words than n match as a whole. Null
-    and empty texts match nothing; a very long text is searched in one piece. Repeated items or rows match each for itself. An
+    and empty texts match nothing; a very long text is searched in one piece. Repeated items or rows match each for itself, and of the
+    matches of one pair of ids the best, then the first, is returned; null ids of texts and items stay null. Where both ids have one name, the
+    item's gets a _ at its end. An
     empty table on either side gives an empty result.
     """
     spark = docs.sparkSession
+    (item_col,), item_source = fresh([id_col, "score", "at"], item_col), item_col
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where("t IS NOT NULL")
     kind = rows.schema["id"].dataType.simpleString()
-    items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).cast("string").alias("t")).where("t IS NOT NULL")
-    item_kind = items.schema["id"].dataType.simpleString()
+    items = benchmark.select(F.col(item_source).alias("id"), F.col(item_text_col).cast("string").alias("t")).where("t IS NOT NULL")
+    item_type = items.schema["id"].dataType
+    item_kind, item_arrow = item_type.simpleString(), to_arrow_type(item_type)
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, score double, at long"
     blocks = max(1, -(-text_bytes(items, "t")[1] // block_bytes))
     out = None
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == b)
-        block = block_of(part.toPandas(), n)
+        block = block_of([(r["id"], r["t"]) for r in part.collect()], n)
         if not block.grams:
             continue
         sent = spark.sparkContext.broadcast((block, {k: (*v, np.unique(v[0]), bitmap(v[0])) for k, v in seeds(block).items()}))
@@ -145,7 +149,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                             score.append(got / (MATCH * len(own)))
                             place.append(int(lo[i] - words.first[found[i, 0]] + where))
                 if doc:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(held.items[item]).cast(pa.from_numpy_dtype(held.items.dtype) if held.items.dtype != object else pa.string()), pa.array(score), pa.array(place, pa.int64())], [id_col, item_col, "score", "at"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array([held.items[i] for i in item], item_arrow), pa.array(score), pa.array(place, pa.int64())], [id_col, item_col, "score", "at"])
 
         found = rows.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
@@ -156,6 +160,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kind) -> DataFrame:
-    """The rows of `docs` that hold no benchmark item; rows with a null id or text stay."""
-    found = durable(contaminated(docs, benchmark, id_col, text_col, **kind).select(id_col).distinct())
-    return docs.join(found, id_col, "left_anti").select(*docs.columns)
+    """The rows of `docs` whose own text holds no benchmark item; rows of equal ids are judged each by its text, null texts stay."""
+    (key,) = fresh(docs.columns, "row_key")
+    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
+    found = durable(contaminated(keyed, benchmark, key, text_col, **kind).select(key).distinct())
+    return keyed.join(found, key, "left_anti").select(*docs.columns)

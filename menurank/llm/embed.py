@@ -112,14 +112,14 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors that are null, empty, zero or hold null or non-finite components have no links and
     are components of their own; vectors of different length don't link. Rows with equal
-    ids count as one vector where the vectors are equal. A null id has component null and is
+    ids and vectors count as one: they don't link with each other, nor twice with others. A null id has component null and is
     kept. Ids are whole numbers (or texts of such). An empty table gives an empty result; other columns are ignored.
     """
     v = F.col(vector_col)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"))
     bad = F.col("v").isNull() | (F.size("v") == 0) | F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | F.forall("v", lambda x: x == 0)
     rows = durable(rows.withColumn("ok", F.col("id").isNotNull() & ~F.coalesce(bad, F.lit(True))).withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64("v", F.lit(1))))
-    same = rows.where("ok").groupBy("k1", "k2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
+    same = rows.where("ok").groupBy("k1", "k2").agg(F.min("id").alias("node"), F.count_distinct("id").alias("copies"), F.first("v").alias("v"))
     same = durable(same.withColumn("d", F.size("v")))
     sizes = {r["d"]: r["n"] for r in same.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()}
     bits, tables = tables_for(sum(sizes.values()), cosine, miss)

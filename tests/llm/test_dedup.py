@@ -177,3 +177,12 @@ def test_short_lines_by_sites(spark):
     got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in lines.drop_boilerplate_lines(df).collect()}
     assert got[0] == (rows[0][1], 0) and got[1] == ("\nfew sites", 2) and got[6] == ("own\n\nline 6", 1)
     assert all(r["lines_removed"] == 0 for r in lines.drop_boilerplate_lines(df, short_sites=None).collect())
+
+
+def test_repeated_vectors_do_not_link_to_themselves(spark):
+    from menurank.llm.embed import near_embeddings
+
+    rows = [(1, [1.0, 0.0, 2.0]), (1, [1.0, 0.0, 2.0]), (2, [2.0, 0.0, 4.1]), (3, [0.0, 1.0, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [1.0, 0.0, 2.0])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, component_id string, copies int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in near_embeddings(df).collect())
+    assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (3, 0, 3, True), (4, 2, 1, False)]

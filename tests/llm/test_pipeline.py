@@ -65,4 +65,42 @@ def test_run(spark, tables):
 
 
 def test_queries_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11)) and set(queries.SQL) <= set(queries.QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14)) and set(queries.SQL) <= set(queries.QUERIES)
+
+
+def plain_near(rows):
+    """Rows that stay: links of all pairs of different (id, text), the smallest id of each component."""
+    own = sorted({(i is None, i or 0, t) for i, t in rows if t and t.split()})
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for _, _, t in own]
+    root = list(range(len(own)))
+    for _ in own:
+        for x in range(len(own)):
+            for y in range(x):
+                if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                    root[x] = root[y] = min(root[x], root[y])
+    return sorted([(None if n else i, t) for k, (n, i, t) in enumerate(own) if root[k] == k] + [(i, t) for i, t in rows if not (t and t.split())], key=str)
+
+
+def test_near_dedup_by_row(spark, tables):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    t, other, third = (" ".join(word() for _ in range(60)) for _ in range(3))
+    near = t + " " + word()
+    rows = [(1, t), (2, t), (2, other), (3, near), (4, other), (4, other), (None, other), (None, third), (None, third), (5, None), (5, None), (None, ""), (6, "  "), (7, "word " * 20_000), (8, "word " * 20_001)]
+    docs = spark.createDataFrame([(i, x, "en", f"s{k % 3}", 1, "v", k % 2) for k, (i, x) in enumerate(rows)], COLUMNS + ", component_id string, n int")
+    near_dedup = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, tables)
+    assert near_dedup.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in near_dedup.collect()), key=str) == plain_near(rows)
+
+
+def test_stages_by_row(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    leak = docs.where("doc_id = 330").first()["text"]
+    clean = docs.where("doc_id = 1").first()["text"]
+    rows = [(900, leak), (900, clean), (None, leak), (None, clean), (901, None), (901, clean), (901, clean)]
+    some = spark.createDataFrame([(i, x, "en", "s1", 1, "v") for i, x in rows], COLUMNS + ", at string")
+    stages = dict(corpus_pipeline.STAGES)
+    got = sorted(((r["doc_id"], r["text"]) for r in stages["decontamination"](spark, some, tables).collect()), key=str)
+    assert got == sorted([(900, clean), (None, clean), (901, None), (901, clean), (901, clean)], key=str)
+    assert stages["toxicity"](spark, some, tables).count() == len(rows)
+    assert stages["mixing"](spark, some, tables).count() == len(rows)

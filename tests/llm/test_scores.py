@@ -127,7 +127,7 @@ def test_decontamination(spark):
     assert got == want | {(None, 0)}
     assert got == {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench, block_bytes=1000).collect()}
     kept = {r["doc_id"] for r in decontaminate.decontaminate(df, bench).collect()}
-    assert kept == {d for d, _ in docs} - {d for d, _ in want}
+    assert kept == {d for d, _ in docs} - {d for d, _ in want} - {None}  # a row without an id is judged by its text, too
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 == decontaminate.contaminated(df.limit(0), bench).count()
 
 
@@ -417,3 +417,14 @@ def test_quality_on_held_out(spark):
     assert len(rows) == len(docs) + 2 and sum(a == b for a, b in held) / len(held) > 0.95
     assert all(0 <= r["expected_grade"] <= 2 and 0 <= r["tail_probability"] <= 1 for r in rows)
     assert quality.grade(d.limit(0), gold, 3).count() == 0 and len({r["expected_grade"] for r in quality.grade(d, gold.limit(0), 3).collect()}) == 1
+
+
+def test_decontamination_of_null_and_equal_ids(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"x y {item} z"), (None, item), (2, "nothing of it")], "id long, text string")
+    items = spark.createDataFrame([(None, item), (7, "other words that are nowhere"), (8, item)], "id long, text string")
+    got = decontaminate.contaminated(docs, items, "id", "text", "id", "text")
+    assert got.columns == ["id", "id_", "score", "at"]
+    assert sorted(((r["id"], r["id_"]) for r in got.collect()), key=str) == [(1, 8), (1, None), (None, 8), (None, None)]
+    named = items.withColumn("id", F.concat(F.lit("q"), F.col("id")))
+    assert {r["item_id"] for r in decontaminate.contaminated(docs, named.withColumnRenamed("id", "item_id"), "id").collect()} == {"q8", None}
