@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,41 +55,75 @@ def said(name: Column, description: Column) -> Column:
     return F.concat(F.coalesce(name, F.lit("")), F.lit(" "), F.coalesce(description, F.lit("")))
 
 
+FOOD = ["normalized_name", "category", "slot", "nutrition_key", "label", "serving_amount", "serving_unit", "condiment", *MACROS]
+
+
+def sql_value(x: object) -> str:
+    if isinstance(x, str):
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(x).lower() if isinstance(x, bool) else f"{x!r}D" if isinstance(x, float) else str(x)
+
+
+@cache
+def default_foods() -> tuple[str, str, str]:
+    """The default names and foods as constants of Spark's SQL: the names, a map from name to rank, and the foods in the order of ranks."""
+    food = {r[0]: r[1:] for r in dims.nutrition_rows()}
+    rank, structs = {}, []
+    for alias, ord_, name, category, slot, key in dims.alias_rows():
+        label, amount, unit, *macros, condiment = food[key]
+        values = [name, category, slot, key, label, amount, unit, condiment, *macros]
+        structs.append("struct(" + ", ".join(f"{sql_value(v)} AS {c}" for c, v in zip(["alias_ord", "alias", *FOOD], [ord_, alias, *values], strict=True)) + ")")
+        if "-" not in alias:  # a hyphen is never in the text that is searched
+            rank.setdefault(alias, ord_)
+    return ", ".join(map(sql_value, rank)), "map(" + ", ".join(f"{sql_value(a)}, {o}" for a, o in rank.items()) + ")", "array(" + ", ".join(structs) + ")"
+
+
+def hits_in_row(items: DataFrame) -> DataFrame:
+    """Add h, the hits of the words in w by rank: runs of one to three words are looked up in constants, so no row is copied or shuffled."""
+    names, rank, foods = default_foods()
+    run = lambda n: f"transform(w, (x, i) -> struct(i AS at, {n} AS n, concat_ws(' ', x{''.join(f', get(w, i + {j})' for j in range(1, n))}) AS alias))"
+    found = f"filter(concat({run(1)}, {run(2)}, {run(3)}), g -> g.at + g.n <= size(w) AND g.alias IN ({names}))"
+    t = items.withColumn("h", F.expr(f"transform({found}, g -> struct(element_at({rank}, g.alias) AS ord, g.at AS at, g.n AS n))"))
+    return t.withColumn("h", F.expr(f"array_sort(transform(h, x -> struct(x.ord AS ord, x.at AS at, x.n AS n, element_at({foods}, x.ord + 1) AS food)))"))
+
+
+def hits_by_join(items: DataFrame, keys: list[str], aliases: DataFrame, nutrition: DataFrame) -> DataFrame:
+    """Add h as `hits_in_row` does, from tables of any size: runs of words are joined to them, with the keys alone, and meet again by key."""
+    food = aliases.where(~F.col("alias").contains("-")).join(nutrition.withColumnRenamed("key", "nutrition_key"), "nutrition_key").select("alias", F.struct("alias_ord", "alias", *FOOD).alias("food"))
+    own = [F.col(k).alias(f"__{k}") for k in keys]
+    t = items.select(*own, "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("at"))
+    t = t.select("*", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n")).where("at + n <= size(w)").withColumn("alias", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ")).drop("w")
+    t = t.join(food, "alias").groupBy(*[f"__{k}" for k in keys]).agg(F.array_sort(F.collect_set(F.struct(F.col("food.alias_ord").alias("ord"), "at", "n", "food"))).alias("h"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    out = items.join(t, same, "left").drop(*[f"__{k}" for k in keys])
+    return out.withColumn("h", F.coalesce("h", F.slice("h", 1, 0), F.array().cast(t.schema["h"].dataType)))
+
+
 def detect_ingredients(items: DataFrame, keys: list[str], aliases: DataFrame | None = None, nutrition: DataFrame | None = None, active: Column | None = None) -> DataFrame:
     """Add `matches`, the ingredients that the name and description mention, in order, and phrase counts.
 
-    Runs of one to three words are joined to the aliases; of
-    overlapping ones the longest stays, then the earlier alias; an ingredient counts
-    once. Each match carries its food's nutrition. `keys` identify an item; its rows meet
-    again in one aggregation, which each task has nearly done before the shuffle. Items
-    without a match, and those that aren't `active`, have an empty array.
+    Of runs of one to three words that are names of ingredients, the longest come first, then the earlier in
+    the table; one that overlaps a run that stays is dropped, one that overlaps only dropped ones stays; an ingredient counts
+    once. Each match carries its food's nutrition. The default tables are constants of the plan; a caller's
+    are joined by the `keys` that identify an item. Items without a match, and those that aren't `active`, have an empty array.
     """
     spark = items.sparkSession
-    # only the default tables are known to be small; a caller's are joined as Spark sees fit
-    send = F.broadcast if aliases is None and nutrition is None else lambda t: t
-    aliases = dims.aliases(spark) if aliases is None else aliases
-    nutrition = dims.nutrition(spark) if nutrition is None else nutrition
-    # the hyphen of an alias is never in the text that is searched
-    food = aliases.where(~F.col("alias").contains("-")).join(send(nutrition.withColumnRenamed("key", "nutrition_key")), "nutrition_key")
-    fields = ["normalized_name", "category", "slot", "nutrition_key", "label", "serving_amount", "serving_unit", "condiment", *MACROS]
-    food = food.select("alias", F.struct("alias_ord", "alias", *fields).alias("food"))
-
+    columns = items.columns
     words = F.split(match_text(said(F.col("dish_name"), F.col("description"))), " ")
-    t = items.select(F.struct(*items.columns).alias("item"), (words if active is None else F.when(active, words).otherwise(F.array(F.lit("")))).alias("w"))
-    t = t.select("item", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("at"))
-    t = t.select("item", "w", "at", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n")).where("at + n <= size(w)")
-    t = t.select("item", "at", "n", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("alias"))
-    t = t.join(send(food), "alias", "left").where("food IS NOT NULL OR (at = 0 AND n = 1)")
-    hit = F.when(F.col("food").isNotNull(), F.struct(F.col("food.alias_ord").alias("ord"), "at", "n", "food"))
-    t = t.groupBy(*[F.col(f"item.{k}").alias(f"__{k}") for k in keys]).agg(F.first("item").alias("item"), F.array_sort(F.collect_list(hit)).alias("h"))
+    t = items.withColumn("w", words if active is None else F.when(active, words).otherwise(F.array(F.lit(""))))
+    if aliases is None and nutrition is None:
+        t = hits_in_row(t)
+    else:
+        t = hits_by_join(t, keys, dims.aliases(spark) if aliases is None else aliases, dims.nutrition(spark) if nutrition is None else nutrition)
     none = F.slice(F.col("h"), 1, 0)
     free = F.aggregate("h", none, lambda acc, x: F.when(F.exists(acc, lambda y: (y["at"] < x["at"] + x["n"]) & (x["at"] < y["at"] + y["n"])), acc).otherwise(F.concat(acc, F.array(x))))
-    t = t.select("item", free.alias("h"))
+    t = t.withColumn("h", F.when(F.size("h") > 1, free).otherwise(F.col("h")))
     once = F.aggregate("h", none, lambda acc, x: F.when(F.exists(acc, lambda y: y["food"]["normalized_name"] == x["food"]["normalized_name"]), acc).otherwise(F.concat(acc, F.array(x))))
+    t = t.withColumn("h", F.when(F.size("h") > 1, once).otherwise(F.col("h")))
     shape = lambda x: F.struct(
-        x["at"].alias("at"), x["food"]["alias"].alias("raw_text"), F.when(F.instr(x["food"]["alias"], " ") > 0, 0.9).otherwise(0.75).alias("confidence"), *[x["food"][f].alias(f) for f in fields]
+        x["at"].alias("at"), x["food"]["alias"].alias("raw_text"), F.when(F.instr(x["food"]["alias"], " ") > 0, 0.9).otherwise(0.75).alias("confidence"), *[x["food"][f].alias(f) for f in FOOD]
     )
-    out = t.select("item.*", F.array_sort(F.transform(once, shape)).alias("matches"))
+    out = t.select(*columns, F.array_sort(F.transform("h", shape)).alias("matches"))
     phrases = F.filter(F.transform(F.split(F.coalesce("description", F.lit("")), PHRASES), match_text), lambda p: F.length(p) >= 3)
     out = out.withColumn("__p", phrases)
     known = F.filter("__p", lambda p: F.exists("matches", lambda m: F.instr(p, m["raw_text"]) > 0))

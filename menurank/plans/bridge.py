@@ -26,7 +26,7 @@ from .pipeline import decide, extract, recommend
 # What the renderings are made of.
 SECTIONS = ["Bowls", "Salads", "Burgers", "Tacos", "Plates", "Pastas", "Soups", "Drinks", "Desserts", "Sides", "Kids", "Catering", "Small Plates", "Elevate Your Plate", "Dinner", "House Favorites", "Starters", "Add-ons", "Wine", ""]
 DISHES = ["Grilled Chicken Bowl", "Salmon Plate", "Steak Tacos", "Caesar Salad", "Veggie Wrap", "Classic Cheeseburger", "Pasta Alfredo", "House Lemonade", "Lobster Tail", "Chef's Special", "Half Turkey Club", "Double Chicken Burrito", "Crispy Fish Sandwich", "Bunless Burger", "12 oz Ribeye Steak", "Market Salmon"]
-SAID = ["grilled chicken, brown rice, black beans, avocado and pico de gallo", "romaine, parmesan, croutons with caesar dressing", "beef patty, cheddar, bacon, lettuce, tomato", "", "tofu, quinoa, broccoli over kale", "fettuccine, shrimp, garlic butter, parmesan", "pulled pork, slaw, bbq sauce on a brioche bun", "corn tortilla, carne asada, salsa verde, onion"]
+SAID = ["grilled chicken, brown rice, black beans, avocado and pico de gallo", "romaine, parmesan, croutons with caesar dressing", "beef patty, cheddar, bacon, lettuce, tomato", "", "tofu, quinoa, broccoli over kale", "fettuccine, shrimp, garlic butter, parmesan", "pulled pork, slaw, bbq sauce on a brioche bun", "corn tortilla, carne asada, salsa verde, onion", "truffle butter lettuce, rice"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
