@@ -26,6 +26,11 @@ class Extraction(NamedTuple):
     excluded: DataFrame
     report: DataFrame
     links: DataFrame
+    judged: DataFrame
+
+    def release(self) -> None:
+        """Let go of the judged dishes that the four tables share, once these have been used or written."""
+        self.judged.unpersist()
 
 
 KEYS = ["page_id", "item_pos"]
@@ -64,7 +69,7 @@ def with_macros(dishes: DataFrame, text: Column, least: float = MIN_CONFIDENCE)
 def extract(pages: DataFrame, least: float = MIN_CONFIDENCE) -> Extraction:
     """Kept dishes, excluded dishes with reasons, a report per page, and PDF links of pages without dishes.
 
-    All four come from one table of judged dishes, which is persisted: Spark spills it and
+    All four come from one table of judged dishes, which is persisted until `release()`: Spark spills it and
     computes lost parts again.
     """
     p = resolve_source(pages)
@@ -90,7 +95,7 @@ def extract(pages: DataFrame, least: float = MIN_CONFIDENCE) -> Extraction:
     empty = F.when((F.col("items") == 0) & (F.col("excluded") > 0), some).when(F.col("items") == 0, "No menu items were found on this page.")
     report = report.select("page_id", "url", "source_type", "restaurant_name", "items", "excluded", "suppressed", warnings.alias("warnings"), empty.alias("empty_reason"))
     work = linked_pdfs(menu_links(from_html), items)
-    return Extraction(items, excluded, report, work)
+    return Extraction(items, excluded, report, work, judged)
 
 
 def linked_pdfs(links: DataFrame, items: DataFrame) -> DataFrame:

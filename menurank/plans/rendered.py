@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators.cards import page_cards
 from ..sources.html import html_nodes
-from .bridge import MENU_PARTS, SAID, chosen, sql_list, table
+from .bridge import JUDGED_CTE, MENU_CTE, MENU_PARTS, SAID, chosen, sql_list, table
+from .pipeline import extract
 
 #: Headings of the rendered pages: a page has two, the first in a wrapper of its own.
 CARD_SECTIONS = ["Bowls", "Salads", "Drinks", "Catering Trays"]
@@ -17,14 +18,24 @@ def element(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Macros that a rendered card states, from its part's key.
+STATED = {"protein": "10 + p_partkey % 40", "carbs": "p_partkey % 60", "fat": "p_partkey % 30", "calories": "4 * (10 + p_partkey % 40) + 4 * (p_partkey % 60) + 9 * (p_partkey % 30)"}
+
+
+def card_pages(spark: SparkSession, sf_dir: str, macros: bool = False) -> DataFrame:
     """(page_id, p_brand, menu, html): a page per brand and thousand part keys, a card per part in one of three forms.
 
+    With `macros` every fourth card states all four macros, and the one after it calories and protein alone.
+
     A list item with an article in it, a picture with the name as its alternative text, an element named by its test id. Between
     them stand what are no cards: one in the navigation, one of over 2000 characters, one of under 20.
     """
     k = F.col("p_partkey")
-    d = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.floor(k / MENU_PARTS).cast("long").alias("menu"), (k % MENU_PARTS >= MENU_PARTS // 2).alias("second"), F.nullif(chosen(SAID, k), F.lit("")).alias("say"), F.concat(F.initcap("p_name"), F.lit(" Number "), F.col("p_size").cast("string")).alias("name"), F.format_string("$%d.95", (F.col("p_size") % 40 + 5).cast("int")).alias("price"))
+    d = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.floor(k / MENU_PARTS).cast("long").alias("menu"), (k % MENU_PARTS >= MENU_PARTS // 2).alias("second"), F.nullif(chosen(SAID, k), F.lit("")).alias("say"), F.concat(F.initcap("p_name"), F.lit(" Style N"), F.col("p_size").cast("string")).alias("name"), F.format_string("$%d.95", (F.col("p_size") % 40 + 5).cast("int")).alias("price"))
+    if macros:
+        all_four = F.format_string("</b><ul><li>%d Calories</li><li>%dg Protein</li><li>%dg Carbs</li><li>%dg Fat</li></ul><b>", *[F.expr(STATED[m]).cast("int") for m in ("calories", "protein", "carbs", "fat")])
+        some = F.format_string("</b><ul><li>%d Calories</li><li>%dg Protein</li></ul><b>", *[F.expr(STATED[m]).cast("int") for m in ("calories", "protein")])
+        d = d.withColumn("price", F.concat(F.lit("<b>"), F.col("price"), F.when(k % 4 == 0, all_four).when(k % 4 == 1, some).otherwise(""), F.lit("</b>")))
     said = lambda tag, classes="": F.coalesce(element(f"<{tag}{classes}>", F.col("say"), f"</{tag}>"), F.lit(""))
     html = (
         F.when(k % 3 == 0, element('<li class="menu-item"><article class="menu-item__container"><h3 class="menu-item__title">', F.col("name"), "</h3>", said("p", ' class="menu-item__description"'), "<span>", F.col("price"), "</span></article></li>"))
@@ -48,9 +59,20 @@ def rendered_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.select("p_brand", "menu", "pos", "name", "description", "section", "text")
 
 
+def card_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dish of rendered cards, from pages over cards and blocks: macros that the card states in whole, in part, or not at all."""
+    pages = card_pages(spark, sf_dir, macros=True)
+    cards = page_cards(html_nodes(pages)).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "description", "section", "text"))).alias("b"))
+    blocks = F.transform("b", lambda x: F.struct(*[x[c].alias(c) for c in ("name", "description", "section", "text")]))
+    found = extract(cards.select("page_id", blocks.alias("blocks")))
+    kept = found.items.select("page_id", "source_type", "item_pos", "dish_name", "dish_type", "macro_source", "calories", "protein_g", "carbs_g", "fat_g", "macro_confidence", F.lit(None).cast("string").alias("exclusion_reason"))
+    out = found.excluded.select("page_id", "source_type", "item_pos", "dish_name", "dish_type", "exclusion_reason")
+    return kept.unionByName(out, allowMissingColumns=True).join(pages.select("page_id", "p_brand", "menu"), "page_id").drop("page_id")
+
+
 CARD_CTE = f"""k AS (
   SELECT p_partkey, p_brand, p_partkey // {MENU_PARTS} AS menu, CASE WHEN p_partkey % {MENU_PARTS} >= {MENU_PARTS // 2} THEN 1 ELSE 0 END AS half, p_partkey % 3 AS form,
-    array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || ' Number ' || p_size AS name,
+    array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || ' Style N' || p_size AS name,
     nullif({sql_list(SAID)}[(p_partkey % {len(SAID)} + 1)::INTEGER], '') AS say, '$' || (p_size % 40 + 5) || '.95' AS price FROM part
 ), a AS (SELECT DISTINCT p_brand, menu FROM k), h AS (SELECT 0 AS half UNION ALL SELECT 1),
 c AS (
@@ -63,6 +85,20 @@ c AS (
     {sql_list(CARD_SECTIONS)}[((substr(p_brand, 7)::INTEGER + menu + half) % {len(CARD_SECTIONS)} + 1)::INTEGER] AS section, text FROM c
 )"""
 
-QUERIES = {f.__name__: f for f in (rendered_cards,)}
+# The same cards as dishes: the first of equal ones, with what they state.
+CARD_DISHES = CARD_CTE.replace("WHERE form <> 1 OR say IS NOT NULL", "WHERE form <> 1 OR say IS NOT NULL OR p_partkey % 4 < 2").replace("k AS (", "ck AS (").replace("FROM k ", "FROM ck ").replace("FROM k)", "FROM ck)").replace(" AS section, text FROM c", " AS section, p_partkey AS part FROM c") + """,
+u AS (SELECT *, row_number() OVER (PARTITION BY p_brand, menu, lower(name), lower(coalesce(description, '')) ORDER BY pos) AS n FROM s WHERE pos <= 400),
+m AS (SELECT row_number() OVER (ORDER BY p_brand, menu, pos) AS p_partkey, part, p_brand, menu, pos - 1 AS item_pos, section, name AS dish_name, description FROM u WHERE n = 1)"""
+STATED_SQL = {m: e.replace("p_partkey", "part") for m, e in STATED.items()}
+
+QUERIES = {f.__name__: f for f in (rendered_cards, card_extraction)}
 
-SQL = {"rendered_cards": f"WITH {CARD_CTE} SELECT p_brand, menu, pos::INTEGER AS pos, name, description, section, text FROM s WHERE pos <= 400"}
+SQL = {
+    "rendered_cards": f"WITH {CARD_CTE} SELECT p_brand, menu, pos::INTEGER AS pos, name, description, section, text FROM s WHERE pos <= 400",
+    "card_extraction": f"""WITH {JUDGED_CTE.replace(MENU_CTE, CARD_DISHES)},
+o AS (SELECT j.* REPLACE (CASE WHEN part >= 0 AND part % 4 = 0 AND j.unsure AND j.exclusion_reason LIKE 'Not enough information%' THEN NULL ELSE j.exclusion_reason END AS exclusion_reason), m.part, CASE WHEN part >= 0 THEN part % 4 ELSE 9 END AS q FROM judged j JOIN m USING (p_brand, menu, item_pos))
+SELECT p_brand, menu, 'dom' AS source_type, item_pos::INTEGER AS item_pos, dish_name, dish_type, exclusion_reason, CASE WHEN exclusion_reason IS NULL THEN CASE WHEN q = 0 THEN 'published' ELSE 'estimated' END END AS macro_source,
+  CASE WHEN exclusion_reason IS NULL THEN CASE WHEN q < 2 THEN ({STATED_SQL["calories"]})::DOUBLE ELSE calories END END AS calories, CASE WHEN exclusion_reason IS NULL THEN CASE WHEN q < 2 THEN ({STATED_SQL["protein"]})::DOUBLE ELSE protein_g END END AS protein_g,
+  CASE WHEN exclusion_reason IS NULL THEN CASE WHEN q = 0 THEN ({STATED_SQL["carbs"]})::DOUBLE ELSE carbs_g END END AS carbs_g, CASE WHEN exclusion_reason IS NULL THEN CASE WHEN q = 0 THEN ({STATED_SQL["fat"]})::DOUBLE ELSE fat_g END END AS fat_g,
+  CASE WHEN exclusion_reason IS NULL THEN CASE WHEN q = 0 THEN 0.95::DOUBLE ELSE macro_confidence END END AS macro_confidence FROM o""",
+}

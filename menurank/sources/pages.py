@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,7 +72,27 @@ def resolve_source(pages: DataFrame) -> DataFrame:
     return p.withColumns({"source_type": kind, "source_warning": warning})
 
 
-def write_results(items: DataFrame, excluded: DataFrame, report: DataFrame, folder: str) -> None:
-    """Items, excluded dishes and page reports as Parquet tables of one folder."""
-    for name, table in (("items", items), ("excluded", excluded), ("page_report", report)):
-        table.write.mode("overwrite").parquet(f"{folder}/{name}")
+RESULTS = ("items", "excluded", "page_report")
+
+
+def write_results(items: DataFrame, excluded: DataFrame, report: DataFrame, folder: str, batch: str) -> None:
+    """Items, excluded dishes and page reports of a batch of pages, in Parquet tables partitioned by batch.
+
+    A table's partition of the batch is replaced as a whole, and only when all tables have theirs does the manifest name the batch. So a job
+    that is lost between tables, or run again, leaves every page of the batch in the results once: `read_results` takes
+    the batches that the manifest names.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", batch):
+        raise ValueError(f"not a batch's name: {batch}")
+    spark = items.sparkSession
+    for name, table in zip(RESULTS, (items, excluded, report), strict=True):
+        # a partition of its own path, so that an empty table replaces what an earlier run has left
+        table.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+    spark.createDataFrame([(list(RESULTS),)], "tables array<string>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/batch={batch}")
+
+
+def read_results(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of `write_results`, of the batches that were written whole; a batch is a name of letters, digits, - and _."""
+    done = spark.read.parquet(f"{folder}/manifest").select(F.col("batch").cast("string").alias("batch")).distinct()
+    table = spark.read.parquet(f"{folder}/{name}")
+    return table.withColumn("batch", F.col("batch").cast("string")).join(done, "batch", "left_semi").drop("batch")
