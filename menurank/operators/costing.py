@@ -58,24 +58,25 @@ def said(name: Column, description: Column) -> Column:
 FOOD = ["normalized_name", "category", "slot", "nutrition_key", "label", "serving_amount", "serving_unit", "condiment", *MACROS]
 
 
-def sql_value(x: object) -> str:
-    if isinstance(x, str):
-        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return str(x).lower() if isinstance(x, bool) else f"{x!r}D" if isinstance(x, float) else str(x)
+def quoted(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
 @cache
 def default_foods() -> tuple[str, str, str]:
-    """The default names and foods as constants of Spark's SQL: the names, a map from name to rank, and the foods in the order of ranks."""
+    """The default names and foods in Spark's SQL: the names, a map from name to rank, and the foods as lines in the order of ranks.
+
+    Map and lines are functions of one text each, which Spark turns into constants, so that plans stay small.
+    """
     food = {r[0]: r[1:] for r in dims.nutrition_rows()}
-    rank, structs = {}, []
+    rank, lines = {}, []
     for alias, ord_, name, category, slot, key in dims.alias_rows():
         label, amount, unit, *macros, condiment = food[key]
-        values = [name, category, slot, key, label, amount, unit, condiment, *macros]
-        structs.append("struct(" + ", ".join(f"{sql_value(v)} AS {c}" for c, v in zip(["alias_ord", "alias", *FOOD], [ord_, alias, *values], strict=True)) + ")")
+        lines.append("|".join(map(str, [alias, name, category, slot, key, label, amount, unit, str(condiment).lower(), *macros])))
         if "-" not in alias:  # a hyphen is never in the text that is searched
             rank.setdefault(alias, ord_)
-    return ", ".join(map(sql_value, rank)), "map(" + ", ".join(f"{sql_value(a)}, {o}" for a, o in rank.items()) + ")", "array(" + ", ".join(structs) + ")"
+    ranks = ";".join(f"{a}:{o}" for a, o in rank.items())
+    return ", ".join(map(quoted, rank)), f"str_to_map({quoted(ranks)}, ';', ':')", f"split({quoted(chr(10).join(lines))}, '\\n')"
 
 
 def hits_in_row(items: DataFrame) -> DataFrame:
@@ -83,8 +84,11 @@ def hits_in_row(items: DataFrame) -> DataFrame:
     names, rank, foods = default_foods()
     run = lambda n: f"transform(w, (x, i) -> struct(i AS at, {n} AS n, concat_ws(' ', x{''.join(f', get(w, i + {j})' for j in range(1, n))}) AS alias))"
     found = f"filter(concat({run(1)}, {run(2)}, {run(3)}), g -> g.at + g.n <= size(w) AND g.alias IN ({names}))"
-    t = items.withColumn("h", F.expr(f"transform({found}, g -> struct(element_at({rank}, g.alias) AS ord, g.at AS at, g.n AS n))"))
-    return t.withColumn("h", F.expr(f"array_sort(transform(h, x -> struct(x.ord AS ord, x.at AS at, x.n AS n, element_at({foods}, x.ord + 1) AS food)))"))
+    kinds = {"serving_amount": "double", "condiment": "boolean"} | dict.fromkeys(MACROS, "double")
+    fields = ", ".join(f"cast(x.line[{i + 1}] AS {kinds.get(c, 'string')}) AS {c}" for i, c in enumerate(FOOD))
+    t = items.withColumn("h", F.expr(f"transform({found}, g -> struct(cast({rank}[g.alias] AS int) AS ord, g.at AS at, g.n AS n))"))
+    t = t.withColumn("h", F.expr(f"transform(array_sort(h), x -> struct(x.ord AS ord, x.at AS at, x.n AS n, split({foods}[x.ord], '[|]') AS line))"))
+    return t.withColumn("h", F.expr(f"transform(h, x -> struct(x.ord AS ord, x.at AS at, x.n AS n, struct(x.ord AS alias_ord, x.line[0] AS alias, {fields}) AS food))"))
 
 
 def hits_by_join(items: DataFrame, keys: list[str], aliases: DataFrame, nutrition: DataFrame) -> DataFrame:
