@@ -55,8 +55,8 @@ src AS (
 ), prep AS (SELECT * REPLACE (CASE WHEN ounces <> '' THEN ounces::DOUBLE END AS ounces) FROM sig),
 gram AS (SELECT item, pos - 1 AS pos, n, array_to_string(ws[pos:pos + n - 1], ' ') AS alias FROM (SELECT item, ws, unnest(range(1, len(ws) + 1)) AS pos FROM prep), (VALUES (1), (2), (3)) s(n) WHERE pos + n - 1 <= len(ws)),
 hit AS (SELECT * FROM gram JOIN alias USING (alias)),
-ranked AS (SELECT item, list({{'ord': ord, 'pos': pos, 'n': n}} ORDER BY ord, pos) AS hits FROM hit GROUP BY item),
-greedy AS (SELECT item, unnest(list_reduce(hits, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.pos < x[1].pos + x[1].n AND x[1].pos < y.pos + y.n)) > 0 THEN acc ELSE list_concat(acc, x) END, [])) AS x FROM (SELECT item, list_transform(hits, lambda h: [h]) AS hits FROM ranked)),
+in_order AS (SELECT item, list({{'ord': ord, 'pos': pos, 'n': n}} ORDER BY ord, pos) AS hits FROM hit GROUP BY item),
+greedy AS (SELECT item, unnest(list_reduce(hits, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.pos < x[1].pos + x[1].n AND x[1].pos < y.pos + y.n)) > 0 THEN acc ELSE list_concat(acc, x) END, [])) AS x FROM (SELECT item, list_transform(hits, lambda h: [h]) AS hits FROM in_order)),
 free AS (SELECT h.* FROM hit h JOIN greedy g ON g.item = h.item AND g.x.ord = h.ord AND g.x.pos = h.pos AND g.x.n = h.n),
 once AS (SELECT * FROM free JOIN food USING (food_key) QUALIFY row_number() OVER (PARTITION BY item, ingredient ORDER BY ord, pos) = 1),
 slots AS (
