@@ -54,7 +54,7 @@ def test_items(spark):
 def test_price_below_annotation_and_four_lines(spark):
     text = "Garden Plate\n17\none, two\nthree, four\nfive, six\nseven, eight\nnine, ten\n\nSteak Frites\nred wine, fries\n- 28.50\nmore, of it\n"
     rows = menu_items(menu_lines(texts(spark, text))).orderBy("item_pos").collect()
-    assert [(r["dish_name"], r["price"], r["description"]) for r in rows] == [("Garden Plate", 17.0, "one, two three, four five, six seven, eight"), ("Steak Frites", None, "red wine, fries")] or rows[1]["price"] == 28.5
+    assert [(r["dish_name"], r["price"], r["description"]) for r in rows] == [("Garden Plate", 17.0, "one, two three, four five, six seven, eight"), ("Steak Frites", None, "red wine, fries")]  # a line of a price alone, not right under the name, ends the description
 
 
 @pytest.mark.parametrize(
