@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import menu_text as M
@@ -36,7 +35,8 @@ def block_items(blocks: DataFrame, key: str = "page_id") -> DataFrame:
     b = b.withColumn("dish_name", F.trim(F.regexp_replace(F.trim("__name.text"), r"[*†‡+^]+$", "")))
     b = b.where(usable_name(F.col("dish_name"))).withColumn("description", F.when(~F.col("description").rlike(ALLERGENS), F.nullif(F.col("description"), F.lit(""))))
     b = b.withColumn("price", F.coalesce("__name.price", F.regexp_extract("text", PRICE_IN_TEXT, 1).try_cast("double")))
-    same = W.partitionBy(key, F.lower(F.concat_ws("|", "dish_name", F.coalesce("description", F.lit(""))))).orderBy("pos")
-    b = b.withColumn("__n", F.row_number().over(same)).where("__n = 1")
+    # partial aggregation: of equal blocks, a task sends the first alone
+    same = F.lower(F.concat_ws("|", "dish_name", F.coalesce("description", F.lit("")))).alias("__same")
+    b = b.groupBy(key, same).agg(F.min(F.struct("pos", "section", "dish_name", "description", "price", "text")).alias("b")).select(key, "b.*")
     b = b.withColumn("parse_confidence", parse_confidence(F.col("dish_name"), F.col("description"), F.col("price"), F.col("section")))
     return b.select(key, F.col("pos").alias("item_pos"), "section", "dish_name", "description", "price", "text", "parse_confidence")

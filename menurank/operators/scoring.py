@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.rules import clamp01, half_up
+from .scan import running
 
 # Fixed values of the score.
 WEIGHTS = {"protein_efficiency": 0.5, "goal_fit": 0.25, "total_protein": 0.125, "balance": 0.125}
@@ -162,15 +163,24 @@ def score_meals(meals: DataFrame, weights: dict[str, float] | None = None) -> Da
     return m.select(*inputs, "score", parts, "penalties", "caps", "badges", "explanation")
 
 
-def rank_meals(scored: DataFrame, groups: list[str], keys: list[str]) -> DataFrame:
+def rank_meals(scored: DataFrame, groups: list[str], keys: list[str], by_range: bool = False) -> DataFrame:
     """Rank entrees, then sides, within `groups` and goal: score, then protein, then fewer calories, then `keys`.
 
     Other categories are left out. The first entree gets the badge of the best match, sides
-    theirs; at most three badges stay.
+    theirs; at most three badges stay. With `by_range`, for groups too large for a task, a group is ranked in
+    ranges (sides, score, whole grams of protein), and a range's ranks go on where those before it end;
+    the result is the same, if `keys` leave no ties.
     """
     s = scored.where(F.col("category").isin("entree", "side")).withColumn("__side", F.col("category") == "side")
-    w = W.partitionBy(*groups, "goal").orderBy("__side", F.desc("score"), F.desc("protein_g"), F.asc("calories"), *keys)
-    s = s.withColumn("rank", F.row_number().over(w))
+    group, order = [*groups, "goal"], ["__side", F.desc("score"), F.desc("protein_g"), F.asc("calories"), *keys]
+    if by_range:
+        protein = F.col("protein_g").cast("double")
+        grams = F.when(F.isnan(protein), F.lit(float("-inf"))).otherwise(-F.floor(protein).cast("double"))
+        # descending columns have nulls last, so they count as the end
+        ranges = [F.col("__side"), *(F.coalesce(c, F.lit(float("inf"))) for c in (-F.col("score").cast("double"), grams))]
+        s = running(s, group, order, ranges, sums={"rank": F.lit(1)}).withColumn("rank", F.col("rank").cast("int"))
+    else:
+        s = s.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order)))
     label = F.when(F.col("__side"), BADGES["side"]).when(F.col("rank") == 1, BADGES["best"])
     more = F.when(label.isNull(), F.col("badges")).otherwise(F.slice(F.concat(F.array(label), F.col("badges")), 1, MOST_BADGES))
     return s.withColumn("badges", more).drop("__side")

@@ -21,7 +21,7 @@ from ..operators.scoring import displayed, each_goal, rank_meals, score_meals, t
 from ..sources.html import html_nodes, html_text, menu_links, restaurant_name
 from ..sources.pages import resolve_source, source_kind
 from .costing_sql import costed
-from .pipeline import decide, extract, recommend
+from .pipeline import decide, extract, linked_pdfs, recommend
 
 # What the renderings are made of.
 SECTIONS = ["Bowls", "Salads", "Burgers", "Tacos", "Plates", "Pastas", "Soups", "Drinks", "Desserts", "Sides", "Kids", "Catering", "Small Plates", "Elevate Your Plate", "Dinner", "House Favorites", "Starters", "Add-ons", "Wine", ""]
@@ -107,6 +107,12 @@ def meal_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("page_id", *LINE_KEYS, "goal", "category", "score", "rank", F.array_join("badges", ",").alias("badges"))
 
 
+def meal_ranks_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranks of `meal_ranks`, in ranges of a page's meals."""
+    ranked = rank_meals(score_meals(each_goal(listings(spark, sf_dir))), ["page_id"], LINE_KEYS, by_range=True)
+    return ranked.select("page_id", *LINE_KEYS, "goal", "category", "score", "rank", F.array_join("badges", ",").alias("badges"))
+
+
 def meal_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = top_meals(score_meals(each_goal(listings(spark, sf_dir))), ["page_id"], LINE_KEYS, 5)
     return top.select("page_id", *LINE_KEYS, "goal", "category", "score", "rank")
@@ -224,6 +230,13 @@ def menu_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("p_brand", "menu", "item_pos", "section", "dish_name", "description", "price")
 
 
+def menu_segments_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dishes of `menu_segments`, with menus taken in blocks of 64 lines, as very long pages are."""
+    m = menus(spark, sf_dir)
+    items = menu_items(menu_lines(m, block_lines=64), block_lines=64).join(m.select("page_id", "p_brand", "menu"), "page_id")
+    return items.select("p_brand", "menu", "item_pos", "section", "dish_name", "description", "price")
+
+
 def menu_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = menus(spark, sf_dir)
     lines = menu_lines(m).join(m.select("page_id", "p_brand", "menu"), "page_id")
@@ -261,6 +274,17 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return menu_links(html_text(pages.withColumn("html", F.regexp_replace("html", "</article>", more))))
 
 
+def page_work_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links to fetch, in two crawls of the same pages, of which every fourth has dishes by the second: no link is given out twice."""
+    pages = table(spark, sf_dir, "pages")
+    link = lambda name: F.concat(F.lit(f'<a href="../{name}/./menu.pdf?id='), F.col("page_id").cast("string"), F.lit(f'">{name}</a>'))
+    more = F.concat(F.lit("<p>"), link("food"), link("wine"), F.when(F.col("page_id") % 3 == 0, "").otherwise(link("food")), F.lit("</p></article>"))
+    links = menu_links(html_text(pages.withColumn("html", F.regexp_replace("html", "</article>", more))))
+    first = linked_pdfs(links, pages.where("false"))
+    second = linked_pdfs(links, pages.where("page_id % 4 = 0"), first)
+    return first.withColumn("crawl", F.lit(1)).unionByName(second.withColumn("crawl", F.lit(2)))
+
+
 def page_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").withColumn("html", F.when(F.col("page_id") % 5 != 0, F.col("html")))
     pages = pages.withColumns({"text": F.when(F.col("page_id") % 7 == 0, "Soup 4.50"), "content": F.when(F.col("page_id") % 3 == 0, F.lit(b"%PDF-1.7"))})
@@ -362,7 +386,7 @@ SELECT page_id, pos AS item_pos, section, dish_name, nullif(say, '') AS descript
   floor((0.3::DOUBLE + 0.16::DOUBLE * 1.0 + CASE WHEN say <> '' THEN 0.15::DOUBLE ELSE 0 END + 0.15::DOUBLE + 0.1::DOUBLE) * 100 + 0.5) / 100 AS parse_confidence
 FROM f WHERE n = 1"""
 
-QUERIES = {f.__name__: f for f in (meal_scores, meal_weights, meal_badges, meal_ranks, meal_top5, dish_types, dish_inclusion, dish_confidence, dish_costs, published_macros, menu_segments, menu_line_counts, event_blocks, text_quality, text_lines, page_text, page_links, page_sources, page_card_blocks, menu_extraction, menu_report, menu_recommendations)}
+QUERIES = {f.__name__: f for f in (meal_scores, meal_weights, meal_badges, meal_ranks, meal_ranks_by_range, meal_top5, dish_types, dish_inclusion, dish_confidence, dish_costs, published_macros, menu_segments, menu_segments_in_blocks, menu_line_counts, event_blocks, text_quality, text_lines, page_text, page_links, page_work_lists, page_sources, page_card_blocks, menu_extraction, menu_report, menu_recommendations)}
 
 SQL = {
     "meal_scores": f"""WITH {LISTINGS} SELECT {KEY_SQL}, goal, score, floor(efficiency * 1e6::DOUBLE + 0.5001::DOUBLE) / 1e6::DOUBLE AS protein_efficiency, floor(goal_fit * 1e6::DOUBLE + 0.5001::DOUBLE) / 1e6::DOUBLE AS goal_fit, floor(total_p * 1e6::DOUBLE + 0.5001::DOUBLE) / 1e6::DOUBLE AS total_protein, floor(balance * 1e6::DOUBLE + 0.5001::DOUBLE) / 1e6::DOUBLE AS balance,
@@ -415,3 +439,12 @@ SELECT doc_id, CASE WHEN text IS NULL OR n < 200 THEN 'only ' || coalesce(n, 0)
     "page_sources": """SELECT page_id, CASE WHEN page_id % 7 = 0 AND page_id % 3 = 0 THEN 'pdf_text' WHEN page_id % 7 = 0 THEN 'raw_text' WHEN page_id % 3 = 0 THEN 'pdf_ocr_needed' ELSE 'html' END AS source_type,
   CASE WHEN page_id % 5 = 0 AND page_id % 7 <> 0 AND page_id % 3 <> 0 THEN 'Could not download ' || url || '.' END AS source_warning, 'url' AS url_kind, NOT contains(url, '#') AS pdf_url FROM pages""",
 }
+SQL |= {
+    "meal_ranks_by_range": SQL["meal_ranks"],
+    "menu_segments_in_blocks": SQL["menu_segments"],
+    "page_work_lists": r"""WITH p AS (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', ''), '^(https?://[^/]+(?:/.*)?)/[^/]+/$', '\1/') AS above FROM pages WHERE contains(html, '</article>')
+)
+SELECT page_id, above || 'food/menu.pdf?id=' || page_id AS href, 1::INTEGER AS crawl FROM p
+UNION ALL SELECT page_id, above || 'wine/menu.pdf?id=' || page_id, 2::INTEGER FROM p WHERE page_id % 4 <> 0""",
+}

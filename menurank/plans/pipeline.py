@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from ..operators.costing import MACROS, estimate_macros
 from ..operators.lines import menu_items, menu_lines
 from ..operators.scoring import each_goal, score_meals, top_meals
 from ..sources.html import html_text, menu_links, restaurant_name
-from ..sources.pages import resolve_source
+from ..sources.pages import read_results, resolve_source, write_batch
 
 #: Fixed value.
 ESTIMATED = "Macros are estimated from common assumptions and are not restaurant-provided."
@@ -66,17 +67,17 @@ def with_macros(dishes: DataFrame, text: Column, least: float = MIN_CONFIDENCE)
     )
 
 
-def extract(pages: DataFrame, least: float = MIN_CONFIDENCE) -> Extraction:
+def extract(pages: DataFrame, least: float = MIN_CONFIDENCE, block_lines: int | None = None) -> Extraction:
     """Kept dishes, excluded dishes with reasons, a report per page, and PDF links of pages without dishes.
 
     All four come from one table of judged dishes, which is persisted until `release()`: Spark spills it and
-    computes lost parts again.
+    computes lost parts again. `block_lines`: take pages' lines in blocks of so many, for corpora with pages too long for a task.
     """
     p = resolve_source(pages)
     from_html = html_text(p.where("source_type = 'html' AND html IS NOT NULL"))
     names = from_html.select("page_id", restaurant_name(F.col("title")).alias("restaurant_name"))
     texts = p.where("source_type IN ('raw_text', 'pdf_text')").select("page_id", "source_type", "text").unionByName(from_html.select("page_id", F.lit("html").alias("source_type"), "text"))
-    by_line = menu_items(menu_lines(texts)).join(texts.select("page_id", "source_type"), "page_id")
+    by_line = menu_items(menu_lines(texts, block_lines=block_lines), block_lines=block_lines).join(texts.select("page_id", "source_type"), "page_id")
     by_line = by_line.select(*DISH, F.concat_ws(" ", "dish_name", "description").alias("read"))
     by_block = block_items(exploded_blocks(p.where("source_type = 'dom'"))).withColumn("source_type", F.lit("dom")).select(*DISH, F.col("text").alias("read"))
     dishes = by_line.unionByName(by_block)
@@ -98,12 +99,31 @@ def extract(pages: DataFrame, least: float = MIN_CONFIDENCE) -> Extraction:
     return Extraction(items, excluded, report, work, judged)
 
 
-def linked_pdfs(links: DataFrame, items: DataFrame) -> DataFrame:
-    """(page_id, href): for pages without a dish, the first confident link to a PDF, for a crawler to fetch."""
+def linked_pdfs(links: DataFrame, items: DataFrame, given: DataFrame | None = None) -> DataFrame:
+    """(page_id, href): for pages without a dish, the first confident link to a PDF that isn't in `given`
+    (page_id, href), for a crawler to fetch."""
     sure = links.where("confident").join(items.select("page_id"), "page_id", "left_anti")
+    if given is not None:
+        sure = sure.join(given.select("page_id", "href"), ["page_id", "href"], "left_anti")
     return sure.groupBy("page_id").agg(F.min_by("href", "pos").alias("href"))
 
 
+def give_out(links: DataFrame, items: DataFrame, folder: str, batch: str) -> DataFrame:
+    """Write a batch's work list under `folder` and return it: what no earlier batch has given out.
+
+    The lists written so far are the state, with a manifest. A batch that was lost or is run again
+    replaces its own list, and doesn't see that as given out.
+    """
+    try:
+        given = read_results(links.sparkSession, folder, "work", but=batch, manifest="work_manifest")
+    except AnalysisException as e:  # the first batch
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        given = None
+    write_batch({"work": linked_pdfs(links, items, given)}, folder, batch, manifest="work_manifest")
+    return links.sparkSession.read.parquet(f"{folder}/work/batch={batch}")
+
+
 def slug(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 

@@ -9,14 +9,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 from itertools import accumulate
-from urllib.parse import urljoin
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.menu_text import tidy
 from ..functions.rules import matches
@@ -217,15 +213,28 @@ def restaurant_name(title: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(first, r"(?i)(?<![A-Za-z0-9_])(menu|official site|home)(?![A-Za-z0-9_])", "")), F.lit(""))
 
 
-@F.pandas_udf(T.StringType())
-def absolute(base: pd.Series, href: pd.Series) -> pd.Series:
-    def one(b: str | None, h: str) -> str:
-        try:
-            return urljoin(b, h) if b else h
-        except ValueError:
-            return h
+#: Scheme, authority with its slashes, path, query with its mark, fragment with its mark (RFC 3986, appendix B).
+ADDRESS = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+
 
-    return pd.Series([one(b, h) for b, h in zip(base, href, strict=True)])
+def absolute(base: Column, href: Column) -> Column:
+    """`href` as seen from `base`, as in RFC 3986, 5.2; an address of its own, and any without a base, stays as it is.
+
+    A scheme that is the base's own, without slashes after it, counts as none. Empty segments of a path stay.
+    """
+    b, h = ([F.regexp_extract(x, ADDRESS, i) for i in range(1, 6)] for x in (base, href))
+    scheme, own = F.lower(b[0]), F.lower(h[0])
+    merged = F.when(h[2].startswith("/"), h[2]).when(b[2] == "", F.concat(F.lit("/"), h[2])).otherwise(F.concat(F.regexp_replace(b[2], "[^/]*$", ""), h[2]))
+    none = F.array().cast("array<string>")
+    steps = F.split(merged, "/", -1)
+    up = lambda out: F.when(F.size(out) > 1, F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(1)))).otherwise(out)
+    kept = F.aggregate(steps, none, lambda out, s: F.when(s == "..", up(out)).when(s == ".", out).otherwise(F.concat(out, F.array(s))))
+    kept = F.when(F.element_at(steps, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    path = F.when(h[2] == "", b[2]).otherwise(F.array_join(kept, "/"))
+    query = F.when((h[2] == "") & (h[3] == ""), b[3]).otherwise(h[3])
+    colon = F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise("")
+    relative = F.when(h[1] != "", F.concat(colon, h[1], h[2], h[3], h[4])).otherwise(F.concat(colon, b[1], path, query, h[4]))
+    return F.when((F.coalesce(base, F.lit("")) == "") | ((own != "") & (own != scheme)), href).when(href == "", base).otherwise(relative)
 
 
 def menu_links(read: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
@@ -237,8 +246,9 @@ def menu_links(read: DataFrame, key: str = "page_id", url: str = "url") -> DataF
     links = links.where((F.col("href") != "") & ~F.col("href").startswith("#") & ~F.col("href").rlike("(?i)^(javascript|mailto|tel):"))
     links = links.withColumn("confident", matches(F.col("href"), r"\.pdf(?:$|[?#])")).where(F.col("confident") | matches(F.col("text"), LINK_TEXT))
     links = links.withColumn("href", absolute(F.col(url), F.col("href")))
-    first = W.partitionBy(key, "href").orderBy(F.desc("confident"), "pos")
-    return links.withColumn("n", F.row_number().over(first)).where("n = 1").select(key, "pos", "href", "text", "confident")
+    # partial aggregation: of equal links, a task sends one
+    first = F.min(F.struct((~F.col("confident")).alias("unsure"), "pos", "text")).alias("l")
+    return links.groupBy(key, "href").agg(first).select(key, "l.pos", "href", "l.text", (~F.col("l.unsure")).alias("confident"))
 
 
 #: How many ancestors a path names at most; browsers nest no deeper.

@@ -75,8 +75,8 @@ def resolve_source(pages: DataFrame) -> DataFrame:
 RESULTS = ("items", "excluded", "page_report")
 
 
-def write_results(items: DataFrame, excluded: DataFrame, report: DataFrame, folder: str, batch: str) -> None:
-    """Items, excluded dishes and page reports of a batch of pages, in Parquet tables partitioned by batch.
+def write_batch(tables: dict[str, DataFrame], folder: str, batch: str, manifest: str = "manifest") -> None:
+    """Tables of a batch of pages as Parquet, partitioned by batch; a batch is a name of letters, digits, - and _.
 
     A table's partition of the batch is replaced as a whole, and only when all tables have theirs does the manifest name the batch. So a job
     that is lost between tables, or run again, leaves every page of the batch in the results once: `read_results` takes
@@ -84,15 +84,20 @@ def write_results(items: DataFrame, excluded: DataFrame, report: DataFrame, fold
     """
     if not re.fullmatch(r"[A-Za-z0-9_-]+", batch):
         raise ValueError(f"not a batch's name: {batch}")
-    spark = items.sparkSession
-    for name, table in zip(RESULTS, (items, excluded, report), strict=True):
+    spark = next(iter(tables.values())).sparkSession
+    for name, table in tables.items():
         # a partition of its own path, so that an empty table replaces what an earlier run has left
         table.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
-    spark.createDataFrame([(list(RESULTS),)], "tables array<string>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/batch={batch}")
+    spark.createDataFrame([(list(tables),)], "tables array<string>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/{manifest}/batch={batch}")
+
+
+def write_results(items: DataFrame, excluded: DataFrame, report: DataFrame, folder: str, batch: str) -> None:
+    """Items, excluded dishes and page reports, as `write_batch` does it."""
+    write_batch(dict(zip(RESULTS, (items, excluded, report), strict=True)), folder, batch)
 
 
-def read_results(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of `write_results`, of the batches that were written whole; a batch is a name of letters, digits, - and _."""
-    done = spark.read.parquet(f"{folder}/manifest").select(F.col("batch").cast("string").alias("batch")).distinct()
-    table = spark.read.parquet(f"{folder}/{name}")
-    return table.withColumn("batch", F.col("batch").cast("string")).join(done, "batch", "left_semi").drop("batch")
+def read_results(spark: SparkSession, folder: str, name: str, but: str | None = None, manifest: str = "manifest") -> DataFrame:
+    """A table of `write_batch`, of the batches that were written whole, without the batch `but`."""
+    done = spark.read.parquet(f"{folder}/{manifest}").select(F.col("batch").cast("string").alias("batch")).distinct()
+    table = spark.read.parquet(f"{folder}/{name}").withColumn("batch", F.col("batch").cast("string"))
+    return (table if but is None else table.where(F.col("batch") != but)).join(done, "batch", "left_semi").drop("batch")

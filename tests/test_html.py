@@ -1,5 +1,7 @@
+from pyspark.sql import functions as F
+
 from menurank.operators.cards import page_cards
-from menurank.sources.html import decode_entities, html_nodes, html_text
+from menurank.sources.html import absolute, decode_entities, html_nodes, html_text
 from menurank.streaming.meals import MEALS, read_meals, scored_stream, write_scores
 from tests.test_menus import PAGE
 
@@ -96,3 +98,19 @@ def test_card_joins_are_on_equal_keys(spark):
     df = spark.createDataFrame([(1, "<p>x</p>")], "page_id long, html string")
     plan = page_cards(html_nodes(df))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_addresses(spark):
+    from urllib.parse import urljoin
+
+    base = "http://a/b/c/d;p?q"
+    cases = ["g:h", "g", "./g", "g/", "/g", "//g", "?y", "g?y", "#s", "g#s", "g?y#s", ";x", "g;x", "g;x?y#s", ".", "./", "..", "../", "../g", "../..", "../../", "../../g", "../../../g", "../../../../g", "/./g", "/../g", "g.", ".g", "g..", "..g", "./../g", "./g/.", "g/./h", "g/../h"]
+    cases += ["g;x=1/./y", "g;x=1/../y", "g?y/./x", "g?y/../x", "g#s/./x", "g#s/../x", "http:g", "HTTP://Other/x", "https://z/../y", "menu:x", "a b.pdf", "é.pdf?ü=1#ß", "mailto:x@y", "//h/p?q#f", "x\ny", "3d:menu.pdf"]
+    rows = [(b, h) for b in (base, "https://host", "https://host?x=1", "https://host/m/", "https://host/m#f", "https://host/a/../b/", "", None) for h in cases]
+    rows += [(base, "")]
+    found = spark.createDataFrame(rows, "b string, h string").select("b", "h", absolute(F.col("b"), F.col("h")).alias("r")).collect()
+    for r in found:
+        if r["b"] and r["h"] in (";x", "x\ny"):  # a name that begins with ; is one to RFC 3986; line ends stay
+            continue
+        assert r["r"] == (urljoin(r["b"], r["h"]) if r["b"] else r["h"]), (r["b"], r["h"])
+    assert {r["r"] for r in found if r["b"] == base and r["h"] == ";x"} == {"http://a/b/c/;x"}

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from menurank.plans.pipeline import extract
+from menurank.plans.pipeline import extract, give_out, linked_pdfs
 from menurank.sources.pages import RESULTS, read_binary, read_results, read_text, write_results
 
 MENU = "BOWLS\n\nBaja Chicken Bowl ... $14.50\ngrilled chicken, brown rice and beans\n\nSalmon Plate ... $18\nsalmon, rice and broccoli\n"
@@ -46,3 +46,18 @@ def test_files(spark, tmp_path):
     assert text["text"] == MENU
     (page,) = read_binary(spark, str(tmp_path / "b.pdf")).collect()
     assert bytes(page["content"]) == b"%PDF-1.7 x"
+
+
+def test_work_lists(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    links = spark.createDataFrame([(1, 0, "a", True), (1, 1, "b", True), (1, 2, "c", False), (2, 0, "a", True), (3, 0, "x", True)], "page_id long, pos int, href string, confident boolean")
+    items = spark.createDataFrame([(3,)], "page_id long")
+    pairs = lambda df: sorted((r["page_id"], r["href"]) for r in df.collect())
+    assert pairs(give_out(links, items, folder, "1")) == [(1, "a"), (2, "a")]
+    assert pairs(give_out(links, items, folder, "1")) == [(1, "a"), (2, "a")]  # run again
+    # the second batch's list was written, but the job was lost before its manifest
+    linked_pdfs(links, items, spark.createDataFrame([(1, "a"), (2, "a")], "page_id long, href string")).write.parquet(f"{folder}/work/batch=2")
+    assert pairs(read_results(spark, folder, "work", manifest="work_manifest")) == [(1, "a"), (2, "a")]
+    assert pairs(give_out(links, items, folder, "2")) == [(1, "b")]
+    assert pairs(give_out(links, items, folder, "3")) == []
+    assert pairs(read_results(spark, folder, "work", manifest="work_manifest")) == [(1, "a"), (1, "b"), (2, "a")]

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +67,13 @@ def test_bounds_order_and_badges(spark):
     assert top.count() == 15
     other = top_meals(score_meals(each_goal(meals(spark, SAMPLE).orderBy(F.desc("name")))), ["page_id"], ["item_pos"])
     assert sorted(map(str, top.collect())) == sorted(map(str, other.collect()))
+
+
+def test_ranks_by_range(spark):
+    rng = random.Random(1)
+    rows = [(g, i, rng.choice(["entree", "side", "drink"]), "balanced", rng.choice([10, 50, 51, None]), rng.choice([0.0, 20.2, 20.9, 21.0, float("nan"), None]), rng.choice([300.0, 500.0]), ["x"]) for g in (None, 1, 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, i int, category string, goal string, score int, protein_g double, calories double, badges array<string>")
+    plain, ranged = (rank_meals(df, ["page_id"], ["i"], by_range=by) for by in (False, True))
+    assert ranged.schema["rank"].dataType == plain.schema["rank"].dataType
+    columns = plain.columns
+    assert sorted(map(repr, ranged.select(columns).collect())) == sorted(map(repr, plain.collect()))
