@@ -201,7 +201,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, he
     block asks, per range of the hash, for the counts of its distinct n-grams, and that range
     adds up what all blocks have and answers; so a block gets the part of the automaton
     that its texts can reach, builds its states and arcs, and walks it. Both exchanges hold packed arrays, one row per
-    block and range that has any of its n-grams, so that there are never more rows than n-grams. Hashes
+    block and range that has any of its n-grams, so that there are never more rows than n-grams. Single words
+    have hashes of 64 bits, so n_known and base_score don't depend on the input's size; those of longer n-grams
     have `spare_bits` more bits than the number of n-grams takes, up to 64: one in
     2^spare_bits shares its counts with another.
 
@@ -214,14 +215,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, he
     kind = rows.schema["id"].dataType.simpleString()
     count, size = text_bytes(rows, "t")
     blocks = max(1, -(-(size + 20 * count) // block_bytes))
-    bits = min(64, max(1, order * (size + count)).bit_length() + spare_bits)
+    spared = max(1, min(64, max(1, order * (size + count)).bit_length() + spare_bits))
+    bits_of = lambda k: 64 if k == 1 else spared
     n_train, n_types = vocabulary(rows.where("NOT held_out"), blocks)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "t"), F.lit(blocks))).repartition(blocks, "block")
 
     def numbered(symbols: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ends of the n-grams of k symbols, their distinct hashes, the first place of each, the number at each end."""
         ends, grams = gram_ends(symbols, place, k)
-        found, first, inverse = np.unique(grams >> np.uint64(64 - bits), return_index=True, return_inverse=True)
+        found, first, inverse = np.unique(grams >> np.uint64(64 - bits_of(k)), return_index=True, return_inverse=True)
         return ends.astype(np.int32), found, first.astype(np.int32), inverse.astype(np.int32)
 
     def ask(key: tuple, group: pa.Table) -> pa.Table:
@@ -231,7 +233,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, he
         for k in range(1, order + 1):
             ends, found, _, inverse = numbered(symbols, place, k)
             counts = np.bincount(inverse, weights=training[ends], minlength=len(found)).astype(np.uint32)
-            edges = spread(found, blocks, bits)
+            edges = spread(found, blocks, bits_of(k))
             some = np.flatnonzero(np.diff(edges))
             part = pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(some), key[0].as_py())), pa.array(some), pa.array(np.full(len(some), k, dtype=np.int32)), pa.array([pack_sorted(found[edges[i] : edges[i + 1]]) for i in some], pa.binary()), pa.array([pack(counts[edges[i] : edges[i + 1]]) for i in some], pa.binary())],

@@ -50,6 +50,11 @@ def test_language_model_against_plain(spark, monkeypatch, strengths):
     named = df.withColumn("doc_id", F.concat(F.lit("n"), "doc_id"))
     assert {r["doc_id"] for r in lm.score(named, held_out=F.col("h")).collect()} == {f"n{i}" for i, _, _ in rows}
     assert lm.score(df.limit(0), held_out=F.col("h")).count() == 0
+    # longer n-grams that share their hashes change the score alone
+    exact, mixed = ({r["doc_id"]: r for r in lm.score(df, held_out=F.col("h"), spare_bits=b).collect()} for b in (20, -8))
+    for i, r in exact.items():
+        assert all(r[c] == mixed[i][c] for c in ("n_tokens", "n_known", "train_tokens")) and r["base_score"] == pytest.approx(mixed[i]["base_score"], abs=1e-9)
+    assert any(r["score"] != mixed[i]["score"] for i, r in exact.items())
 
 
 def test_language_model_probabilities_add_up():
