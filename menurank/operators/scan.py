@@ -16,9 +16,10 @@ def cut(rows: DataFrame) -> DataFrame:
     """`rows` checkpointed in the session's shared folder, so that what reads them twice does not compute them twice."""
     context = rows.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        if not context.master.startswith("local"):
+        named = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return rows.checkpoint()
 
 
