@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import any_match, first_match, matches
+from .rules import any_indexed, first_indexed, matches
 
 # Dish types in order; the last holds for names only.
 DISH_RULES = [
@@ -126,6 +126,8 @@ EXCLUDED_ITEMS = [
 ]
 # Fixed values.
 SHARED = r"\b(feeds|serves)\s*(?:[2-9]|\d{2,})\b|\bfamily (meal|pack|style|bundle)\b|\bparty (pack|tray|platter)\b|\bfor (two|four)\b"
+# What every match of the pattern above has, quick to search.
+SHARED_HINT = "feeds|serves|family|party|for (?:two|four)"
 # Fixed values.
 VAGUE_NAMES = [
     r"\bchef['’]?s? (special|choice|selection)\b",
@@ -137,6 +139,115 @@ VAGUE_NAMES = [
     r"\bspecial of the day\b",
 ]
 
+# Words of which every match of the rule in the same place has one; an empty text: the rule is always searched.
+DISH_WORDS = [
+    "burger burgers cheeseburger cheeseburgers patty smash smashburger",
+    "taco tacos",
+    "fajita fajitas",
+    "pizza pizzas flatbread flatbreads calzone",
+    "pasta spaghetti fettuccine linguine rigatoni penne lasagna alfredo carbonara bolognese mac noodle noodles",
+    "burrito burritos chimichanga chimichangas",
+    "wrap wraps",
+    "parm parmigiana parmesan",
+    "sandwich sandwiches sub subs club panini hoagie melt blt torta cheesesteak banh",
+    "salad salads",
+    "bowl bowls poke",
+    "soup soups chili stew ramen pho chowder",
+    "sushi nigiri sashimi temaki uramaki hosomaki omakase roll",
+    "roll",
+]
+NAME_WORDS = "plate plates platter platters entr entree combo halibut salmon sea seabass branzino cod cioppino filet rib ribeye ny new sirloin strip tomahawk porterhouse t tbone steak ribs pork chicken katsu piccata"
+SECTION_TYPE_WORDS = [
+    "bowl bowls",
+    "salad salads",
+    "sandwiches handheld handhelds sub subs",
+    "burger burgers",
+    "wrap wraps",
+    "burrito burritos",
+    "taco tacos",
+    "pasta pastas",
+    "pizza pizzas",
+    "sushi nigiri sashimi roll rolls maki",
+    "plate plates platter platters steak steaks",
+    "soup soups",
+]
+EXCLUDED_SECTION_WORDS = [
+    "plates",
+    "salad salads",
+    "drinks beverages soda sodas juice juices coffee tea smoothies",
+    "cocktail cocktails beer wine spirits bar draft happy",
+    "dessert desserts sweets pastries",
+    "side sides carte",
+    "appetizer appetizers app apps starters shareable shareables snacks",
+    "kid kids children childrens",
+    "sauce sauces dip dips dressing dressings",
+    "extra extras add addon addons addition additions topping toppings modifier modifiers",
+    "catering family party",
+]
+INCLUDED_SECTION_WORDS = [
+    "limited",
+    "entree entrees entr main mains",
+    "bowl bowls",
+    "salad salads",
+    "burger burgers",
+    "sandwiches sandwhiches handheld handhelds sub subs",
+    "wrap wraps",
+    "taco tacos",
+    "plate plates platter platters steak steaks",
+    "pasta pastas",
+    "pizza pizzas",
+    "sushi nigiri maki",
+    "soup soups",
+    "lunch dinner specialties favorites grill",
+]
+SECTION_NAME_WORDS = [
+    "limited",
+    "entree entrees main mains",
+    "bowl bowls",
+    "salad salads",
+    "burger burgers",
+    "sandwiches sandwhiches handheld handhelds sub subs",
+    "wrap wraps",
+    "taco tacos",
+    "plate plates platter platters",
+    "pasta pastas",
+    "pizza pizzas",
+    "sushi nigiri sashimi maki roll rolls",
+    "steak steaks",
+    "soup soups",
+    "lunch dinner specialties favorites grill",
+    "small",
+    "salad salads",
+    "drinks beverages soda sodas juice juices coffee tea smoothies",
+    "cocktail cocktails beer wine spirits bar draft happy",
+    "dessert desserts sweets pastries",
+    "side sides carte",
+    "appetizer appetizers app apps starters shareable shareables snacks",
+    "kid kids children childrens",
+    "sauce sauces dip dips dressing dressings",
+    "extra extras add addon addons addition additions topping toppings modifier modifiers",
+    "catering family party",
+]
+EXCLUDED_ITEM_WORDS = [
+    "lemonade soda coke pepsi sprite tea latte espresso cappuccino juice smoothie milkshake horchata kombucha coffee",
+    "beer ipa lager pilsner wine margarita mojito cocktail sangria mimosa",
+    "cream gelato brownie cookie churro flan tiramisu cheesecake sundae pudding shake",
+    "cake cakes",
+    "pie",
+    "fries",
+    "chips",
+    "onion coleslaw salad garlic bread potatoes rice",
+    "side",
+    "add extra",
+    "kid kids",
+    "ranch caesar vinaigrette sauce salsa guacamole aioli pesto marinara alfredo butter oil",
+    "sauce sauces dressing dressings",
+    "sauce",
+    "",
+    "choice make create build",
+]
+VAGUE_WORDS = ["chef chefs", "house", "daily today todays seasonal", "market", "catch", "ask", "special"]
+
 
 def heading(section: Column) -> Column:
     """A section's name without its closing colon or full stop."""
@@ -144,13 +255,13 @@ def heading(section: Column) -> Column:
 
 
 def section_type(section: Column) -> Column:
-    return first_match(heading(section), SECTION_TYPES)
+    return first_indexed(heading(section), SECTION_TYPES, SECTION_TYPE_WORDS)
 
 
 def dish_type(name: Column, description: Column, section: Column) -> Column:
     """struct<dish_type, matched_on, section_supports>: by name, else description, else section, else unknown."""
-    by_name = first_match(name, [*DISH_RULES, NAME_RULE])
-    by_description = first_match(description, DISH_RULES)
+    by_name = first_indexed(name, [*DISH_RULES, NAME_RULE], [*DISH_WORDS, NAME_WORDS])
+    by_description = first_indexed(description, DISH_RULES, DISH_WORDS)
     by_section = section_type(section)
     found = F.coalesce(by_name, by_description, by_section, F.lit("unknown"))
     on = F.when(by_name.isNotNull(), "name").when(by_description.isNotNull(), "description").when(by_section.isNotNull(), "section").otherwise("none")
@@ -159,16 +270,16 @@ def dish_type(name: Column, description: Column, section: Column) -> Column:
 
 
 def is_section_name(line: Column) -> Column:
-    return any_match(heading(line), SECTION_NAMES)
+    return any_indexed(heading(line), SECTION_NAMES, SECTION_NAME_WORDS)
 
 
 def excluded_section(section: Column) -> Column:
     """The reason, or null."""
-    return first_match(heading(section), EXCLUDED_SECTIONS)
+    return first_indexed(heading(section), EXCLUDED_SECTIONS, EXCLUDED_SECTION_WORDS)
 
 
 def included_section(section: Column) -> Column:
-    return any_match(heading(section), INCLUDED_SECTIONS)
+    return any_indexed(heading(section), INCLUDED_SECTIONS, INCLUDED_SECTION_WORDS)
 
 
 def add_on_section(section: Column) -> Column:
@@ -176,15 +287,16 @@ def add_on_section(section: Column) -> Column:
 
 
 def excluded_item(name: Column) -> Column:
-    return first_match(F.trim(name), EXCLUDED_ITEMS)
+    return first_indexed(F.trim(name), EXCLUDED_ITEMS, EXCLUDED_ITEM_WORDS)
 
 
 def shared_portion(name: Column, description: Column) -> Column:
-    return matches(F.concat_ws(" ", F.coalesce(name, F.lit("")), F.coalesce(description, F.lit(""))), SHARED)
+    both = F.concat_ws(" ", F.coalesce(name, F.lit("")), F.coalesce(description, F.lit("")))
+    return F.lower(both).rlike(SHARED_HINT) & matches(both, SHARED)
 
 
 def is_vague(name: Column) -> Column:
-    return any_match(name, VAGUE_NAMES)
+    return any_indexed(name, VAGUE_NAMES, VAGUE_WORDS)
 
 
 def is_side(section: Column, kind: Column) -> Column:
@@ -193,13 +305,15 @@ def is_side(section: Column, kind: Column) -> Column:
 
 def exclusion_reason(name: Column, description: Column, section: Column, kind: Column) -> Column:
     """Why a dish is left out, or null where it is in. The first of: section, item, shared portion, nothing that says meal."""
-    why, item, shared = excluded_section(section), excluded_item(name), shared_portion(name, description)
-    said = F.coalesce(section, F.lit(""))
-    catering = why == "catering section"
-    return (
-        F.when(catering & shared, F.concat(F.lit('Shared or family-sized portion in the "'), said, F.lit('" section')))
-        .when(why.isNotNull() & ~catering, F.concat(F.lit('Listed under the "'), said, F.lit('" '), why))
-        .when(item.isNotNull(), F.concat(F.lit("Item looks like a "), item))
-        .when(shared, "Shared or family-sized portion")
-        .when(~(included_section(section) | (kind != "unknown")), "Could not identify this as an entree or meal")
+    shared, said = shared_portion(name, description), F.coalesce(section, F.lit(""))
+
+    def by_section(why: Column) -> Column:
+        out = F.concat(F.lit('Listed under the "'), said, F.lit('" '), why)
+        return F.when(why != "catering section", out).when(shared & why.isNotNull(), F.concat(F.lit('Shared or family-sized portion in the "'), said, F.lit('" section')))
+
+    return F.coalesce(
+        F.transform(F.array(excluded_section(section)), by_section)[0],
+        F.concat(F.lit("Item looks like a "), excluded_item(name)),
+        F.when(shared, "Shared or family-sized portion"),
+        F.when((kind == "unknown") & ~included_section(section), "Could not identify this as an entree or meal"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,6 +34,35 @@ def first_match(text: Column, rules: Iterable[tuple[str, str]], otherwise: Colum
     return out if otherwise is None else out.otherwise(otherwise)
 
 
+def first_indexed(text: Column, rules: Sequence[tuple[str, str]], index: Sequence[str]) -> Column:
+    """`first_match` for many rules: `index` holds per rule the words (a to z, digits, _) of which every match has one.
+
+    The words of the text are looked up once; only patterns that have one of theirs there are searched, in order. A rule
+    with no words in the index is always searched.
+    """
+    leads = [words_of.split() for words_of in index]
+    known = sorted({w for lead in leads for w in lead})
+    tokens = F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda w: w.isin(known))
+
+    def one_of(found: Column, lead: list[str]) -> Column:
+        return F.exists(found, lambda w: w.isin(lead))
+
+    def decide(bound: Column) -> Column:
+        said, found, out = bound["said"], bound["found"], None
+        for (result, pattern), lead in zip(rules, leads, strict=True):
+            hit = one_of(found, lead) & matches(said, pattern) if lead else matches(said, pattern)
+            out = F.when(hit, F.lit(result)) if out is None else out.when(hit, F.lit(result))
+        return out if not all(leads) else F.when(F.size(found) > 0, out)
+
+    # an array of one element, so that text and words are made once for all rules
+    return F.transform(F.array(F.struct(text.alias("said"), tokens.alias("found"))), decide)[0]
+
+
+def any_indexed(text: Column, patterns: Sequence[str], index: Sequence[str]) -> Column:
+    """`any_match` by `first_indexed`."""
+    return first_indexed(text, [("x", p) for p in patterns], index).isNotNull()
+
+
 def half_up(x: Column, digits: int = 0) -> Column:
     """Rounding by floor(x + 0.5), for negative numbers too."""
     scale = float(10**digits)

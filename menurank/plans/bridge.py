@@ -22,6 +22,7 @@ from ..sources.html import html_nodes, html_text, menu_links, restaurant_name
 from ..sources.pages import resolve_source, source_kind
 from .costing_sql import costed
 from .pipeline import decide, extract, linked_pdfs, recommend
+from .rules_sql import INCLUDED, KIND_CTE, OUT_CTE, SECTION_NAME, SIDE, VAGUE_NAME
 
 # What the renderings are made of.
 SECTIONS = ["Bowls", "Salads", "Burgers", "Tacos", "Plates", "Pastas", "Soups", "Drinks", "Desserts", "Sides", "Kids", "Catering", "Small Plates", "Elevate Your Plate", "Dinner", "House Favorites", "Starters", "Add-ons", "Wine", ""]
@@ -140,28 +141,6 @@ DISH_CTE = f"""d AS (
 )"""
 
 
-def re2(pattern: str) -> str:
-    return pattern.replace(r"(?!\s*(?:glaze|oil|crisp|crunch|sauce|paste|flake|caramel|lime|garlic|aioli|mayo|butter|jam))", "").replace("'", "''")
-
-
-def sql_case(column: str, rules: list[tuple[str, str]]) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{re2(p)}', 'i') THEN '{r}'" for r, p in rules) + " END"
-
-
-def sql_any(column: str, patterns: list[str]) -> str:
-    return f"coalesce(regexp_matches({column}, '{re2('|'.join(f'(?:{p})' for p in patterns))}', 'i'), false)"
-
-
-HEAD = "regexp_replace(trim(coalesce(section, '')), '[:.]+$', '')"
-KIND_CTE = f"""k AS (
-  SELECT *, {sql_case("dish_name", [*C.DISH_RULES, C.NAME_RULE])} AS by_name, {sql_case("description", C.DISH_RULES)} AS by_description, {sql_case(HEAD, C.SECTION_TYPES)} AS by_section FROM d
-), t AS (
-  SELECT *, coalesce(by_name, by_description, by_section, 'unknown') AS dish_type,
-    CASE WHEN by_name IS NOT NULL THEN 'name' WHEN by_description IS NOT NULL THEN 'description' WHEN by_section IS NOT NULL THEN 'section' ELSE 'none' END AS matched_on FROM k
-)"""
-BOTH = "coalesce(dish_name, '') || ' ' || coalesce(description, '')"
-
-
 def dish_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = dishes(spark, sf_dir).withColumn("k", C.dish_type(F.col("dish_name"), F.col("description"), F.col("section")))
     return d.select("p_partkey", "dish_name", "section", "k.*")
@@ -350,7 +329,7 @@ SAY_SQL = case_list(
 )
 REASON_SQL = f"""CASE WHEN x_section = 'catering section' AND x_shared THEN 'Shared or family-sized portion in the "' || coalesce(section, '') || '" section'
   WHEN x_section IS NOT NULL AND x_section <> 'catering section' THEN 'Listed under the "' || coalesce(section, '') || '" ' || x_section WHEN x_item IS NOT NULL THEN 'Item looks like a ' || x_item
-  WHEN x_shared THEN 'Shared or family-sized portion' WHEN NOT ({sql_any(HEAD, C.INCLUDED_SECTIONS)} OR dish_type <> 'unknown') THEN 'Could not identify this as an entree or meal' END"""
+  WHEN x_shared THEN 'Shared or family-sized portion' WHEN NOT ({INCLUDED} OR dish_type <> 'unknown') THEN 'Could not identify this as an entree or meal' END"""
 QUALITY_SQL = "greatest(0, least(1, 1.0::DOUBLE - CASE WHEN n = 1 THEN 0.4::DOUBLE ELSE 0 END - CASE WHEN n > 6 THEN 0.3::DOUBLE ELSE 0 END - CASE WHEN n > 8 THEN 0.3::DOUBLE ELSE 0 END - CASE WHEN regexp_matches(dish_name, '[0-9]') THEN 0.3::DOUBLE ELSE 0 END))"
 MENU_CTE = f"""m AS (
   SELECT p_partkey, p_brand, p_partkey // {MENU_PARTS} AS menu, row_number() OVER (PARTITION BY p_brand, p_partkey // {MENU_PARTS} ORDER BY p_partkey) AS item_pos,
@@ -360,7 +339,7 @@ MENU_CTE = f"""m AS (
   FROM part
 )"""
 JUDGED_CTE = f"""{MENU_CTE}, d AS (SELECT * FROM m), {KIND_CTE},
-x AS (SELECT *, {sql_case(HEAD, C.EXCLUDED_SECTIONS)} AS x_section, {sql_case("trim(dish_name)", C.EXCLUDED_ITEMS)} AS x_item, {sql_any(BOTH, [C.SHARED])} AS x_shared FROM t),
+{OUT_CTE},
 w AS (SELECT *, {REASON_SQL} AS why FROM x),
 i AS (SELECT p_partkey AS item, dish_name, description, dish_type, matched_on IN ('name', 'description') AND coalesce(by_section = dish_type, false) AS supports FROM w WHERE why IS NULL), {costed("i")},
 judged AS (
@@ -398,11 +377,11 @@ SQL = {
 SELECT {KEY_SQL}, goal, category, score, rank::INTEGER AS rank, array_to_string(CASE WHEN category = 'side' THEN (['Side dish'] || own)[1:3] WHEN rank = 1 THEN (['Best Match'] || own)[1:3] ELSE own END, ',') AS badges FROM ranked""",
     "meal_top5": f"WITH {LISTINGS}, ranked AS (SELECT *, {RANK_SQL} AS rank FROM scored WHERE category IN ('entree', 'side')) SELECT {KEY_SQL}, goal, category, score, rank::INTEGER AS rank FROM ranked WHERE rank <= 5",
     "dish_types": f"WITH {DISH_CTE}, {KIND_CTE} SELECT p_partkey, dish_name, section, dish_type, matched_on, matched_on IN ('name', 'description') AND coalesce(by_section = dish_type, false) AS section_supports FROM t",
-    "dish_inclusion": f"""WITH {DISH_CTE}, {KIND_CTE}, x AS (SELECT *, {sql_case(HEAD, C.EXCLUDED_SECTIONS)} AS x_section, {sql_case("trim(dish_name)", C.EXCLUDED_ITEMS)} AS x_item, {sql_any(BOTH, [C.SHARED])} AS x_shared FROM t)
-SELECT p_partkey, dish_type, dish_type = 'unknown' AND {sql_any(HEAD, [C.ADD_ON_SECTION])} AS is_side, {REASON_SQL} AS exclusion_reason, {sql_any(HEAD, C.SECTION_NAMES)} AS is_section_name, {sql_any("dish_name", C.VAGUE_NAMES)} AS is_vague FROM x""",
+    "dish_inclusion": f"""WITH {DISH_CTE}, {KIND_CTE}, {OUT_CTE}
+SELECT p_partkey, dish_type, dish_type = 'unknown' AND {SIDE} AS is_side, {REASON_SQL} AS exclusion_reason, {SECTION_NAME} AS is_section_name, {VAGUE_NAME} AS is_vague FROM x""",
     "dish_confidence": f"""WITH {DISH_CTE}, n AS (SELECT *, len(list_filter(regexp_split_to_array(dish_name, '\\s+'), lambda w: w <> '')) AS n FROM d), q AS (SELECT *, {QUALITY_SQL} AS q FROM n),
 c AS (SELECT *, floor(greatest(0, least(1, 0.3::DOUBLE + 0.16::DOUBLE * q + CASE WHEN description IS NOT NULL THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN price IS NOT NULL THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN section IS NOT NULL THEN 0.1::DOUBLE ELSE 0 END
-  - CASE WHEN {sql_any("dish_name", C.VAGUE_NAMES)} THEN 0.15::DOUBLE ELSE 0 END)) * 100 + 0.5) / 100 AS s FROM q)
+  - CASE WHEN {VAGUE_NAME} THEN 0.15::DOUBLE ELSE 0 END)) * 100 + 0.5) / 100 AS s FROM q)
 SELECT p_partkey, q AS name_quality, s AS parse_confidence, CASE WHEN s >= 0.7 THEN 'high' WHEN s >= 0.45 THEN 'medium' ELSE 'low' END AS bucket FROM c""",
     "dish_costs": f"""WITH {DISH_CTE}, {KIND_CTE}, i AS (SELECT p_partkey AS item, dish_name, description, dish_type, matched_on IN ('name', 'description') AND coalesce(by_section = dish_type, false) AS supports FROM t), {costed("i")}
 SELECT item AS p_partkey, dish_type, calories, protein_g, carbs_g, fat_g, macro_confidence, array_to_string(ingredients, ',') AS ingredients, assumptions FROM e""",
