@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.rules import clamp01, half_up
-from .scan import running
 
 # Fixed values of the score.
 WEIGHTS = {"protein_efficiency": 0.5, "goal_fit": 0.25, "total_protein": 0.125, "balance": 0.125}
@@ -163,12 +162,36 @@ def score_meals(meals: DataFrame, weights: dict[str, float] | None = None) -> Da
     return m.select(*inputs, "score", parts, "penalties", "caps", "badges", "explanation")
 
 
-def rank_meals(scored: DataFrame, groups: list[str], keys: list[str], by_range: bool = False) -> DataFrame:
+#: Groups of more meals are ranked in ranges by whole grams, too.
+MOST_IN_RANGE = 100_000
+
+
+def ranked_by_range(meals: DataFrame, group: list[str], order: list[str | Column], ranges: list[Column], finer: list[Column], most: int) -> DataFrame:
+    """Add rank, the place in the group by `order`, in ranges of it: columns that rise with the order, with `finer` ones in groups of more than `most`.
+
+    Ranges are counted, and where each begins goes to its meals as a row before them. So the meals themselves are shuffled once, in
+    tasks of a range, and nothing is checkpointed; `meals` is computed three times, twice for a few columns alone.
+    """
+    n = len(ranges) + len(finer)
+    large = meals.groupBy(*group).count().where(F.col("count") > most).select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.lit(True).alias("__large"))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)])
+    marked = meals.join(F.broadcast(large), same, "left")  # one group in `most` meals at most
+    cut = [f"__r{i}" for i in range(n)]
+    m = marked.withColumns(dict(zip(cut, [*ranges, *(F.when(F.col("__large"), c) for c in finer)], strict=True))).drop("__large", *[f"__g{i}" for i in range(len(group))])
+    sofar = W.partitionBy(*group).orderBy(*cut).rowsBetween(W.unboundedPreceding, -1)
+    begins = m.groupBy(*group, *cut).agg(F.count(F.lit(1)).alias("__n")).withColumn("__begin", F.coalesce(F.sum("__n").over(sofar), F.lit(0))).drop("__n")
+    rows = m.unionByName(begins, allowMissingColumns=True)
+    own = W.partitionBy(*group, *cut).orderBy(F.col("__begin").isNull(), *order)  # the row that tells the beginning comes first
+    place = F.first("__begin").over(own.rowsBetween(W.unboundedPreceding, 0)) + F.row_number().over(own) - 1
+    return rows.withColumn("rank", place.cast("int")).where(F.col("__begin").isNull()).drop("__begin", *cut)
+
+
+def rank_meals(scored: DataFrame, groups: list[str], keys: list[str], by_range: bool = False, most_in_range: int = MOST_IN_RANGE) -> DataFrame:
     """Rank entrees, then sides, within `groups` and goal: score, then protein, then fewer calories, then `keys`.
 
     Other categories are left out. The first entree gets the badge of the best match, sides
     theirs; at most three badges stay. With `by_range`, for groups too large for a task, a group is ranked in
-    ranges (sides, score, whole grams of protein), and a range's ranks go on where those before it end;
+    ranges (sides, score; in groups of over `most_in_range` meals whole grams of protein, too), and a range's ranks go on where those before it end;
     the result is the same, if `keys` leave no ties.
     """
     s = scored.where(F.col("category").isin("entree", "side")).withColumn("__side", F.col("category") == "side")
@@ -177,8 +200,8 @@ def rank_meals(scored: DataFrame, groups: list[str], keys: list[str], by_range:
         protein = F.col("protein_g").cast("double")
         grams = F.when(F.isnan(protein), F.lit(float("-inf"))).otherwise(-F.floor(protein).cast("double"))
         # descending columns have nulls last, so they count as the end
-        ranges = [F.col("__side"), *(F.coalesce(c, F.lit(float("inf"))) for c in (-F.col("score").cast("double"), grams))]
-        s = running(s, group, order, ranges, sums={"rank": F.lit(1)}).withColumn("rank", F.col("rank").cast("int"))
+        end = F.lit(float("inf"))
+        s = ranked_by_range(s, group, order, [F.col("__side"), F.coalesce(-F.col("score").cast("double"), end)], [F.coalesce(grams, end)], most_in_range)
     else:
         s = s.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order)))
     label = F.when(F.col("__side"), BADGES["side"]).when(F.col("rank") == 1, BADGES["best"])

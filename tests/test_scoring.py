@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from menurank.operators.scoring import each_goal, for_goal, rank_meals, score_meals, top_meals
@@ -77,3 +78,14 @@ def test_ranks_by_range(spark):
     assert ranged.schema["rank"].dataType == plain.schema["rank"].dataType
     columns = plain.columns
     assert sorted(map(repr, ranged.select(columns).collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_ranges_without_checkpoints(spark, monkeypatch):
+    monkeypatch.setattr(DataFrame, "checkpoint", None)
+    rng = random.Random(2)
+    rows = [(g, i, rng.choice(["entree", "side"]), "balanced", rng.choice([10, 50, None]), rng.choice([0.0, 20.2, 20.9, 21.0, None]), 300.0, ["x"]) for g, n in ((None, 90), (1, 30), (2, 70)) for i in range(n)]
+    df = spark.createDataFrame(rows, "page_id long, i int, category string, goal string, score int, protein_g double, calories double, badges array<string>")
+    plain = sorted(map(repr, rank_meals(df, ["page_id"], ["i"]).collect()))
+    for most in (1, 70, 1000):
+        ranged = rank_meals(df, ["page_id"], ["i"], by_range=True, most_in_range=most)
+        assert sorted(map(repr, ranged.collect())) == plain
