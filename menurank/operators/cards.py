@@ -64,13 +64,18 @@ def marked(nodes: DataFrame, key: str) -> DataFrame:
     return n.withColumn("head", F.when(F.when(F.col("is_heading"), F.col("length") <= 60).otherwise(alone) & section_like(F.col("short")), F.col("short"))).drop("short", "next_heading", "is_heading")
 
 
+def shuffled(elements: DataFrame) -> DataFrame:
+    """`elements` for a join that must not broadcast them: what Spark takes their size for comes from the pages' files, of which they are many times the size."""
+    return elements.hint("merge")
+
+
 def single_dish_containers(n: DataFrame, key: str) -> DataFrame:
     """(key, pre, last, path) of the widest container of each candidate: at most eight levels up, up to the first that isn't shown, is too long, or has not one name."""
     own = n.where(F.col("is_item") & ~F.col("chrome") & F.col("length").between(LEAST_TEXT, MOST_TEXT) & F.col("path").isNotNull())
     line = own.select(key, F.col("pre").alias("own"), "path", F.posexplode(F.array_prepend(F.slice("path", 1, MOST_LEVELS), F.col("pre"))).alias("level", "at"))
-    line = line.join(n.select(key, F.col("pre").alias("at"), F.col("last").alias("at_last"), "tag", "chrome", "length", "titles", "names", "next_changes"), [key, "at"])
+    line = line.join(shuffled(n.select(key, F.col("pre").alias("at"), F.col("last").alias("at_last"), "tag", "chrome", "length", "titles", "names", "next_changes")), [key, "at"])
     ends = n.select(key, F.col("pre").alias("at_last"), F.col("titles").alias("titles_in"), F.col("names").alias("names_in"), F.col("changes").alias("changes_in"))
-    line = line.join(ends, [key, "at_last"])
+    line = line.join(shuffled(ends), [key, "at_last"])
     single = (F.col("titles_in") > F.col("titles")) & (F.col("changes_in") == F.col("next_changes"))
     stop = F.col("tag").isin("body", "html") | F.col("chrome") | (F.col("length") > MOST_TEXT) | ~F.coalesce(single, F.lit(False))
     stop = F.when(F.col("level") == 0, F.col("names_in") == F.col("names")).otherwise(stop)  # the candidate itself must hold a name
@@ -89,27 +94,32 @@ def innermost(cards: DataFrame, key: str, most_cards: int | None) -> DataFrame:
 
 
 def named_cards(cards: DataFrame, n: DataFrame, key: str) -> DataFrame:
-    """(key, pre, name, description): the best name in each card, its first description or else its longest line with a comma."""
-    facts = n.where("tier IS NOT NULL OR told IS NOT NULL OR size(told_lines) > 0").select(key, "pre", F.lit(1).alias("fact"), "tier", "name_text", "told", "told_lines", F.lit(None).cast("struct<pre:int,last:int>").alias("card"))
-    starts = cards.select(key, "pre", F.lit(0).alias("fact"), F.lit(None).cast("int").alias("tier"), F.lit(None).cast("string").alias("name_text"), F.lit(None).cast("string").alias("told"), F.lit(None).cast("array<string>").alias("told_lines"), F.struct("pre", "last").alias("card"))
+    """`cards` that have a name, with (name, description): the best name in each card, its first description or else its longest line with a comma."""
+    card = F.struct(*[c for c in cards.columns if c != key])
+    facts = n.where("tier IS NOT NULL OR told IS NOT NULL OR size(told_lines) > 0").select(key, "pre", F.lit(1).alias("fact"), "tier", "name_text", "told", "told_lines")
+    starts = cards.select(key, "pre", F.lit(0).alias("fact"), card.alias("card"))
     order = W.partitionBy(key).orderBy("pre", "fact").rowsBetween(W.unboundedPreceding, 0)
-    f = facts.unionByName(starts).withColumn("card", F.last("card", True).over(order)).where("fact = 1 AND pre <= card.last").withColumn("card", F.col("card.pre"))
-    inside = F.col("pre") > F.col("card")
+    f = facts.unionByName(starts, allowMissingColumns=True).withColumn("card", F.last("card", True).over(order)).where("fact = 1 AND pre <= card.last").withColumn("own", F.col("card.pre"))
+    inside = F.col("pre") > F.col("own")
     best = F.min_by(F.when(inside, F.col("name_text")), F.when(inside & F.col("tier").isNotNull(), F.struct("tier", "pre")))
-    f = f.withColumn("name", best.over(W.partitionBy(key, "card"))).where("name IS NOT NULL")
+    f = f.withColumn("name", best.over(W.partitionBy(key, "own"))).where("name IS NOT NULL")
     said = F.when(inside & (F.col("told") != F.col("name")), F.col("told"))
     lines = F.transform(F.filter("told_lines", lambda x: x != F.col("name")), lambda x: F.struct((-F.length(x)).alias("o"), x.alias("line")))
     f = f.withColumns({"said": said, "line": F.array_min(F.transform(lines, lambda x, i: F.struct(x["o"].alias("o"), F.col("pre").alias("p"), i.alias("i"), x["line"].alias("line"))))})
-    f = f.groupBy(key, F.col("card").alias("pre")).agg(F.first("name").alias("name"), F.min_by("said", F.when(F.col("said").isNotNull(), F.col("pre"))).alias("said"), F.min("line").alias("line"))
-    return f.select(key, "pre", "name", F.coalesce("said", "line.line").alias("description"))
+    f = f.groupBy(key, "own").agg(F.first("card").alias("card"), F.first("name").alias("name"), F.min_by("said", F.when(F.col("said").isNotNull(), F.col("pre"))).alias("said"), F.min("line").alias("line"))
+    return f.select(key, "card.*", "name", F.coalesce("said", "line.line").alias("description"))
 
 
-def sections(cards: DataFrame, n: DataFrame, key: str) -> DataFrame:
-    """(key, pre, section): of a card and its ancestors below the body, the nearest that has a heading before it among its siblings; the last such heading."""
+def with_sections(cards: DataFrame, n: DataFrame, key: str) -> DataFrame:
+    """`cards` with section: of a card and its ancestors below the body, the nearest that has a heading before it among its siblings; the last such heading."""
     before = W.partitionBy(key, "parent").orderBy("pre").rowsBetween(W.unboundedPreceding, -1)
     under = n.select(key, F.col("pre").alias("at"), "tag", F.last("head", True).over(before).alias("head")).where(F.col("head").isNotNull() & ~F.col("tag").isin("body", "html")).drop("tag")
-    line = cards.select(key, "pre", F.posexplode(F.array_prepend("path", F.col("pre"))).alias("level", "at")).join(under, [key, "at"])
-    return line.groupBy(key, "pre").agg(F.min_by("head", "level").alias("section"))
+    # only the first line of a card carries it
+    card = F.when(F.col("level") == 0, F.struct(*[c for c in cards.columns if c not in (key, "path")]))
+    line = cards.select("*", F.posexplode(F.array_prepend("path", F.col("pre"))).alias("level", "at")).select(key, F.col("pre").alias("own"), "level", "at", card.alias("card"))
+    line = line.join(shuffled(under), [key, "at"], "left")
+    found = line.groupBy(key, "own").agg(F.first("card", True).alias("card"), F.min_by("head", F.when(F.col("head").isNotNull(), F.col("level"))).alias("section"))
+    return found.select(key, "card.*", "section")
 
 
 def parsed_once(nodes: DataFrame, key: str) -> DataFrame:
@@ -127,6 +137,7 @@ def page_cards(nodes: DataFrame, key: str = "page_id", most_cards: int | None =
     """
     nodes = parsed_once(nodes, key)
     n = marked(nodes, key)
-    cards = innermost(single_dish_containers(n, key), key, most_cards)
-    out = cards.join(named_cards(cards, n, key), [key, "pre"]).join(sections(cards, n, key), [key, "pre"], "left").join(nodes.select(key, "pre", "text"), [key, "pre"])
-    return out.select(key, "pos", "name", "description", "section", "text")
+    # one line of steps: none is used twice
+    cards = with_sections(named_cards(innermost(single_dish_containers(n, key), key, most_cards), n, key), n, key)
+    texts = nodes.where(F.col("length").between(LEAST_TEXT, MOST_TEXT) & ~F.col("chrome")).select(key, "pre", "text")
+    return cards.join(shuffled(texts), [key, "pre"]).select(key, "pos", "name", "description", "section", "text")

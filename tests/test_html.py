@@ -114,3 +114,13 @@ def test_addresses(spark):
             continue
         assert r["r"] == (urljoin(r["b"], r["h"]) if r["b"] else r["h"]), (r["b"], r["h"])
     assert {r["r"] for r in found if r["b"] == base and r["h"] == ";x"} == {"http://a/b/c/;x"}
+
+
+def test_elements_are_not_broadcast(spark):
+    from menurank.operators.cards import page_cards
+
+    pages = spark.createDataFrame([(1, "<main><h2>Bowls</h2><div class='item'><h3>Grilled Chicken Bowl</h3>rice and beans</div></main>")], "page_id long, html string")
+    cards = page_cards(html_nodes(pages))
+    plan = cards._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("MapInArrow") <= 6
+    assert [tuple(r) for r in cards.collect()] == [(1, 1, "Grilled Chicken Bowl", None, "Bowls", "Grilled Chicken Bowl rice and beans")]
