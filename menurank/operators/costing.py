@@ -12,6 +12,7 @@ from .. import dims
 from ..functions.classify import dish_type
 from ..functions.confidence import macro_confidence
 from ..functions.rules import half_up, java, matches
+from .scan import dealt
 
 # Preparation signals.
 SIGNALS = {
@@ -220,7 +221,7 @@ def estimate_macros(items: DataFrame, keys: list[str], nutrition: DataFrame | No
     """Add dish_type, estimated macros, macro_confidence, detected ingredients and assumptions to dishes.
 
     `items` has `keys` (which identify it), dish_name, description, section and, where a menu
-    states some macros, partial_calories .. partial_fat_g, which take the estimate's place.
+    states some macros, partial_calories .. partial_fat_g, which take the estimate's place. Items are dealt out by `keys`.
     The default tables of nutrition, templates and aliases are of fixed size and broadcast; given ones may be of any size. Apart from the
     one aggregation that gathers an item's matches, all is per row. Items that aren't
     `active` pass through without being searched.
@@ -230,7 +231,7 @@ def estimate_macros(items: DataFrame, keys: list[str], nutrition: DataFrame | No
     nutrition = dims.nutrition(spark) if nutrition is None else nutrition
     templates = dims.templates(spark) if templates is None else templates
     given = items.columns
-    t = items.withColumns({c: F.lit(None).cast("double") for c in [f"partial_{m}" for m in MACROS] if c not in given})
+    t = dealt(items, keys).withColumns({c: F.lit(None).cast("double") for c in [f"partial_{m}" for m in MACROS] if c not in given})
     t = detect_ingredients(t, keys, aliases, t_nutrition, active)
     t = t.withColumn("__kind", dish_type(F.col("dish_name"), F.col("description"), F.col("section")))
     t = t.withColumns({"dish_type": F.col("__kind.dish_type"), "__supports": F.col("__kind.section_supports")} | preparation(F.col("dish_name"), F.col("description")))

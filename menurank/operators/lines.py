@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import menu_text as M
 from ..functions.classify import is_section_name
 from ..functions.confidence import parse_confidence
-from .scan import running
+from .scan import dealt, running
 
 MOST_DESCRIPTION_LINES = 4
 
@@ -24,6 +24,7 @@ def menu_lines(pages: DataFrame, key: str = "page_id", text: str = "text", block
 
     With `block_lines` a page's lines are taken in blocks of so many, each in a task of its own, with the same result.
     """
+    pages = dealt(pages.select(key, text), [key])  # as whole texts, and for all that follows by page
     lines = pages.select(key, F.posexplode(F.split(M.normalize_text(F.col(text)), "\n")).alias("pos", "line"))
     if block_lines:
         lines = lines.repartition(F.col(key), *blocks_of(block_lines))  # before the lines are worked on

@@ -23,6 +23,14 @@ def cut(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """`rows` by `keys` in as many tasks as the session shuffles to, for steps that take long for each row.
+
+    Few bytes can be much work: left alone, a small file is one task, and small shuffles are drawn together to a few.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def running(
     rows: DataFrame, groups: list[str], order: list[str | Column], block: list[Column] | None = None, *, sums: Named | None = None, lasts: Named | None = None, befores: Named | None = None, nexts: Named | None = None, totals: Named | None = None
 ) -> DataFrame:
