@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 from itertools import accumulate
@@ -189,6 +189,17 @@ def read_page(html: str, tree: bool = False) -> Reader:
     return reader
 
 
+#: Pages whose results are held at a time; a batch of Spark's has up to 10,000.
+MOST_PAGES = 32
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most `MOST_PAGES` rows, so that what Python makes of a page is let go of soon."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, MOST_PAGES):
+            yield batch.slice(at, MOST_PAGES)
+
+
 def html_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, title, links): one row per page, in Arrow batches; null html gives an empty text.
 
@@ -198,10 +209,14 @@ def html_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("pos", pa.int32()), ("href", pa.string()), ("text", pa.string())]))
-        for batch in batches:
-            read = [read_page(x or "") for x in batch.column(2).to_pylist()]
-            links = [[{"pos": i, "href": h, "text": t} for i, (h, t) in enumerate(r.links)] for r in read]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(["".join(r.out) for r in read], pa.string()), pa.array([r.title.strip() if r.title else None for r in read], pa.string()), pa.array(links, kind)], ["k", "url", "text", "title", "links"])
+        for part in slices(batches):
+            texts, titles, links = [], [], []
+            for x in part.column(2):
+                r = read_page(x.as_py() or "")
+                texts.append("".join(r.out))
+                titles.append(r.title.strip() if r.title else None)
+                links.append([{"pos": i, "href": h, "text": t} for i, (h, t) in enumerate(r.links)])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(titles, pa.string()), pa.array(links, kind)], ["k", "url", "text", "title", "links"])
 
     read = pages.select(F.col(key).cast("long"), F.col(url).cast("string"), F.col(html).cast("string")).mapInArrow(run, schema)
     return read.withColumn("text", tidy(F.col("text"))).withColumnRenamed("k", key)
@@ -289,8 +304,8 @@ def html_nodes(pages: DataFrame, key: str = "page_id", html: str = "html", most_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for row in rows_of(k, x or ""):
+            for k, x in zip(batch.column(0), batch.column(1), strict=True):
+                for row in rows_of(k.as_py(), x.as_py() or ""):
                     rows.append(row)
                     if len(rows) == 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)

@@ -1,3 +1,4 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from menurank.operators.cards import page_cards
@@ -124,3 +125,12 @@ def test_elements_are_not_broadcast(spark):
     plan = cards._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and plan.count("MapInArrow") <= 6
     assert [tuple(r) for r in cards.collect()] == [(1, 1, "Grilled Chicken Bowl", None, "Bowls", "Grilled Chicken Bowl rice and beans")]
+
+
+def test_pages_in_slices():
+    from menurank.sources.html import MOST_PAGES, slices
+
+    whole = pa.RecordBatch.from_pydict({"k": list(range(2 * MOST_PAGES + 3))})
+    parts = list(slices([whole, whole.slice(0, 0), whole.slice(0, 1)]))
+    assert [p.num_rows for p in parts] == [MOST_PAGES, MOST_PAGES, 3, 1]
+    assert [k for p in parts for k in p.column(0).to_pylist()] == [*range(2 * MOST_PAGES + 3), 0]
