@@ -24,8 +24,9 @@ def menu_lines(pages: DataFrame, key: str = "page_id", text: str = "text", block
 
     With `block_lines` a page's lines are taken in blocks of so many, each in a task of its own, with the same result.
     """
-    pages = dealt(pages.select(key, text), [key])  # as whole texts, and for all that follows by page
-    lines = pages.select(key, F.posexplode(F.split(M.normalize_text(F.col(text)), "\n")).alias("pos", "line"))
+    # dealt out as whole texts, for all that follows by page; after the step in Python, which Spark takes to lose the order of tasks
+    whole = dealt(pages.select(key, M.normalize_text(F.col(text)).alias("__text")), [key])
+    lines = whole.select(key, F.posexplode(F.split("__text", "\n")).alias("pos", "line"))
     if block_lines:
         lines = lines.repartition(F.col(key), *blocks_of(block_lines))  # before the lines are worked on
     lines = lines.withColumn("line", M.normalize_line(F.col("line")))

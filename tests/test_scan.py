@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from menurank.operators.lines import menu_items, menu_lines
-from menurank.operators.scan import running
+from menurank.operators.scan import dealt, running
 
 
 def test_blocks_equal_windows(spark):
@@ -43,3 +43,11 @@ def test_long_pages_in_blocks(spark):
         assert sorted(map(repr, split.collect())) == sorted(map(repr, lines.collect()))
         assert sorted(map(repr, menu_items(split, block_lines=size).collect())) == sorted(map(repr, items.collect()))
     assert menu_items(menu_lines(df.limit(0), block_lines=4), block_lines=4).count() == 0
+
+
+def test_work_is_dealt_out(spark):
+    df = spark.createDataFrame([(i, "Salmon Plate 5.00") for i in range(50)], "page_id long, text string").coalesce(1)
+    rows = dealt(df, ["page_id"])
+    assert df.rdd.getNumPartitions() == 1 and rows.rdd.getNumPartitions() == 2 and rows.count() == 50
+    plan = menu_lines(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
