@@ -263,10 +263,16 @@ def dish_type(name: Column, description: Column, section: Column) -> Column:
     by_name = first_indexed(name, [*DISH_RULES, NAME_RULE], [*DISH_WORDS, NAME_WORDS])
     by_description = first_indexed(description, DISH_RULES, DISH_WORDS)
     by_section = section_type(section)
-    found = F.coalesce(by_name, by_description, by_section, F.lit("unknown"))
-    on = F.when(by_name.isNotNull(), "name").when(by_description.isNotNull(), "description").when(by_section.isNotNull(), "section").otherwise("none")
-    supports = (by_name.isNotNull() | by_description.isNotNull()) & F.coalesce(by_section == found, F.lit(False))
-    return F.struct(found.alias("dish_type"), on.alias("matched_on"), supports.alias("section_supports"))
+
+    def kind(by: Column) -> Column:
+        found = F.coalesce(by["name"], by["description"], by["section"], F.lit("unknown"))
+        on = F.when(by["name"].isNotNull(), "name").when(by["description"].isNotNull(), "description").when(by["section"].isNotNull(), "section").otherwise("none")
+        supports = (by["name"].isNotNull() | by["description"].isNotNull()) & F.coalesce(by["section"] == found, F.lit(False))
+        return F.struct(found.alias("dish_type"), on.alias("matched_on"), supports.alias("section_supports"))
+
+    # arrays of one element, so that each cascade stands in the plan once; the description's is needed only where the name says nothing
+    by = F.transform(F.array(by_name), lambda n: F.struct(n.alias("name"), F.when(n.isNull(), by_description).alias("description"), by_section.alias("section")))
+    return F.transform(by, kind)[0]
 
 
 def is_section_name(line: Column) -> Column:

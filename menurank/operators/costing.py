@@ -67,7 +67,8 @@ def quoted(x: str) -> str:
 def default_foods() -> tuple[str, str, str]:
     """The default names and foods in Spark's SQL: the names, a map from name to rank, and the foods as lines in the order of ranks.
 
-    Map and lines are functions of one text each, which Spark turns into constants, so that plans stay small.
+    Map and lines are made of literals. Functions of texts, which Spark would turn into constants, too, make the driver load the tables of
+    all collations when they do: that takes 3.4 GB of passing objects, for which its heap grows to about 500 MB.
     """
     food = {r[0]: r[1:] for r in dims.nutrition_rows()}
     rank, lines = {}, []
@@ -76,8 +77,7 @@ def default_foods() -> tuple[str, str, str]:
         lines.append("|".join(map(str, [alias, name, category, slot, key, label, amount, unit, str(condiment).lower(), *macros])))
         if "-" not in alias:  # a hyphen is never in the text that is searched
             rank.setdefault(alias, ord_)
-    ranks = ";".join(f"{a}:{o}" for a, o in rank.items())
-    return ", ".join(map(quoted, rank)), f"str_to_map({quoted(ranks)}, ';', ':')", f"split({quoted(chr(10).join(lines))}, '\\n')"
+    return ", ".join(map(quoted, rank)), f"map({', '.join(f'{quoted(a)}, {o}' for a, o in rank.items())})", f"array({', '.join(map(quoted, lines))})"
 
 
 def hits_in_row(items: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def hits_in_row(items: DataFrame) -> DataFrame:
     found = f"filter(concat({run(1)}, {run(2)}, {run(3)}), g -> g.at + g.n <= size(w) AND g.alias IN ({names}))"
     kinds = {"serving_amount": "double", "condiment": "boolean"} | dict.fromkeys(MACROS, "double")
     fields = ", ".join(f"cast(x.line[{i + 1}] AS {kinds.get(c, 'string')}) AS {c}" for i, c in enumerate(FOOD))
-    t = items.withColumn("h", F.expr(f"transform({found}, g -> struct(cast({rank}[g.alias] AS int) AS ord, g.at AS at, g.n AS n))"))
+    t = items.withColumn("h", F.expr(f"transform({found}, g -> struct({rank}[g.alias] AS ord, g.at AS at, g.n AS n))"))
     t = t.withColumn("h", F.expr(f"transform(array_sort(h), x -> struct(x.ord AS ord, x.at AS at, x.n AS n, split({foods}[x.ord], '[|]') AS line))"))
     return t.withColumn("h", F.expr(f"transform(h, x -> struct(x.ord AS ord, x.at AS at, x.n AS n, struct(x.ord AS alias_ord, x.line[0] AS alias, {fields}) AS food))"))
 
@@ -217,14 +217,14 @@ def with_costs(t: DataFrame) -> DataFrame:
     return t.withColumn("assumed", F.transform(empty, assumption)).drop("__placed")
 
 
-def estimate_macros(items: DataFrame, keys: list[str], nutrition: DataFrame | None = None, templates: DataFrame | None = None, aliases: DataFrame | None = None, active: Column | None = None) -> DataFrame:
+def estimate_macros(items: DataFrame, keys: list[str], nutrition: DataFrame | None = None, templates: DataFrame | None = None, aliases: DataFrame | None = None, active: Column | None = None, kind: Column | None = None) -> DataFrame:
     """Add dish_type, estimated macros, macro_confidence, detected ingredients and assumptions to dishes.
 
     `items` has `keys` (which identify it), dish_name, description, section and, where a menu
     states some macros, partial_calories .. partial_fat_g, which take the estimate's place. Items are dealt out by `keys`.
     The default tables of nutrition, templates and aliases are of fixed size and broadcast; given ones may be of any size. Apart from the
     one aggregation that gathers an item's matches, all is per row. Items that aren't
-    `active` pass through without being searched.
+    `active` pass through without being searched. `kind` is what `dish_type` gives, where it is known already.
     """
     spark = items.sparkSession
     t_nutrition, send = nutrition, F.broadcast if nutrition is None and templates is None else lambda t: t
@@ -233,7 +233,7 @@ def estimate_macros(items: DataFrame, keys: list[str], nutrition: DataFrame | No
     given = items.columns
     t = dealt(items, keys).withColumns({c: F.lit(None).cast("double") for c in [f"partial_{m}" for m in MACROS] if c not in given})
     t = detect_ingredients(t, keys, aliases, t_nutrition, active)
-    t = t.withColumn("__kind", dish_type(F.col("dish_name"), F.col("description"), F.col("section")))
+    t = t.withColumn("__kind", dish_type(F.col("dish_name"), F.col("description"), F.col("section")) if kind is None else kind)
     t = t.withColumns({"dish_type": F.col("__kind.dish_type"), "__supports": F.col("__kind.section_supports")} | preparation(F.col("dish_name"), F.col("description")))
     t = t.withColumn("__label", F.regexp_replace(F.when(F.col("dish_type") == "unknown", dims.FALLBACK_DISH_TYPE).otherwise(F.col("dish_type")), "_", " "))
     t = with_costs(with_portions(t, templates, nutrition, send))
