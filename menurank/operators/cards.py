@@ -16,7 +16,7 @@ from ..functions.rules import any_match
 from .blocks import MACRO_LABEL
 
 # Fixed values.
-LEAST_TEXT, MOST_TEXT, MOST_CARDS, MOST_LEVELS = 20, 2000, 400, 8
+LEAST_TEXT, MOST_TEXT, MOST_LEVELS = 20, 2000, 8
 ITEM_CLASSES = ["menu-item", "menuitem", "item", "product", "dish", "card"]
 ITEM_TESTIDS = ["menu-item", "item", "product", "dish", "card"]
 TITLE_CLASSES = ["title", "font-heading", "heading", "item-name", "item_name", "itemname", "product-name", "product_name", "productname", "dish-name", "dish_name", "dishname"]
@@ -128,8 +128,8 @@ def parsed_once(nodes: DataFrame, key: str) -> DataFrame:
     return packed.select(key, F.inline("node"))
 
 
-def page_cards(nodes: DataFrame, key: str = "page_id", most_cards: int | None = MOST_CARDS) -> DataFrame:
-    """(key, pos, name, description, section, text): the first `most_cards` cards of each page (None: all), as blocks.
+def page_cards(nodes: DataFrame, key: str = "page_id", most_cards: int | None = None) -> DataFrame:
+    """(key, pos, name, description, section, text): all cards of each page, or its first `most_cards`, as blocks.
 
     A candidate is an item-like element outside the page's chrome, of 20 to 2000 characters,
     that holds a name. It grows to its outermost ancestor, of at most eight, that still

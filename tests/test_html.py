@@ -62,6 +62,15 @@ def test_card_stops(spark):
     assert [c[1] for c in cards_of(spark, many, most_cards=4)] == [1, 2, 3, 4] and len(cards_of(spark, many, most_cards=None)) == 6
 
 
+def test_no_card_of_a_long_page_is_left_out(spark, tmp_path):
+    from menurank.plans.bridge import page_card_blocks
+
+    page = "<body><h2>Bowls</h2>" + "".join(f"<div class='item'><h3>Bowl Number {i}</h3>and its text</div>" for i in range(450)) + "</body>"
+    spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = page_card_blocks(spark, str(tmp_path)).orderBy("pos").collect()
+    assert [(r["pos"], r["name"], r["section"]) for r in rows] == [(i + 1, f"Bowl Number {i}", "Bowls") for i in range(450)]
+
+
 def test_sections(spark):
     item = "<div class='item'><h3>Bowl Number {}</h3>and its own text</div>"
     page = f"""<body><h1>Our Menu</h1><section><div class="head"><h2>Warm Bowls</h2></div><div><div>{item.format(1)}</div><p>x</p>{item.format(2)}</div></section>
