@@ -162,28 +162,34 @@ def score_meals(meals: DataFrame, weights: dict[str, float] | None = None) -> Da
     return m.select(*inputs, "score", parts, "penalties", "caps", "badges", "explanation")
 
 
-#: Groups of more meals are ranked in ranges by whole grams, too.
+#: Groups of more meals are dealt out by range, and ranges are of one score and whole grams there.
 MOST_IN_RANGE = 100_000
+#: Meals that a task sorts in memory.
+MEALS_OF_A_TASK = 1_000_000
 
 
-def ranked_by_range(meals: DataFrame, group: list[str], order: list[str | Column], ranges: list[Column], finer: list[Column], most: int) -> DataFrame:
-    """Add rank, the place in the group by `order`, in ranges of it: columns that rise with the order, with `finer` ones in groups of more than `most`.
+def ranked_by_range(meals: DataFrame, groups: list[str], order: list[str | Column], ranges: dict[str, Column], most: int) -> DataFrame:
+    """Add rank, the place by `order` among the meals of `groups` and goal, in ranges of it: columns that rise with the order.
 
-    Ranges are counted, and where each begins goes to its meals as a row before them. So the meals themselves are shuffled once, in
-    tasks of a range, and nothing is checkpointed; `meals` is computed three times, twice for a few columns alone.
+    They may ask `__large`: has the group more than `most` meals. Ranges are counted, and where each begins goes to its meals as a row
+    before them. So the meals themselves are shuffled once, and nothing is checkpointed; `meals` is computed four times, but once for a few columns
+    alone or none. What is not large goes to its task with a meal's other goals, as the shuffle's compression finds the keys again there. Meals are
+    counted when this is called, as tasks of too many would spill.
     """
-    n = len(ranges) + len(finer)
+    group = [*groups, "goal"]
     large = meals.groupBy(*group).count().where(F.col("count") > most).select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.lit(True).alias("__large"))
     same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)])
     marked = meals.join(F.broadcast(large), same, "left")  # one group in `most` meals at most
-    cut = [f"__r{i}" for i in range(n)]
-    m = marked.withColumns(dict(zip(cut, [*ranges, *(F.when(F.col("__large"), c) for c in finer)], strict=True))).drop("__large", *[f"__g{i}" for i in range(len(group))])
-    sofar = W.partitionBy(*group).orderBy(*cut).rowsBetween(W.unboundedPreceding, -1)
-    begins = m.groupBy(*group, *cut).agg(F.count(F.lit(1)).alias("__n")).withColumn("__begin", F.coalesce(F.sum("__n").over(sofar), F.lit(0))).drop("__n")
-    rows = m.unionByName(begins, allowMissingColumns=True)
-    own = W.partitionBy(*group, *cut).orderBy(F.col("__begin").isNull(), *order)  # the row that tells the beginning comes first
+    m = marked.withColumns(ranges).drop(*[f"__g{i}" for i in range(len(group))])
+    sofar = W.partitionBy(*group).orderBy(*ranges).rowsBetween(W.unboundedPreceding, -1)
+    begins = m.groupBy(*group, "__large", *ranges).agg(F.count(F.lit(1)).alias("__n")).withColumn("__begin", F.coalesce(F.sum("__n").over(sofar), F.lit(0))).drop("__n")
+    rows = m.unionByName(begins, allowMissingColumns=True).withColumn("__deal", F.when(F.col("__large"), F.hash("goal", *ranges))).drop("__large")
+    tasks = meals.count() // MEALS_OF_A_TASK + 1
+    usual = int(meals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(*([tasks] if tasks > usual else []), *groups, "__deal")
+    own = W.partitionBy(*group, "__deal", *ranges).orderBy(F.col("__begin").isNull(), *order)  # the row that tells the beginning comes first
     place = F.first("__begin").over(own.rowsBetween(W.unboundedPreceding, 0)) + F.row_number().over(own) - 1
-    return rows.withColumn("rank", place.cast("int")).where(F.col("__begin").isNull()).drop("__begin", *cut)
+    return rows.withColumn("rank", place.cast("int")).where(F.col("__begin").isNull()).drop("__begin", "__deal", *(r for r in ranges if r not in meals.columns))
 
 
 def rank_meals(scored: DataFrame, groups: list[str], keys: list[str], by_range: bool = False, most_in_range: int = MOST_IN_RANGE) -> DataFrame:
@@ -191,17 +197,18 @@ def rank_meals(scored: DataFrame, groups: list[str], keys: list[str], by_range:
 
     Other categories are left out. The first entree gets the badge of the best match, sides
     theirs; at most three badges stay. With `by_range`, for groups too large for a task, a group is ranked in
-    ranges (sides, score; in groups of over `most_in_range` meals whole grams of protein, too), and a range's ranks go on where those before it end;
+    ranges (sides and halves of the score; in groups of over `most_in_range` meals sides, scores and whole grams of protein), and a range's ranks go on where those before it end;
     the result is the same, if `keys` leave no ties.
     """
     s = scored.where(F.col("category").isin("entree", "side")).withColumn("__side", F.col("category") == "side")
     group, order = [*groups, "goal"], ["__side", F.desc("score"), F.desc("protein_g"), F.asc("calories"), *keys]
     if by_range:
-        protein = F.col("protein_g").cast("double")
+        protein, step = F.col("protein_g").cast("double"), F.when(F.col("__large"), 1.0).otherwise(50.0)
         grams = F.when(F.isnan(protein), F.lit(float("-inf"))).otherwise(-F.floor(protein).cast("double"))
         # descending columns have nulls last, so they count as the end
         end = F.lit(float("inf"))
-        s = ranked_by_range(s, group, order, [F.col("__side"), F.coalesce(-F.col("score").cast("double"), end)], [F.coalesce(grams, end)], most_in_range)
+        part = F.coalesce(F.floor(-F.col("score") / step).cast("double"), end)
+        s = ranked_by_range(s, groups, order, {"__side": F.col("__side"), "__part": part, "__grams": F.when(F.col("__large"), F.coalesce(grams, end))}, most_in_range)
     else:
         s = s.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order)))
     label = F.when(F.col("__side"), BADGES["side"]).when(F.col("rank") == 1, BADGES["best"])

@@ -89,3 +89,29 @@ def test_ranges_without_checkpoints(spark, monkeypatch):
     for most in (1, 70, 1000):
         ranged = rank_meals(df, ["page_id"], ["i"], by_range=True, most_in_range=most)
         assert sorted(map(repr, ranged.collect())) == plain
+
+
+def test_ranges_shuffle_little_more_than_the_meals(spark, monkeypatch):
+    def written(rows):
+        status = spark.sparkContext._jsc.sc().statusStore()
+        stages = lambda: status.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        before = {stages().apply(i).stageId() for i in range(stages().size())}
+        found = rows.collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        now = [stages().apply(i) for i in range(stages().size())]
+        return found, sum(x.shuffleWriteRecords() for x in now if x.stageId() not in before)
+
+    rng = random.Random(3)
+    rows = [(g, i, rng.choice(["entree", "side"]), goal, rng.randrange(101), float(rng.randrange(60)), 300.0 + rng.randrange(9), ["x"]) for g in (None, 1, 2) for goal in ("cut", "bulk", "maintain") for i in range(800)]
+    df = spark.createDataFrame(rows, "page_id long, i int, category string, goal string, score int, protein_g double, calories double, badges array<string>")
+    plain = sorted(map(repr, rank_meals(df, ["page_id"], ["i"]).collect()))
+    ranged = rank_meals(df, ["page_id"], ["i"], by_range=True)
+    found, records = written(ranged)
+    assert sorted(map(repr, found)) == plain and records < 1.1 * len(rows)
+    # a meal's goals are together, if they are not large
+    assert ranged.select("page_id", F.spark_partition_id().alias("task")).distinct().count() == 3
+    # large groups are dealt out by range; many meals to more tasks than the session's
+    monkeypatch.setattr("menurank.operators.scoring.MEALS_OF_A_TASK", 1000)
+    ranged = rank_meals(df, ["page_id"], ["i"], by_range=True, most_in_range=500)
+    assert sorted(map(repr, ranged.collect())) == plain
+    assert ranged.select("page_id", F.spark_partition_id().alias("task")).distinct().count() > 12
