@@ -26,14 +26,17 @@ def menu_lines(pages: DataFrame, key: str = "page_id", text: str = "text", block
     """
     # dealt out as whole texts, for all that follows by page; after the step in Python, which Spark takes to lose the order of tasks
     whole = dealt(pages.select(key, M.normalize_text(F.col(text)).alias("__text")), [key])
-    lines = whole.select(key, F.posexplode(F.split("__text", "\n")).alias("pos", "line"))
     if block_lines:
+        lines = whole.select(key, F.posexplode(F.split("__text", "\n")).alias("pos", "line"))
         lines = lines.repartition(F.col(key), *blocks_of(block_lines))  # before the lines are worked on
-    lines = lines.withColumn("line", M.normalize_line(F.col("line")))
+        lines = lines.withColumn("line", F.explode_outer(M.normalize_lines(F.array("line"))))
+    else:
+        # as an array, which is made once, however often its lines are named after it
+        lines = whole.select(key, F.posexplode_outer(M.normalize_lines(F.split("__text", "\n"))).alias("pos", "line"))
     lines = lines.where((F.col("line") == "") | ~M.is_boilerplate(F.col("line")))
     some = F.col("line") != ""
-    lines = running(lines, [key], ["pos"], blocks_of(block_lines), sums={"sofar": some}, befores={"before": F.col("line")}, totals={"all": some})
-    return lines.where(some | (F.coalesce(F.col("before") != "", F.lit(False)) & (F.col("sofar") < F.col("all")))).select(key, "pos", "line")
+    lines = running(lines, [key], ["pos"], blocks_of(block_lines), sums={"sofar": some}, befores={"before": some}, totals={"all": some})
+    return lines.where(some | (F.coalesce("before", F.lit(False)) & (F.col("sofar") < F.col("all")))).select(key, "pos", "line")
 
 
 def menu_items(lines: DataFrame, key: str = "page_id", block_lines: int | None = None) -> DataFrame:
